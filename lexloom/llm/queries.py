@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name: the module and function that give it.
 SOURCES = {
+    "op1_ogg": "ogg",
     "op6_virtual_slots": "sharding",
+    "op9_bpe": "bpe",
     "op10_pii": "pii",
 }
 
