@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: the module and function that give it.
 SOURCES = {
     "op1_ogg": "ogg",
+    "op4_decision_list": "quality",
     "op6_virtual_slots": "sharding",
+    "op7_simhash": "simhash",
     "op9_bpe": "bpe",
     "op10_pii": "pii",
 }
