@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 SOURCES = {
     "op1_ogg": "ogg",
     "op4_decision_list": "quality",
+    "op5_best_fit": "packing",
     "op6_virtual_slots": "sharding",
     "op7_simhash": "simhash",
+    "op8_elias_fano_lm": "lm",
     "op9_bpe": "bpe",
     "op10_pii": "pii",
 }
