@@ -27,6 +27,7 @@ from .common import documents
 
 CONTEXT = 48
 THRESHOLD = 0.6
+RESERVED = "__lexloom_pii"
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,score:double>>"
 
 
@@ -117,10 +118,10 @@ def spans_of(no: int, kind: Kind, text: Column, context: int, threshold: float)
 
 
 def detect(docs: DataFrame, text: str = "text", context: int = CONTEXT, threshold: float = THRESHOLD) -> DataFrame:
-    """Add ``pii_spans``: all spans by start, then kind as listed in ``KINDS``."""
+    """Add the reserved column: all spans by start, then kind as listed in ``KINDS``."""
     body = F.coalesce(F.col(text), F.lit(""))
     parts = [spans_of(no, kind, body, context, threshold) for no, kind in enumerate(KINDS)]
-    return docs.withColumn("pii_spans", F.array_sort(F.concat(*parts)))
+    return docs.withColumn(RESERVED, F.array_sort(F.concat(*parts)))
 
 
 def listed(spans: Column) -> Column:
@@ -132,9 +133,9 @@ def base_spans(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind_no"] < n_base)
 
 
-def masked(docs: DataFrame, text: str = "text") -> DataFrame:
+def masked(docs: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
     """The input's columns with each span of personal data replaced by its kind in angle brackets; spans that overlap become one,
-    named by the first. A null text stays null."""
+    named by the first. ``n_chars`` names a column that is to hold a changed text's length. A null text stays null."""
     found = detect(docs, text)
     body = F.col(text)
 
@@ -144,14 +145,18 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(fresh, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rewritten = F.aggregate(F.col("pii_spans"), start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(body, s["at"] + 1, F.length(body))))
-    return found.withColumn(text, F.when(F.size("pii_spans") > 0, rewritten).otherwise(body)).drop("pii_spans")
+    rewritten = F.aggregate(F.col(RESERVED), start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(body, s["at"] + 1, F.length(body))))
+    changed = F.size(RESERVED) > 0
+    out = found.withColumn(text, F.when(changed, rewritten).otherwise(body))
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.when(changed, F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
+    return out.drop(RESERVED)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "pii_spans")
+    found = detect(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", RESERVED)
     def count(kind: Kind) -> Column:
-        return F.size(F.filter("pii_spans", lambda s: s["kind"] == kind.name)).cast("long").alias(f"n_{kind.name}")
+        return F.size(F.filter(RESERVED, lambda s: s["kind"] == kind.name)).cast("long").alias(f"n_{kind.name}")
 
     counts = [count(kind) for kind in KINDS if kind.base]
-    return found.select("doc_id", *counts, F.sha2(listed(base_spans(F.col("pii_spans"))), 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(base_spans(F.col(RESERVED))), 256).alias("base_sha256"), listed(F.col(RESERVED)).alias("spans"))
