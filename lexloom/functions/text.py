@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ NO_ANSWER = "The provided documents do not contain this information."
 SENTENCE_BREAK = r"(?<=[.;:])(?U)\s+(?=[A-Z(\d])|\n+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: a lambda would compute it anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Without white space (of any script) at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -53,17 +60,18 @@ def sentences(text: Column) -> Column:
 
 def overlap(sentence: Column, answer_tokens: Column) -> Column:
     """Share of a sentence's distinct tokens that the answer has too, as if it had six at least."""
-    own = F.array_distinct(tokens(sentence))
-    return F.size(F.array_intersect(own, answer_tokens)) / F.greatest(F.size(own), F.lit(6))
+    return let(F.array_distinct(tokens(sentence)), lambda own: F.size(F.array_intersect(own, answer_tokens)) / F.greatest(F.size(own), F.lit(6)))
 
 
 def supporting_spans(content: Column, answer: Column, least: float = 0.34, most: int = 3) -> Column:
     """The best-supported sentences of ``content`` as (start, end, score), at most ``most``, in text order."""
-    words = F.array_distinct(tokens(answer))
-    scored = F.transform(sentences(content), lambda s: F.struct((-overlap(s["sentence"], words)).alias("order"), s["start"].alias("start"), s["end"].alias("end")))
-    good = F.filter(scored, lambda s: -s["order"] >= least)
-    best = F.slice(F.array_sort(good), 1, most)
-    return F.array_sort(F.transform(best, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.round(-s["order"], 3).alias("score"))))
+
+    def best(words: Column) -> Column:
+        scored = F.transform(sentences(content), lambda s: F.struct((-overlap(s["sentence"], words)).alias("order"), s["start"].alias("start"), s["end"].alias("end")))
+        good = F.slice(F.array_sort(F.filter(scored, lambda s: -s["order"] >= least)), 1, most)
+        return F.array_sort(F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.round(-s["order"], 3).alias("score"))))
+
+    return let(F.array_distinct(tokens(answer)), best)
 
 
 def clamped_spans(spans: Column, length: Column) -> Column:

@@ -1,9 +1,15 @@
-"""Registry of the engine's own queries."""
+"""All queries of the engine and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from . import registry
+from . import structure_queries as _structure  # noqa: F401
+from . import text_queries as _text  # noqa: F401  (importing registers)
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.ORACLES)
