@@ -9,6 +9,7 @@ from ..functions import models, planner, text
 from ..functions.structure import citation, defined_term, is_redirect
 from ..settings import DEFAULT, Settings
 from . import context, hybrid
+from .lineage import settled
 
 RESULT = ("query_id", "question", "question_type", "mode", "answer_path", "answer", "confidence", "warnings", "sources")
 NO_PASSAGE, BOTH_NEEDED = "no passage found", "upload both regulations to compare them"
@@ -74,9 +75,9 @@ def finished(rows: DataFrame, settings: Settings) -> DataFrame:
 def asks(plans: DataFrame, chunks: DataFrame, chat: models.ChatModel, settings: Settings = DEFAULT) -> DataFrame:
     hits = cited(hybrid.retrieve(plans, chunks, settings))
     planned = plans.select("query_id", "preferred_chunk_kinds", "allows_direct_answer", "question_type", "subject_term")
-    hits = hits.join(planned, "query_id")
+    hits = settled(hits.join(planned, "query_id"))
     sure = hybrid.confidence(hits)
-    hits = hits.join(sure, "query_id")
+    hits = settled(hits.join(sure, "query_id"))  # a few rows for each question, read by every step below
     direct = direct_answers(hits, settings)
     entries = context.expanded(hits, chunks, settings.max_context_chars, settings.expand_top_n)
     own = plans.join(sure, "query_id", "left").join(direct, "query_id", "left").join(source_list(hits), "query_id", "left").join(context.rendered(entries, "query_id"), "query_id", "left")
@@ -101,7 +102,7 @@ def coverage(plans: DataFrame, hits: DataFrame) -> DataFrame:
 def comparisons(plans: DataFrame, chunks: DataFrame, chat: models.ChatModel, settings: Settings = DEFAULT) -> DataFrame:
     """Comparisons need hits of two kinds; they know no least confidence, and no document filter."""
     scoped = plans.withColumn("doc_kinds", F.when(F.size("doc_kinds") > 0, F.col("doc_kinds")).otherwise(planner.strings(("mdr", "ivdr"))))
-    per_kind = cited(hybrid.retrieve_per_kind(scoped, chunks, settings))
+    per_kind = settled(cited(hybrid.retrieve_per_kind(scoped, chunks, settings)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     pooled = per_kind.withColumn("kind_rank", F.col("rank")).withColumn("rank", F.row_number().over(order))
     sure = hybrid.confidence(pooled.join(plans.select("query_id", "preferred_chunk_kinds"), "query_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.structure import sibling_citation
 from ..settings import DEFAULT
+from .lineage import settled
 
 ENTRY = ("query_id", "chunk_id", "citation", "content", "expanded", "ord", "used")
 
@@ -43,7 +44,7 @@ def expanded(hits: DataFrame, chunks: DataFrame, budget: int = DEFAULT.max_conte
             "query_id", F.col("sibling_id").alias("chunk_id"), F.col("sibling_citation").alias("citation"), F.col("sibling_content").alias("content"),
             F.lit(True).alias("expanded"), (F.lit(1_000_000_000) * rank + F.col("chunk_index")).cast("bigint").alias("ord"), "used",
         )
-        entries = entries.unionByName(added)
+        entries = settled(entries.unionByName(added))  # budget-bound rows that the next hit's siblings are held against
         spent = entries.groupBy("query_id").agg(F.max("used").alias("spent"))
     return entries
 
