@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: the module and function that give it.
 SOURCES = {
     "op1_ogg": "ogg",
+    "op2_viterbi_counts": "tokencount",
     "op3_wrappers": "html",
     "op4_decision_list": "quality",
     "op5_best_fit": "packing",
