@@ -114,8 +114,8 @@ def supersteps(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tupl
         rank, count = 0, histogram[length]
         while rank < count:
             room = gaps.successor(length)
-            if room is None:  # open sequences for the rest; the next sweeps fill them with the same run
-                fresh = -(-(count - rank) // (capacity // length))
+            if room is None:  # open what the run fills, then one for its rest; the next sweeps put the run there
+                fresh = max(1, (count - rank) // (capacity // length))
                 gaps.add(capacity, opened, opened + fresh)
                 opened += fresh
                 continue
