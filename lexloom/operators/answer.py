@@ -47,8 +47,8 @@ def source_list(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("sources"), F.array_union(F.collect_set("citation"), F.collect_set(label)).alias("labels"))
 
 
-def answer(questions: DataFrame, chunks: DataFrame, embedder: models.Embedder | None = None, chat: models.ChatModel | None = None, settings: Settings = DEFAULT) -> DataFrame:
-    """One row for each question (``query_id``, ``question``).
+def answer(questions: DataFrame, chunks: DataFrame, embedder: models.Embedder | None = None, chat: models.ChatModel | None = None, settings: Settings = DEFAULT, all_chunks: DataFrame | None = None) -> DataFrame:
+    """One row for each question (``query_id``, ``question``). Comparisons see ``all_chunks``, if given, whatever ``chunks`` is narrowed to.
 
     ``chunks``: ready chunks joined with their documents (chunk_id, document_id, chunk_index, content, embedding, page, article, article_num, paragraph,
     section_path, chunk_kind, doc_kind, short_label, filename). Only questions that nothing answers directly reach the chat model.
@@ -58,7 +58,7 @@ def answer(questions: DataFrame, chunks: DataFrame, embedder: models.Embedder |
     plans = planner.planned(questions).filter(F.length("question") > 0).withColumn("query_vector", embedder.as_column(F.col("question")))
     asked = plans.filter(~F.col("is_comparison"))
     compared = plans.filter("is_comparison")
-    return asks(asked, chunks, chat, settings).unionByName(comparisons(compared, chunks, chat, settings))
+    return asks(asked, chunks, chat, settings).unionByName(comparisons(compared, chunks if all_chunks is None else all_chunks, chat, settings))
 
 
 def finished(rows: DataFrame, settings: Settings) -> DataFrame:

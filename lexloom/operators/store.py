@@ -84,6 +84,11 @@ def served(documents: DataFrame) -> DataFrame:
     return documents.select("id", "filename", "file_type", "size_bytes", "status", "doc_kind", "short_label", "chunk_count", "page_count", "error", "created_at", "indexed_at")
 
 
+def stored_name(filename: Column) -> Column:
+    """A name of its own for a landed file: random, with the file's suffix."""
+    return F.concat(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")), F.lower(F.regexp_extract(filename, r"(\.[^./]*)$", 1)))
+
+
 def upload_error(filename: Column, size: Column, existing: Column, active: Column, settings: Settings = DEFAULT) -> Column:
     """The first rule an upload breaks, as a status code; null for none."""
     name = F.regexp_replace(filename, r"(?U)^\s+|\s+$", "")
