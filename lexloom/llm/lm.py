@@ -22,6 +22,9 @@ are not read.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +33,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, keep, map_batches, shared_dir, slices, texts
-from .mapped import EliasFano, Shelf
+from .mapped import EliasFano, Shelf, returned
 
 ORDER, DISCOUNT, ADDED = 3, 0.75, 0.1
 START, END, UNKNOWN, FIRST_WORD = range(4)
-FLUSH_WORDS, FLUSH_TOKENS, RUN_BYTES, REMEMBERED = 1_000_000, 3_000_000, 4 << 20, 600_000
+FLUSH_WORDS, FLUSH_TOKENS, RUN_BYTES, REMEMBERED = 400_000, 1_000_000, 4 << 20, 300_000
 CODES = 4096  # codes a unit of -log10
 BLOB = "shard int, level int, n long, blob binary"
 
@@ -80,7 +83,9 @@ def emitted(docs: DataFrame, make) -> DataFrame:
             for part in slices(batch, "text", RUN_BYTES):
                 if rows := add(texts(part)):
                     yield table(rows)
+                    returned()
         yield table(flush())
+        returned()
 
     return docs.select("text").mapInArrow(run, BLOB)
 
@@ -174,12 +179,15 @@ class Vocabulary:
         if len(self.seen) > REMEMBERED:
             self.forget()
         seen = self.seen
-        new = [w for w in dict.fromkeys(words) if w not in seen]
-        if new:
+        at = np.fromiter(map(seen.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if missing.size:
+            late = [words[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(late))
             seen.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
             ids, counts = self.find(new)
             self.ids, self.counts = np.append(self.ids, ids), np.append(self.counts, counts)
-        at = np.array([seen[w] for w in words], np.int64)
+            at[missing] = [seen[w] for w in late]
         return self.ids[at], self.counts[at]
 
 
@@ -289,6 +297,8 @@ def build_tries(blobs: DataFrame, uri: str, shards: int, discount: float) -> int
             arrays[f"{level}.rest"] = coded(np.where(used, discount * types / np.maximum(sums, 1), 1.0))
             total += len(node_keys)
         Shelf(uri).put(f"trie-{shard}", {k: v for k, v in arrays.items() if not k.endswith(".keys")})
+        arrays.clear()
+        returned()
         return pa.table({"n": pa.array([total], pa.int64())})
 
     return int(blobs.groupBy("shard").applyInArrow(build, "n long").agg(F.sum("n")).first()[0] or 0)
@@ -317,29 +327,30 @@ class Trie:
     def look_up(self, level: int, shard: np.ndarray, context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each (context number in its shard, id): node number or -1, discounted probability or 0, the context's back-off weight."""
         node, part, rest = np.full(len(last), -1, np.int64), np.zeros(len(last)), np.ones(len(last))
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        home = shard.astype(np.uint16 if self.shards <= 1 << 16 else np.int64)  # sixteen bits sort by radix
+        order = np.argsort(home, kind="stable")
+        edges = np.append(0, np.cumsum(np.bincount(home, minlength=self.shards)))
         for s in np.flatnonzero(np.diff(edges)):
             own = (self.part(int(s)) or {}).get(level)
             if own is None:
                 continue
             begin, nodes, parts, rests = own
             rows = order[edges[s] : edges[s + 1]]
-            rows = rows[(context[rows] >= 0) & (context[rows] < len(rests))]
+            rows = rows[context[rows] < len(rests)]
             if not len(rows):
                 continue
             at = context[rows]
-            low, high = begin.access(at).astype(np.int64), begin.access(at + 1).astype(np.int64)
+            mark = begin.select(at, True)
+            low = begin.value(at, mark).astype(np.int64)
             rest[rows] = decoded(rests[at])
-            open_ = low < high
-            rows, low, high = rows[open_], low[open_], high[open_]
             base = np.zeros(len(low), np.uint64)
             base[low > 0] = nodes.access(low[low > 0] - 1)
-            value = base + last[rows].astype(np.uint64)
-            spot = np.maximum(nodes.successor(value), low)  # an id equal to the base's own value may sit before the range
-            inside = spot < high
-            inside[inside] = nodes.access(spot[inside]) == value[inside]
-            node[rows[inside]], part[rows[inside]] = spot[inside], decoded(parts[spot[inside]])
+            spot, equal = nodes.successor(base + last[rows].astype(np.uint64))
+            equal &= spot >= low  # a context without successors has its neighbour's base
+            rows, at, mark, spot = rows[equal], at[equal], mark[equal], spot[equal]
+            inside = spot < begin.after(at, mark).astype(np.int64)
+            rows, spot = rows[inside], spot[inside]
+            node[rows], part[rows] = spot, decoded(parts[spot])
         return node, part, rest
 
 
@@ -357,23 +368,15 @@ def probabilities(ids: np.ndarray, place: np.ndarray, alone: np.ndarray, trie: T
         context, home = node[here - 1], shard[here - 1]
         open_ = context >= 0
         asked = here[open_]
-        key, back = distinct(home[open_], context[open_], ids[asked])
-        found, part, rest = trie.look_up(level, *key)
-        out[asked] = part[back] + rest[back] * out[asked]
-        node_next, shard_next = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
-        node_next[asked], shard_next[asked] = found[back], key[0][back]
-        node, shard = node_next, shard_next
+        found, part, rest = trie.look_up(level, home[open_], context[open_], ids[asked])
+        out[asked] = part + rest * out[asked]
+        node, before = np.full(len(ids), -1, np.int64), shard
+        shard = np.zeros(len(ids), np.int64)
+        node[asked], shard[asked] = found, before[asked - 1]
     out[place == 0] = 1.0
     return out
 
 
-def distinct(home: np.ndarray, context: np.ndarray, last: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """Distinct triples and the index of each row's: the first two numbers are numbered, then paired with the third."""
-    _, pair = np.unique((home.astype(np.uint64) << np.uint64(40)) | context.astype(np.uint64), return_inverse=True)
-    _, first, back = np.unique((pair.astype(np.uint64) << np.uint64(32)) | last.astype(np.uint64), return_index=True, return_inverse=True)
-    return (home[first], context[first], last[first]), back
-
-
 SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -396,6 +399,7 @@ def scored(docs: DataFrame, uri: str, word_shards: int, shards: int, order: int,
                 own = np.where(inner, np.log10(probabilities(ids, place, alone, trie)), 0.0)
                 known = inner & (counts > 0)
                 sums.append(np.stack([np.add.reduceat(x.astype(np.float64), first) for x in (inner, known, base, own)]))
+            returned()
             n_tokens, n_known, base, own = np.concatenate(sums, axis=1)
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(own)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
@@ -408,6 +412,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of fewer rows while the model's jobs run, for the executors' memory; the session's own size comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def train_and_score(docs: DataFrame, held: Column, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
     """Train on the rows where ``held`` is false, score all rows."""
     spark = docs.sparkSession
@@ -416,9 +432,10 @@ def train_and_score(docs: DataFrame, held: Column, order: int = ORDER, discount:
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     training = docs.filter(~held)
     trained = training.count()
-    types, words = build_vocabulary(word_counts(training, shards), uri, shards)
-    build_tries(ngram_counts(training, uri, shards, shards, order), uri, shards, discount)
-    out = keep(scored(docs, uri, shards, shards, order, types, words, trained), folder, "scores")
+    with small_batches(spark):
+        types, words = build_vocabulary(word_counts(training, shards), uri, shards)
+        build_tries(ngram_counts(training, uri, shards, shards, order), uri, shards, discount)
+        out = keep(scored(docs, uri, shards, shards, order, types, words, trained), folder, "scores")
     Shelf(uri).clear()
     return out.withColumn("train_tokens", F.lit(words + trained).cast("long"))
 

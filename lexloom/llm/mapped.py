@@ -11,6 +11,19 @@ import uuid
 import numpy as np
 
 
+def returned() -> None:
+    """Give freed memory back to the system; workers live on between tasks, and the allocators would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def local_path(uri: str) -> str | None:
     """The path of a folder that every machine has mounted, None for any other store."""
     if uri.startswith("file:"):
@@ -105,35 +118,46 @@ def put_bits(values: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
-def get_bits(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+def every_byte(words: np.ndarray) -> np.ndarray:
+    """A view of the words with a 64-bit number from each byte on, so that a value needs one read wherever it starts."""
+    return np.ndarray((words.nbytes - 7,), np.dtype("<u8"), words, 0, (1,))
+
+
+def get_bits(view: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Values of up to 57 bits from such a view."""
     if not width:
         return np.zeros(len(at), np.uint64)
-    spot = at.astype(np.uint64) * np.uint64(width)
-    word, shift = (spot >> np.uint64(6)).astype(np.int64), spot & np.uint64(63)
-    high = np.where(shift > 0, words[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-    return ((words[word] >> shift) | high) & ((ONE << np.uint64(width)) - ONE)
+    spot = at * width
+    return (view[spot >> 3] >> (spot & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
+
+
+BYTES, TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Position of the one of each rank in each byte.
+IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], np.uint8).ravel()
 
 
 def nth_one(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Position of the one of this rank (from 0) in each word."""
-    word, rank, out = word.copy(), rank.astype(np.int64), np.zeros(len(word), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-        right = rank >= below
-        rank = np.where(right, rank - below, rank)
-        word = np.where(right, word >> np.uint64(width), word)
-        out += width * right
-    return out
+    """Position of the one of this rank (from 0) in each word: ones are counted for all eight bytes at once, the byte is the first
+    whose running count exceeds the rank, and a table has the place in it."""
+    count = word - ((word >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    count = (count & np.uint64(0x3333333333333333)) + ((count >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    count = ((count + (count >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * BYTES
+    rank = rank.astype(np.uint64)
+    shift = np.bitwise_count(((rank * BYTES | TOPS) - count) & TOPS).astype(np.uint64) << np.uint64(3)
+    rest = rank - (((count << np.uint64(8)) >> shift) & np.uint64(0xFF))
+    return (shift + IN_BYTE[(((word >> shift) & np.uint64(0xFF)) << np.uint64(3)) | rest]).astype(np.int64)
 
 
 class EliasFano:
     """A non-decreasing sequence: low bits side by side, high parts in unary (a one for each value, a zero after each bucket), and counts
     of ones and zeros before each word to select from."""
 
-    KEYS = ("low", "high", "ones", "zeros", "shape")
+    KEYS = ("low", "high", "ones", "zeros", "ones_hint", "zeros_hint", "shape")
+    SAMPLE = 6  # a hint for each 64 ones or zeros: the word that holds it
 
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str) -> None:
-        self.low, self.high, self.ones, self.zeros, shape = (arrays[f"{prefix}.{k}"] for k in self.KEYS)
+        low, self.high, self.ones, self.zeros, self.ones_hint, self.zeros_hint, shape = (arrays[f"{prefix}.{k}"] for k in self.KEYS)
+        self.low, self.bits = every_byte(low), every_byte(self.high)
         self.size, self.width, self.top = (int(x) for x in shape)
 
     @staticmethod
@@ -144,38 +168,87 @@ class EliasFano:
         width = max(0, (most // max(1, size)).bit_length() - 1)
         bucket = (values >> np.uint64(width)).astype(np.int64)
         top = int(bucket[-1]) if size else 0
-        bits = np.zeros(-(-(size + top + 2) // 64) * 64, np.uint8)
+        bits = np.zeros((-(-(size + top + 2) // 64) + 1) * 64, np.uint8)
         bits[bucket + np.arange(size)] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
         ones = np.append(0, np.cumsum(np.bitwise_count(high).astype(np.int64)))
         zeros = np.arange(len(ones)) * 64 - ones
         low = put_bits(values & np.uint64((1 << width) - 1), width)
-        made = (low, high, ones.astype(np.uint32), zeros.astype(np.uint32), np.array([size, width, top], np.int64))
+        if width > 57:
+            raise ValueError("values too far apart")
+        hints = [np.searchsorted(c, np.arange(0, c[-1] + 1, 1 << EliasFano.SAMPLE), side="right").astype(np.uint32) - 1 for c in (ones, zeros)]
+        made = (low, high, ones.astype(np.uint32), zeros.astype(np.uint32), *hints, np.array([size, width, top], np.int64))
         return {f"{prefix}.{k}": v for k, v in zip(EliasFano.KEYS, made, strict=True)}
 
     def select(self, rank: np.ndarray, ones: bool) -> np.ndarray:
-        before = self.ones if ones else self.zeros
-        word = np.searchsorted(before, rank.astype(before.dtype), side="right") - 1
+        before, hint = (self.ones, self.ones_hint) if ones else (self.zeros, self.zeros_hint)
+        word = hint[rank >> self.SAMPLE].astype(np.int64)
+        later = np.flatnonzero(before[word + 1] <= rank)
+        if later.size:
+            word[later] = np.searchsorted(before, rank[later].astype(before.dtype), side="right") - 1
         return word * 64 + nth_one(self.high[word] if ones else ~self.high[word], rank - before[word])
 
-    def access(self, at: np.ndarray) -> np.ndarray:
-        bucket = self.select(at, True) - at
-        return (bucket.astype(np.uint64) << np.uint64(self.width)) | get_bits(self.low, at, self.width)
+    def value(self, at: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        return ((spot - at).astype(np.uint64) << np.uint64(self.width)) | get_bits(self.low, at, self.width)
 
-    def successor(self, value: np.ndarray) -> np.ndarray:
-        """Index of the first element that is at least ``value``; the size if there is none."""
-        out = np.full(len(value), self.size, np.int64)
+    def access(self, at: np.ndarray) -> np.ndarray:
+        return self.value(at, self.select(at, True))
+
+    def run(self, spot: np.ndarray, ones: bool) -> np.ndarray:
+        """Length of the run of ones (zeros) from each position on; 57 means that or more."""
+        word = self.bits[spot >> 3] >> (spot & 7).astype(np.uint64)
+        word = word if not ones else ~word
+        return np.minimum(np.bitwise_count((word & (~word + ONE)) - ONE), 57).astype(np.int64)
+
+    def after(self, at: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        """The values behind those at ``at``, whose ones are at ``spot``."""
+        gap = self.run(spot + 1, False)
+        nearby = spot + 1 + gap
+        if (far := np.flatnonzero(gap >= 57 - 7)).size:
+            nearby[far] = self.select(at[far] + 1, True)
+        return self.value(at + 1, nearby)
+
+    def successor(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first element that is at least ``value`` (the size if there is none), and whether it is equal."""
+        out, equal = np.full(len(value), self.size, np.int64), np.zeros(len(value), bool)
         bucket = (value >> np.uint64(self.width)).astype(np.int64)
         inside = np.flatnonzero(bucket <= self.top)
         if not len(inside) or not self.size:
-            return out
+            return out, equal
+        bucket, rest = bucket[inside], value[inside] & np.uint64((1 << self.width) - 1)
+        spot = np.where(bucket > 0, self.select(np.maximum(bucket - 1, 0), False) + 1, 0)
+        start, held = spot - bucket, self.run(spot, True)
+        stop = start + held
+        if (far := np.flatnonzero(held >= 57 - 7)).size:
+            stop[far] = self.select(bucket[far], False) - bucket[far]
+        some = np.flatnonzero(start < stop)  # the others' buckets are empty
+        row, low, high, want, last = some, start[some], stop[some], rest[some], stop[some]
+        while row.size:
+            middle = (low + high) >> 1
+            less = get_bits(self.low, middle, self.width) < want
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+            over = low >= high
+            done = np.flatnonzero(over)
+            start[row[done]] = low[done]
+            found = done[low[done] < last[done]]
+            equal[inside[row[found]]] = get_bits(self.low, low[found], self.width) == want[found]
+            open_ = np.flatnonzero(~over)
+            row, low, high, want, last = row[open_], low[open_], high[open_], want[open_], last[open_]
+        out[inside] = start
+        return out, equal
         bucket, rest = bucket[inside], value[inside] & np.uint64((1 << self.width) - 1)
-        stop = self.select(bucket, False) - bucket
-        start = np.where(bucket > 0, self.select(np.maximum(bucket - 1, 0), False) - (bucket - 1), 0)
+        spot = np.where(bucket > 0, self.select(np.maximum(bucket - 1, 0), False) + 1, 0)
+        start, held = spot - bucket, self.run(spot, True)
+        stop = start + held
+        if (far := np.flatnonzero(held >= 57 - 7)).size:
+            stop[far] = self.select(bucket[far], False) - bucket[far]
+        last = stop.copy()
         while (open_ := np.flatnonzero(start < stop)).size:
-            middle = (start[open_] + stop[open_]) // 2
+            middle = (start[open_] + stop[open_]) >> 1
             less = get_bits(self.low, middle, self.width) < rest[open_]
             start[open_] = np.where(less, middle + 1, start[open_])
             stop[open_] = np.where(less, stop[open_], middle)
         out[inside] = start
-        return out
+        some = np.flatnonzero(start < last)
+        equal[inside[some]] = get_bits(self.low, start[some], self.width) == rest[some]
+        return out, equal
