@@ -262,7 +262,7 @@ def direct_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def answer_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers to all questions: both models stand-ins, retrieval over hash embeddings of the chunks."""
-    chunks = fixtures.chunk_rows(spark, sf_dir).filter(F.length("content") < 600)
+    chunks = fixtures.chunk_rows(spark, sf_dir)
     embedded = chunks.withColumn("embedding", F.expr("transform(embedding, x -> cast(x as double))"))
     own = answer.answer(fixtures.questions(spark), embedded)
     return own.select("query_id", "question_type", "mode", "answer_path", "answer", "confidence", F.size("sources").alias("n_sources"), F.array_join("warnings", ",").alias("warnings"))
@@ -357,13 +357,13 @@ def top3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT user_id % 50 AS id, event_id, CAST(event_id % 97 AS INTEGER) AS s, CAST(event_id % 97 + 3 + event_id % 11 AS INTEGER) AS e FROM events WHERE event_id < 2000), "
+    "WITH s AS (SELECT user_id % 50 AS id, event_id, CAST(event_id % 97 AS INTEGER) AS s, CAST(event_id % 97 + 3 + event_id % 11 AS INTEGER) AS e FROM events), "
     "m AS (SELECT *, coalesce(max(least(e, 90)) OVER (PARTITION BY id ORDER BY s, e, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS covered FROM s) "
     "SELECT CAST(id AS BIGINT) AS id, greatest(s, covered) AS start, least(e, 90) AS stop FROM m WHERE greatest(s, covered) < least(e, 90)"
 )
 def span_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Highlights cut to a text of 90 characters and to what earlier ones leave; a stated set of events stands in for spans."""
-    own = table(spark, sf_dir, "events").filter("event_id < 2000").selectExpr("user_id % 50 AS id", "CAST(event_id % 97 AS INT) AS start", "CAST(event_id % 97 + 3 + event_id % 11 AS INT) AS end")
+    """Highlights cut to a text of 90 characters and to what earlier ones leave; events stand in for spans."""
+    own = table(spark, sf_dir, "events").selectExpr("user_id % 50 AS id", "CAST(event_id % 97 AS INT) AS start", "CAST(event_id % 97 + 3 + event_id % 11 AS INT) AS end")
     spans = own.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return spans.select("id", F.explode(text.clamped_spans(F.col("spans"), F.lit(90))).alias("s")).select("id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
 

@@ -168,7 +168,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
-    lines = fixtures.legal_lines(spark, sf_dir).filter("document_id < 40").withColumn("part", F.col("document_id"))
+    lines = fixtures.legal_lines(spark, sf_dir).withColumn("part", F.col("document_id"))
     body = lines.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
     body.repartition(8).write.partitionBy("part").text(f"{root}/text")
     own = store.Store(spark, f"{root}/store")
