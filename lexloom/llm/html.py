@@ -10,10 +10,14 @@ Every page of every host takes part. Each task folds its pages into one wrapper
 steps (host and salt, then host), so no task holds a host's pages, and a host with a third of all pages is no larger than any other.
 Aligning two wrappers is the same operation.
 
-A wrapper's slots are grouped by their containers; sums of text and link text over all pages come with them. Slots outside navigation,
-headers, footers, asides, forms, scripts, adverts, notices and comments form the main text: those inside an article or main element if the
-wrapper has one with text, else those of the container that holds most of the text. Wrappers are written to the shared folder by bucket of hosts,
-and the second pass over the pages reads the buckets it needs, so html is never shuffled and nothing is broadcast.
+A second pass matches each page's symbols against its host's wrapper, by the position automaton of the expression, so that every block of
+text (what stands between tags that break lines) has a slot. For each slot and container path it gathers how often the slot occurs, its
+text and link text, and whether all pages have the same text there. Slots whose text is the same on three different pages or more are
+template, slots that repeat and hold mostly link text are link groups; neither is main text. Of the other slots those in navigation, headers,
+footers, asides, forms, scripts, adverts, notices and comments are left out by name, as such texts vary like main text does; which region is main
+where slots leave a choice is decided by an article or main element with text, else by the container that holds most of the text.
+Wrappers and slots are written to the shared folder by bucket of hosts, and the passes over the pages read the buckets they need, so html is never
+shuffled and nothing is broadcast.
 
 Defined cases: null or empty html gives an empty text; a url without a host is a host of its own name (empty); repeated pages repeat;
 unclosed and stray tags are tolerated; null ids pass through; an empty table gives an empty result; further columns are not read.
@@ -46,6 +50,8 @@ OUTSIDE = frozenset("nav header footer aside form menu dialog button select opti
 OUTSIDE_WORD = re.compile(r"(?i)(?:^|[-_])(?:ads?|advert\w*|banner|nav\w*|menu|side-?bar|footer|header|comments?|cookies?|notices?|promo\w*|related|share|social|breadcrumbs?|popup|subscribe|newsletter|widget|search|login)(?:$|[-_])")
 MAIN = ("article", "main")
 LONGEST_UNIT, BUCKETS, SALTS, HOSTS_HELD = 16, 256, 32, 100_000
+#: Compiled hosts that a task holds (memory, not a limit), and the different pages that show a text to be template.
+COMPILED_HELD, SAME_ON = 1024, 3
 
 Node = tuple  # ("s", symbol) | ("+", nodes) | ("?", nodes)
 TEXT: Node = ("s", "#")
@@ -54,10 +60,11 @@ TEXT: Node = ("s", "#")
 class Page:
     """Tokens of one page: symbols, and for each text its container path, the text, and whether a link holds it."""
 
-    __slots__ = ("symbols", "texts")
+    __slots__ = ("symbols", "texts", "places")
 
     def __init__(self, source: str) -> None:
         self.symbols: list[str] = []
+        self.places: dict[int, int] = {}  # number of a text: its symbol's number
         self.texts: list[tuple[str, str, bool]] = []  # (path, text or "" for a line break, in a link)
         stack: list[tuple[str, str]] = []
         path, link = "", 0
@@ -69,6 +76,7 @@ class Page:
                     continue
                 if not self.symbols or self.symbols[-1] != "#":
                     self.symbols.append("#")
+                self.places[len(self.texts)] = len(self.symbols) - 1
                 self.texts.append((path, text, link > 0))
                 continue
             if name is None:
@@ -89,6 +97,105 @@ class Page:
                         pass
                 path = "/".join(s for _, s in stack)
 
+    def blocks(self) -> list[Block]:
+        """Runs of text of one path without a line break."""
+        out: list[Block] = []
+        run: Block | None = None
+        for number, (path, text, link) in enumerate(self.texts):
+            if not text:
+                run = None
+                continue
+            if run is None or run.path != path:
+                run = Block(path, run is not None)
+                out.append(run)
+            run.texts.append(text)
+            if number in self.places:
+                run.sums[link] += len(text)
+                if run.place is None:
+                    run.place = self.places[number]
+        return out
+
+
+class Block:
+    """A run of text: its container path, the number of its first text's symbol, characters of plain and of link text."""
+
+    __slots__ = ("path", "glued", "place", "texts", "sums")
+
+    def __init__(self, path: str, glued: bool) -> None:
+        self.path, self.glued = path, glued  # glued: no line break before
+        self.place: int | None = None
+        self.texts: list[str] = []
+        self.sums = [0, 0]
+
+    def text(self) -> str:
+        return " ".join("".join(self.texts).split())
+
+
+class Automaton:
+    """The positions of a wrapper and which may follow which, to match pages."""
+
+    __slots__ = ("symbols", "follow", "named")
+
+    def __init__(self, wrapper: list) -> None:
+        self.symbols: list[str] = []
+        self.follow: list[dict[str, dict[int, None]]] = []
+        first, _, _ = self.sequence(wrapper)
+        self.follow.append({})  # the start is the last state
+        self.link([len(self.symbols)], first)
+        self.named: dict[str, list[int]] = {}
+        for at, symbol in enumerate(self.symbols):
+            self.named.setdefault(symbol, []).append(at)
+
+    def link(self, sources: list[int], targets: list[int]) -> None:
+        for p in sources:
+            own = self.follow[p]
+            for q in targets:
+                own.setdefault(self.symbols[q], {})[q] = None
+
+    def sequence(self, nodes: list) -> tuple[list[int], list[int], bool]:
+        first: list[int] = []
+        last: list[int] = []
+        empty = True
+        for kind, inner in nodes:
+            if kind == "s":
+                f = l = [len(self.symbols)]
+                nothing = False
+                self.symbols.append(inner)
+                self.follow.append({})
+            else:
+                f, l, nothing = self.sequence(inner)
+                if kind == "+":
+                    self.link(l, f)
+                nothing = nothing or kind == "?"
+            self.link(last, f)
+            if empty:
+                first = first + f
+            last = last + l if nothing else l
+            empty = empty and nothing
+        return first, last, empty
+
+    def match(self, symbols: list[str]) -> list[int]:
+        """The position of each symbol; -1 for one that the wrapper hasn't. Where no position follows, matching goes on at any of that symbol."""
+        current: dict[int, int] = {len(self.symbols): -1}
+        steps: list[dict[int, int] | None] = []
+        for symbol in symbols:
+            found: dict[int, int] = {}
+            for p in current:
+                for q in self.follow[p].get(symbol, ()):
+                    found.setdefault(q, p)
+            if not found and symbol in self.named:
+                p = next(iter(current))
+                found = dict.fromkeys(self.named[symbol], p)
+            steps.append(found or None)
+            current = found or current
+        at = next(iter(current))
+        out = [-1] * len(symbols)
+        for i in range(len(symbols) - 1, -1, -1):
+            if (step := steps[i]) is not None:
+                out[i] = at
+                at = step[at]
+        return out
+
 
 def folded(nodes: list[Node]) -> list[Node]:
     """Tandem repeats as repeated groups, shortest units first; lone occurrences of a repeated unit are such groups too."""
@@ -252,23 +359,82 @@ class Host:
         return json.dumps([self.wrapper, self.paths, self.pages])
 
     def main_paths(self) -> list[str]:
-        """The container paths whose slots are main text."""
-        open_ = {p: s for p, s in self.paths.items() if not any(outside(part) for part in p.split("/"))}
-        for names in MAIN:
-            inside = [p for p in open_ if any(part.split(".")[0] == names for part in p.split("/"))]
-            if any(open_[p][1] for p in inside):
-                return inside
-        mass: dict[str, int] = {}
-        for path, (_, plain, linked) in open_.items():
-            parts = path.split("/")
-            for depth in range(1, len(parts) + 1):
-                top = "/".join(parts[:depth])
-                mass[top] = mass.get(top, 0) + plain - linked
-        if not mass:
-            return list(open_)
-        enough = 0.6 * max(mass.values())
-        root = max((p for p, m in mass.items() if m >= enough), key=lambda p: (p.count("/"), mass[p], p))
-        return [p for p in open_ if p == root or p.startswith(root + "/")]
+        """The container paths that are main text as far as names and sums tell."""
+        return region(self.paths)
+
+
+def region(paths: dict[str, list[int]]) -> list[str]:
+    """Of paths with their pages, text and link text, those of main text."""
+    open_ = {p: s for p, s in paths.items() if not any(outside(part) for part in p.split("/"))}
+    for names in MAIN:
+        inside = [p for p in open_ if any(part.split(".")[0] == names for part in p.split("/"))]
+        if any(open_[p][1] for p in inside):
+            return inside
+    mass: dict[str, int] = {}
+    for path, (_, plain, linked) in open_.items():
+        parts = path.split("/")
+        for depth in range(1, len(parts) + 1):
+            top = "/".join(parts[:depth])
+            mass[top] = mass.get(top, 0) + plain - linked
+    if not mass:
+        return list(open_)
+    enough = 0.6 * max(mass.values())
+    root = max((p for p, m in mass.items() if m >= enough), key=lambda p: (p.count("/"), mass[p], p))
+    return [p for p in open_ if p == root or p.startswith(root + "/")]
+
+
+class Slots:
+    """What is known of the slots of a host's wrapper, each with the path of its texts: pages, occurrences, characters of text and of link
+    text, the least and the greatest hash of its texts, and the least hashes of up to ``SAME_ON`` different pages."""
+
+    __slots__ = ("slots",)
+
+    def __init__(self) -> None:
+        self.slots: dict[str, list] = {}
+
+    def learn(self, page: Page, automaton: Automaton) -> None:
+        own: dict[str, list] = {}
+        blocks = page.blocks()
+        mark = xxhash.xxh64_intdigest("\n".join(block.text() for block in blocks))
+        for key, block in keyed(blocks, page, automaton):
+            digest = xxhash.xxh64_intdigest(block.text())
+            self.add(own, key, [1, 1, *block.sums, digest, digest, [mark]])
+        for key, facts in own.items():
+            self.add(self.slots, key, [1, *facts[1:]])
+
+    @staticmethod
+    def add(slots: dict[str, list], key: str, facts: list) -> None:
+        known = slots.get(key)
+        if known is None:
+            slots[key] = facts
+            return
+        slots[key] = [*(a + b for a, b in zip(known[:4], facts[:4], strict=True)), min(known[4], facts[4]), max(known[5], facts[5]), sorted({*known[6], *facts[6]})[:SAME_ON]]
+
+    def join(self, other: str) -> None:
+        for key, facts in json.loads(other).items():
+            self.add(self.slots, key, facts)
+
+    def packed(self) -> str:
+        return json.dumps(self.slots)
+
+    def boilerplate(self) -> list[str]:
+        """Slots that are template (the same on different pages) or repeated groups of links."""
+        return [key for key, (pages, n, plain, linked, low, high, marks) in self.slots.items() if (low == high and len(marks) >= SAME_ON) or (n > pages and linked > plain)]
+
+    def sums(self) -> dict[str, list[int]]:
+        """Pages, text and link text of each path, without boilerplate."""
+        left = Host()
+        without = set(self.boilerplate())
+        for key, (pages, _, plain, linked, *_) in self.slots.items():
+            if key not in without:
+                left.add(key.split(" ", 1)[1], pages, plain, linked)
+        return left.paths
+
+
+def keyed(blocks: list[Block], page: Page, automaton: Automaton) -> list[tuple[str, Block]]:
+    """Blocks with a text, each with its slot and path."""
+    positions = automaton.match(page.symbols)
+    return [(f"{positions[b.place]} {b.path}", b) for b in blocks if b.place is not None]
 
 
 def outside(part: str) -> bool:
@@ -297,30 +463,31 @@ def decoded(batch: pa.RecordBatch, column: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """One row for each host: the packed wrapper inferred from all its pages (columns url and html)."""
+def gathered(pages: DataFrame, make: type, learner) -> DataFrame:
+    """One row for each host: what all its pages (columns url and html) tell, packed. ``learner()`` gives a task's function of host, what is known, and page."""
 
     def each_task(batches):
-        hosts: dict[str, Host] = {}
+        learn = learner()
+        hosts: dict[str, Host | Slots] = {}
         for batch in batches:
             for part in slices(batch, "html"):
                 for url, source in zip(decoded(part, "url"), decoded(part, "html"), strict=True):
                     name = host_of(url)
                     if name not in hosts:
-                        hosts[name] = Host()
-                    hosts[name].learn(Page(source or ""))
+                        hosts[name] = make()
+                    learn(name, hosts[name], Page(source or ""))
                 if len(hosts) > 4096:  # memory, not a limit: what is left out here meets in the next step
                     yield rows(hosts)
                     hosts.clear()
         yield rows(hosts)
 
-    def rows(hosts: dict[str, Host]) -> pa.RecordBatch:
+    def rows(hosts: dict) -> pa.RecordBatch:
         packed = [h.packed() for h in hosts.values()]
         salts = [xxhash.xxh32_intdigest(p) % SALTS for p in packed]
         return pa.RecordBatch.from_arrays([pa.array(list(hosts), pa.string()), pa.array(salts, pa.int32()), pa.array(packed, pa.string())], names=["host", "salt", "wrapper"])
 
     def together(table: pa.Table) -> pa.Table:
-        host = Host()
+        host = make()
         for packed in sorted(table["wrapper"].to_pylist()):
             host.join(packed)
         return pa.table({"host": table["host"][:1].cast(pa.string()), "salt": pa.array([0], pa.int32()), "wrapper": pa.array([host.packed()], pa.string())})
@@ -329,34 +496,79 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return partial.groupBy("host", "salt").applyInArrow(together, PARTIAL).groupBy("host").applyInArrow(together, PARTIAL).drop("salt")
 
 
+def wrappers(pages: DataFrame) -> DataFrame:
+    """One row for each host: the packed wrapper inferred from all its pages (columns url and html)."""
+    return gathered(pages, Host, lambda: lambda name, host, page: host.learn(page))
+
+
+def slots(pages: DataFrame, uri: str, buckets: int = BUCKETS) -> DataFrame:
+    """One row for each host: the packed slots that its pages fill in the stored wrapper."""
+
+    def learner():
+        known = Known(uri, "hosts", buckets, Automaton)
+        return lambda name, own, page: own.learn(page, known[name])
+
+    return gathered(pages, Slots, learner)
+
+
 def bucket_of(host: str, buckets: int) -> int:
     return xxhash.xxh32_intdigest(host) % buckets
 
 
-def store(found: DataFrame, uri: str, buckets: int = BUCKETS) -> None:
-    """Write the hosts' main paths, one file for each bucket of hosts."""
+class Known:
+    """Stored hosts by name, read by bucket and compiled as they are met."""
+
+    def __init__(self, uri: str, kind: str, buckets: int, compiled) -> None:
+        self.shelf, self.kind, self.buckets, self.compiled = Shelf(uri), kind, buckets, compiled
+        self.stored: dict[int, dict[str, list]] = {}
+        self.ready: dict[str, object] = {}
+
+    def __getitem__(self, name: str):
+        if name not in self.ready:
+            bucket = bucket_of(name, self.buckets)
+            if bucket not in self.stored:
+                if sum(map(len, self.stored.values())) > HOSTS_HELD:
+                    self.stored.clear()
+                self.stored[bucket] = json.loads(self.shelf.get(f"{self.kind}-{bucket}")["json"].tobytes())
+            if len(self.ready) >= COMPILED_HELD:
+                self.ready.clear()
+            self.ready[name] = self.compiled(self.stored[bucket][name])
+        return self.ready[name]
+
+
+def wrapper_of(packed: str) -> list:
+    return json.loads(packed)[0] or []
 
-    def keyed(batches):
+
+def main_of(packed: str) -> list:
+    own = Slots()
+    own.join(packed)
+    return [own.boilerplate(), region(own.sums())]
+
+
+def store(found: DataFrame, uri: str, buckets: int = BUCKETS, kind: str = "hosts", kept=wrapper_of) -> None:
+    """Write what is kept of the hosts' wrappers (or slots), one file for each bucket of hosts."""
+
+    def bucketed(batches):
         for batch in batches:
             own = [bucket_of(h, buckets) for h in decoded(batch, "host")]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column(0), batch.column(1)], names=["bucket", "host", "wrapper"])
 
     def write(key: tuple, table: pa.Table) -> pa.Table:
-        main = {}
-        for name, packed in zip(table["host"].to_pylist(), table["wrapper"].to_pylist(), strict=True):
-            host = Host()
-            host.join(packed)
-            main[name] = host.main_paths()
-        Shelf(uri).put(f"hosts-{key[0].as_py()}", {"json": np.frombuffer(json.dumps(main).encode(), np.uint8)})
-        return pa.table({"n": pa.array([len(main)], pa.int64())})
+        out = {name: kept(packed) for name, packed in zip(table["host"].to_pylist(), table["wrapper"].to_pylist(), strict=True)}
+        Shelf(uri).put(f"{kind}-{key[0].as_py()}", {"json": np.frombuffer(json.dumps(out).encode(), np.uint8)})
+        return pa.table({"n": pa.array([len(out)], pa.int64())})
 
-    keyed_rows = found.select("host", "wrapper").mapInArrow(keyed, "bucket int, host string, wrapper string")
-    keyed_rows.groupBy("bucket").applyInArrow(write, "n long").groupBy().sum("n").collect()
+    rows = found.select("host", "wrapper").mapInArrow(bucketed, "bucket int, host string, wrapper string")
+    rows.groupBy("bucket").applyInArrow(write, "n long").groupBy().sum("n").collect()
 
 
-def main_text(page: Page, main: set[str]) -> str:
+def main_text(page: Page, automaton: Automaton, boilerplate: set[str], main: set[str]) -> str:
     """The texts of main slots: references decoded, white space as one space, blocks joined by one space."""
-    pieces = [" " if not text else text for path, text, _ in page.texts if path in main]
+    pieces = []
+    for key, block in keyed(page.blocks(), page, automaton):
+        if key not in boilerplate and block.path in main:
+            pieces += ["" if block.glued else " ", *block.texts]
     return " ".join(references.unescape("".join(pieces)).split())
 
 
@@ -364,22 +576,18 @@ EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 
 def extracted(pages: DataFrame, uri: str, buckets: int = BUCKETS) -> DataFrame:
-    """Apply the stored wrappers to every page."""
+    """Match every page against the stored wrapper of its host, store what the slots hold, and take each page's main slots."""
+    store(slots(pages, uri, buckets), uri, buckets, "slots", main_of)
 
     def each_task(batches):
-        shelf = Shelf(uri)
-        known: dict[int, dict[str, list[str]]] = {}
+        automata = Known(uri, "hosts", buckets, Automaton)
+        decided = Known(uri, "slots", buckets, lambda own: (set(own[0]), set(own[1])))
         for batch in batches:
             for part in slices(batch, "html"):
                 out = []
                 for url, source in zip(decoded(part, "url"), decoded(part, "html"), strict=True):
                     name = host_of(url)
-                    bucket = bucket_of(name, buckets)
-                    if bucket not in known:
-                        if sum(map(len, known.values())) > HOSTS_HELD:
-                            known.clear()
-                        known[bucket] = json.loads(shelf.get(f"hosts-{bucket}")["json"].tobytes())
-                    out.append(main_text(Page(source or ""), set(known[bucket][name])))
+                    out.append(main_text(Page(source or ""), automata[name], *decided[name]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(each_task, EXTRACTED)

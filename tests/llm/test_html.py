@@ -81,3 +81,27 @@ def test_query(spark):
     out = html.op3_wrappers(spark, sf).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     assert len(out) == len(pages) and all(r.n_chars == len(r.text) and "<p>" not in r.text for r in out)
+
+
+def test_slots_tell_template_text_and_link_groups_apart(spark):
+    rows, texts = [], []
+    for i in range(12):
+        _, source, text = page(i)
+        notice = "<h5>Printed on paper of our own mill</h5>" if i % 2 else ""
+        links = "".join(f"<dd><a href='/{i}-{n}'>more {i * n}</a></dd>" for n in range(2 + i % 3))
+        rows.append((i, "http://slots.org/a", source.replace("</article>", f"{notice}<dl>{links}</dl></article>"), ""))
+        texts.append(text)
+    out = extract(spark, rows)
+    assert [out[i].text for i in range(12)] == texts
+
+
+def test_every_page_matches_the_wrapper_of_its_host():
+    host, pages = html.Host(), [html.Page(page(seed)[1]) for seed in range(60)]
+    for p in pages:
+        host.learn(p)
+    automaton = html.Automaton(host.wrapper)
+    for p in pages:
+        positions = automaton.match(p.symbols)
+        assert [automaton.symbols[at] for at in positions] == p.symbols
+        assert all(b in automaton.follow[a].get(s, {}) for a, b, s in zip(positions, positions[1:], p.symbols[1:]))
+    assert automaton.match(["<unheard", "<html"])[0] == -1
