@@ -15,7 +15,8 @@ text (what stands between tags that break lines) has a slot. For each slot and c
 text and link text, and whether all pages have the same text there. Slots whose text is the same on three different pages or more are
 template, slots that repeat and hold mostly link text are link groups; neither is main text. Of the other slots those in navigation, headers,
 footers, asides, forms, scripts, adverts, notices and comments are left out by name, as such texts vary like main text does; which region is main
-where slots leave a choice is decided by an article or main element with text, else by the container that holds most of the text.
+where slots leave a choice is decided for each page, as a host may have pages of several templates: the page's article or main element with
+text, else of the page's containers the one that holds most of the text, by the host's sums.
 Wrappers and slots are written to the shared folder by bucket of hosts, and the passes over the pages read the buckets they need, so html is never
 shuffled and nothing is broadcast.
 
@@ -363,15 +364,16 @@ class Host:
         return region(self.paths)
 
 
-def region(paths: dict[str, list[int]]) -> list[str]:
-    """Of paths with their pages, text and link text, those of main text."""
+def region(paths: dict[str, list[int]], known: dict[str, list[int]] | None = None) -> list[str]:
+    """Of paths with their pages, text and link text, those of main text; ``known``: the host's sums, where the paths are a page's."""
     open_ = {p: s for p, s in paths.items() if not any(outside(part) for part in p.split("/"))}
     for names in MAIN:
         inside = [p for p in open_ if any(part.split(".")[0] == names for part in p.split("/"))]
         if any(open_[p][1] for p in inside):
             return inside
     mass: dict[str, int] = {}
-    for path, (_, plain, linked) in open_.items():
+    for path, sums in open_.items():
+        _, plain, linked = (known or {}).get(path, sums)
         parts = path.split("/")
         for depth in range(1, len(parts) + 1):
             top = "/".join(parts[:depth])
@@ -543,7 +545,10 @@ def wrapper_of(packed: str) -> list:
 def main_of(packed: str) -> list:
     own = Slots()
     own.join(packed)
-    return [own.boilerplate(), region(own.sums())]
+    sums = own.sums()
+    if not any(plain for path, (_, plain, _) in sums.items() if not any(outside(part) for part in path.split("/"))):
+        return [[], {}]  # all pages say the same, so that is their text
+    return [own.boilerplate(), sums]
 
 
 def store(found: DataFrame, uri: str, buckets: int = BUCKETS, kind: str = "hosts", kept=wrapper_of) -> None:
@@ -563,12 +568,14 @@ def store(found: DataFrame, uri: str, buckets: int = BUCKETS, kind: str = "hosts
     rows.groupBy("bucket").applyInArrow(write, "n long").groupBy().sum("n").collect()
 
 
-def main_text(page: Page, automaton: Automaton, boilerplate: set[str], main: set[str]) -> str:
+def main_text(page: Page, automaton: Automaton, boilerplate: set[str], known: dict[str, list[int]]) -> str:
     """The texts of main slots: references decoded, white space as one space, blocks joined by one space."""
-    pieces = []
-    for key, block in keyed(page.blocks(), page, automaton):
-        if key not in boilerplate and block.path in main:
-            pieces += ["" if block.glued else " ", *block.texts]
+    left = [block for key, block in keyed(page.blocks(), page, automaton) if key not in boilerplate]
+    own = Host()
+    for block in left:
+        own.add(block.path, 1, *block.sums)
+    main = set(region(own.paths, known))
+    pieces = [piece for block in left if block.path in main for piece in ("" if block.glued else " ", *block.texts)]
     return " ".join(references.unescape("".join(pieces)).split())
 
 
@@ -581,7 +588,7 @@ def extracted(pages: DataFrame, uri: str, buckets: int = BUCKETS) -> DataFrame:
 
     def each_task(batches):
         automata = Known(uri, "hosts", buckets, Automaton)
-        decided = Known(uri, "slots", buckets, lambda own: (set(own[0]), set(own[1])))
+        decided = Known(uri, "slots", buckets, lambda own: (set(own[0]), own[1]))
         for batch in batches:
             for part in slices(batch, "html"):
                 out = []

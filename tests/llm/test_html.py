@@ -105,3 +105,18 @@ def test_every_page_matches_the_wrapper_of_its_host():
         assert [automaton.symbols[at] for at in positions] == p.symbols
         assert all(b in automaton.follow[a].get(s, {}) for a, b, s in zip(positions, positions[1:], p.symbols[1:]))
     assert automaton.match(["<unheard", "<html"])[0] == -1
+
+
+def test_a_host_of_several_templates_keeps_every_article(spark):
+    own = [page(i, "mixed.org", "article" if i % 3 == 0 else "div") for i in range(30)]
+    own = [(u, s.replace("article>", "main>") if i % 6 == 0 else s, t) for i, (u, s, t) in enumerate(own)]
+    rare = [page(i, "rare.org", "div") for i in range(40)]
+    rare = [(u, s.replace('class="story"', 'class="post"') if i % 4 == 0 else s, t) for i, (u, s, t) in enumerate(rare)]
+    pages = own + rare + [(None, s, t) for _, s, t in own]
+    out = extract(spark, [(i, url, source, "") for i, (url, source, _) in enumerate(pages)])
+    assert [out[i].text for i in range(len(pages))] == [text for _, _, text in pages]
+
+
+def test_a_host_whose_pages_all_say_the_same_keeps_its_text(spark):
+    rows = [(i, "http://same.org", f"<nav>{i}</nav><p>We are away.</p>", "") for i in range(5)]
+    assert {r.text for r in extract(spark, rows).values()} == {"We are away."}
