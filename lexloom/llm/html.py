@@ -14,7 +14,8 @@ A second pass matches each page's symbols against its host's wrapper, by the pos
 text (what stands between tags that break lines) has a slot. For each slot and container path it gathers how often the slot occurs, its
 text and link text, and whether all pages have the same text there. Slots whose text is the same on three different pages or more are
 template, slots that repeat and hold mostly link text are link groups; neither is main text. Of the other slots those in navigation, headers,
-footers, asides, forms, scripts, adverts, notices and comments are left out by name, as such texts vary like main text does; which region is main
+footers, asides, forms, scripts, adverts, notices and comments are left out by name (tag, or any word of class, role or id of any element
+around), as such texts vary like main text does; a word on html or body counts nothing, nor one on an element that frames the page; which region is main
 where slots leave a choice is decided for each page, as a host may have pages of several templates: the page's article or main element with
 text, else of the page's containers the one that holds most of the text, by the host's sums.
 Wrappers and slots are written to the shared folder by bucket of hosts, and the passes over the pages read the buckets they need, so html is never
@@ -44,12 +45,17 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 CLASS = re.compile(r"\b(?:class|role|id)\s*=\s*[\"']?([^\s\"'>]+)", re.I)
+WORDS = re.compile(r"(?:^|(?<=[\s\"']))(?:class|role|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Fixed lists: elements that hold others, elements that do not break a line of text, elements and class words outside main text.
 CONTAINERS = frozenset("html body article main section div nav header footer aside form ul ol table menu dialog figure details fieldset".split())
 INLINE = frozenset("a abbr b bdi bdo cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 OUTSIDE = frozenset("nav header footer aside form menu dialog button select option head title label".split())
 OUTSIDE_WORD = re.compile(r"(?i)(?:^|[-_])(?:ads?|advert\w*|banner|nav\w*|menu|side-?bar|footer|header|comments?|cookies?|notices?|promo\w*|related|share|social|breadcrumbs?|popup|subscribe|newsletter|widget|search|login)(?:$|[-_])")
 MAIN = ("article", "main")
+#: Elements without an end, elements that another of the same names ends, and the mark of a path's part that is outside by a word.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ENDS = {name: group for group in (frozenset({"li"}), frozenset({"dt", "dd"}), frozenset({"td", "th"}), frozenset({"tr"}), frozenset({"p"})) for name in group}
+MARK = "\x1f"
 LONGEST_UNIT, BUCKETS, SALTS, HOSTS_HELD = 16, 256, 32, 100_000
 #: Compiled hosts that a task holds (memory, not a limit), and the different pages that show a text to be template.
 COMPILED_HELD, SAME_ON = 1024, 3
@@ -68,6 +74,7 @@ class Page:
         self.places: dict[int, int] = {}  # number of a text: its symbol's number
         self.texts: list[tuple[str, str, bool]] = []  # (path, text or "" for a line break, in a link)
         stack: list[tuple[str, str]] = []
+        heads: list[str] = []
         path, link = "", 0
         for match in TOKEN.finditer(source):
             raw, slash, name, attributes, text = match.groups()
@@ -90,13 +97,50 @@ class Page:
             self.symbols.append(symbol)
             if name not in INLINE:
                 self.texts.append((path, "", link > 0))
-            if name in CONTAINERS or name in OUTSIDE:
-                if not slash:
-                    stack.append((name, symbol[1:]))
-                elif any(n == name for n, _ in stack):
+            held = name in CONTAINERS or name in OUTSIDE
+            if slash:
+                if any(n == name for n, _ in stack):
                     while stack.pop()[0] != name:
                         pass
+                    path = "/".join(s for _, s in stack)
+                continue
+            if name not in INLINE and stack and stack[-1][0] not in CONTAINERS and (stack[-1][0] == "p" or name in ENDS.get(stack[-1][0], ())):
+                stack.pop()  # its end is left out
+                path = "/".join(s for _, s in stack)
+            marked = bool(attributes) and name not in ("html", "body") and outside_by_word(attributes)
+            if name not in VOID and (held or marked or any(n == name for n, _ in stack)):
+                stack.append((name, symbol[1:] + (MARK if marked else "")))
                 path = "/".join(s for _, s in stack)
+            if name in ("h1", "main"):
+                heads.append(path)
+        if MARK in "".join({p for p, _, _ in self.texts}):
+            self.unframed(heads)
+
+    def unframed(self, heads: list[str]) -> None:
+        """Take the mark from elements that frame the page: no text is main without them, or they hold its h1 or main element and at least as much."""
+        sums: dict[str, int] = {}
+        for path, text, link in self.texts:
+            if not link:
+                sums[path] = sums.get(path, 0) + len(text.strip())
+        frames: dict[str, str] = {}
+
+        def plain(path: str) -> str:
+            """The path without the marks of frames."""
+            parts = path.split("/")
+            return "/".join(frames.get("/".join(parts[: i + 1]), part) for i, part in enumerate(parts))
+
+        for path in sorted({"/".join(p[: i + 1]) for p in (q.split("/") for q in sums) for i, part in enumerate(p) if part.endswith(MARK)}, key=lambda p: (p.count("/"), p)):
+            above, _, part = path.rpartition("/")
+            if any(outside(x) for x in plain(above).split("/")):
+                continue
+            open_ = sum(n for p, n in sums.items() if not any(outside(x) for x in plain(p).split("/")))
+            frames[path] = part[:-1]
+            inside = sum(n for p, n in sums.items() if not any(outside(x) for x in plain(p).split("/"))) - open_
+            headed = any(h.startswith(path + "/") or h == path for h in heads)
+            if not inside or not (open_ == 0 or (headed and inside >= open_)):
+                del frames[path]
+        if frames:
+            self.texts = [(plain(p), text, link) for p, text, link in self.texts]
 
     def blocks(self) -> list[Block]:
         """Runs of text of one path without a line break."""
@@ -440,8 +484,11 @@ def keyed(blocks: list[Block], page: Page, automaton: Automaton) -> list[tuple[s
 
 
 def outside(part: str) -> bool:
-    name, _, word = part.partition(".")
-    return name in OUTSIDE or bool(word and OUTSIDE_WORD.search(word))
+    return part.endswith(MARK) or part.partition(".")[0] in OUTSIDE
+
+
+def outside_by_word(attributes: str) -> bool:
+    return any(OUTSIDE_WORD.search(word) for found in WORDS.finditer(attributes) for value in found.groups() if value for word in value.split())
 
 
 def tupled(node: list) -> Node:

@@ -120,3 +120,19 @@ def test_a_host_of_several_templates_keeps_every_article(spark):
 def test_a_host_whose_pages_all_say_the_same_keeps_its_text(spark):
     rows = [(i, "http://same.org", f"<nav>{i}</nav><p>We are away.</p>", "") for i in range(5)]
     assert {r.text for r in extract(spark, rows).values()} == {"We are away."}
+
+
+def test_any_word_of_any_element_leaves_text_out_but_frames_do_not(spark):
+    inside = ['<div id="x1" class="ad">%s</div>', '<div class="box comments"><p>%s</p></div>', '<p class="notice">%s', '<dl class="menu"><dt>%s<dd>%s</dl>', 'z%s <span class="big promo">%s<span>%s</span></span>', '<p role="note" id=cookie-notice>%s</p>']
+    frames = ['<body class="no-sidebar wide">%s</body>', '<div class="nav-open x">%s</div>', '<body><div id="page" class="has-footer">%s</div><p>%s</p></body>', '<section data-id="menu">%s</section>']
+    rows, texts = [], []
+    for frame in frames:
+        for extra in inside:
+            for i in range(4):
+                n = len(rows)
+                word = f"leak{n}"
+                body = f"<nav>a{n}</nav><div class='story'><h1>T{n}</h1><p>Some text of page {n}.</p>" + extra.replace("z%s", f"z{n}").replace("%s", word) + f"<p>More of the text, {n * 7}.</p></div>"
+                rows.append((n, f"http://h{frames.index(frame)}-{inside.index(extra)}.org", frame.replace("%s", body, 1).replace("%s", "by us"), ""))
+                texts.append(f"T{n} Some text of page {n}. {f'z{n} ' if extra[0] == 'z' else ''}More of the text, {n * 7}.")
+    out = extract(spark, rows)
+    assert [out[i].text for i in range(len(rows))] == texts
