@@ -112,9 +112,21 @@ CHUNK_COLUMNS = """doc_id AS chunk_id, doc_id % 50 AS document_id, CAST(doc_id A
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have an embedding, as chunks."""
-    own = spark.sql(f"SELECT {CHUNK_COLUMNS} FROM {{docs}}", docs=table(spark, sf_dir, "documents"))
-    vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS chunk_id", "embedding")
-    return own.join(vectors, "chunk_id")
+    return plain_chunks(spark, sf_dir).join(vectors(spark, sf_dir), "chunk_id")
+
+
+def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as chunks, the embedding null where there is none."""
+    return plain_chunks(spark, sf_dir).join(vectors(spark, sf_dir), "chunk_id", "left")
+
+
+def plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as chunks, without embeddings."""
+    return spark.sql(f"SELECT {CHUNK_COLUMNS} FROM {{docs}}", docs=table(spark, sf_dir, "documents"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS chunk_id", "embedding")
 
 
 CHUNK_DUCK = f"SELECT c.*, e.embedding FROM (SELECT {CHUNK_COLUMNS} FROM documents) c JOIN embeddings e ON e.vec_id = c.chunk_id"
