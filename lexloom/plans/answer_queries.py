@@ -10,12 +10,14 @@ from ..functions.models import HashEmbedder
 from ..operators import answer, context, hybrid
 from ..operators.lineage import settled
 from . import fixtures
-from .registry import query, quoted, table
+from .registry import ORACLES, query, quoted, table
 from .structure_queries import DEFINED_SQL, REDIRECT_SQL, STRIP
 from .text_queries import COSINE, tok
 
 ASKED = (0, 1, 5, 14, 18)
 COMPARED = (4, 8, 16)
+#: The same as conditions. The queries named ``*_all`` below have neither list: all questions, or all comparisons, over all documents.
+ASKED_ONLY, COMPARED_ONLY = f"query_id IN {ASKED}", f"query_id IN {COMPARED}"
 
 
 def sql_pattern(pattern: str) -> str:
@@ -77,10 +79,10 @@ def plan_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Retrieval
 
 
-def asked(spark: SparkSession, sf_dir: str, ids: tuple[int, ...]) -> DataFrame:
+def asked(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     """Planned questions with a stored vector as each question's own."""
     vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") / 3).cast("bigint").alias("query_id"), F.col("embedding").alias("query_vector"), (F.col("vec_id") % 3).alias("rest"))
-    return plans(spark).filter(F.col("query_id").isin(*ids)).join(vectors.filter("rest = 0").drop("rest"), "query_id")
+    return plans(spark).filter(which).join(vectors.filter("rest = 0").drop("rest"), "query_id")
 
 
 def scored_sql(ids: tuple[int, ...], by_kind: bool = False, strict: bool = False, kinds: str = "doc_kinds") -> str:
@@ -108,8 +110,8 @@ def scored_sql(ids: tuple[int, ...], by_kind: bool = False, strict: bool = False
 HITS = "query_id, rank, chunk_id, round(score, 6) AS score, round(semantic, 6) AS semantic_score, round(keyword, 6) AS keyword_score, round(structure, 6) AS structure_score"
 
 
-def rounded(spark: SparkSession, sf_dir: str, ids: tuple[int, ...], **options) -> DataFrame:
-    found = hybrid.scored(asked(spark, sf_dir, ids), fixtures.chunk_rows(spark, sf_dir), **options)
+def rounded(spark: SparkSession, sf_dir: str, which: str, chunks=fixtures.chunk_rows, **options) -> DataFrame:
+    found = hybrid.scored(asked(spark, sf_dir, which), chunks(spark, sf_dir), **options)
     return found.withColumns({c: F.round(c, 6) for c in ("score", "semantic_score", "keyword_score", "structure_score")})
 
 
@@ -121,13 +123,13 @@ SCORES = ("query_id", "rank", "chunk_id", "score", "semantic_score", "keyword_sc
 
 
 @query(scored_sql(ASKED) + f" SELECT {HITS} FROM rk WHERE rank <= 6")
-def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(rounded(spark, sf_dir, ASKED), 6, "query_id").select(*SCORES)
+def hybrid_topk(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
+    return ranked(rounded(spark, sf_dir, which, chunks), 6, "query_id").select(*SCORES)
 
 
 @query(scored_sql(COMPARED, by_kind=True, strict=True) + f" SELECT doc_kind, {HITS} FROM rk WHERE rank <= 3")
-def per_kind_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(rounded(spark, sf_dir, COMPARED, strict=True, by_kind=True), 3, "query_id", "doc_kind").select("doc_kind", *SCORES)
+def per_kind_topk(spark: SparkSession, sf_dir: str, which: str = COMPARED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
+    return ranked(rounded(spark, sf_dir, which, chunks, strict=True, by_kind=True), 3, "query_id", "doc_kind").select("doc_kind", *SCORES)
 
 
 @query(
@@ -135,9 +137,9 @@ def per_kind_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ", want AS (SELECT query_id, CASE WHEN len(doc_kinds) > 0 THEN doc_kinds ELSE ['mdr', 'ivdr'] END AS kinds FROM pl), got AS (SELECT query_id, list(DISTINCT doc_kind) AS g FROM rk WHERE rank <= 3 GROUP BY query_id) "
     "SELECT query_id, array_to_string(list_filter(kinds, lambda k: list_contains(coalesce(g, []), k)), ',') AS covered, array_to_string(list_filter(kinds, lambda k: NOT list_contains(coalesce(g, []), k)), ',') AS missing FROM want LEFT JOIN got USING (query_id)"
 )
-def comparison_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = ranked(rounded(spark, sf_dir, COMPARED, strict=True, by_kind=True), 3, "query_id", "doc_kind")
-    own = answer.coverage(plans(spark).filter(F.col("query_id").isin(*COMPARED)), hits)
+def comparison_coverage(spark: SparkSession, sf_dir: str, which: str = COMPARED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
+    hits = ranked(rounded(spark, sf_dir, which, chunks, strict=True, by_kind=True), 3, "query_id", "doc_kind")
+    own = answer.coverage(plans(spark).filter(which), hits)
     return own.select("query_id", F.array_join("covered", ",").alias("covered"), F.array_join("missing", ",").alias("missing"))
 
 
@@ -153,21 +155,21 @@ def with_plan(hits: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 @query(scored_sql(ASKED) + CONFIDENCE_SQL + " SELECT query_id, confidence FROM conf")
-def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid.confidence(with_plan(ranked(rounded(spark, sf_dir, ASKED), 6, "query_id"), spark))
+def confidence(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
+    return hybrid.confidence(with_plan(ranked(rounded(spark, sf_dir, which, chunks), 6, "query_id"), spark))
 
 
 @query(scored_sql(ASKED) + CONFIDENCE_SQL + " SELECT query_id, confidence, CASE WHEN coalesce(confidence, 0) < 0.35 THEN 'refused' ELSE 'answerable' END AS gate FROM pl LEFT JOIN conf USING (query_id)")
-def refusal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sure = hybrid.confidence(with_plan(ranked(rounded(spark, sf_dir, ASKED), 6, "query_id"), spark))
-    own = plans(spark).filter(F.col("query_id").isin(*ASKED)).join(sure, "query_id", "left")
+def refusal_gate(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
+    sure = hybrid.confidence(with_plan(ranked(rounded(spark, sf_dir, which, chunks), 6, "query_id"), spark))
+    own = plans(spark).filter(which).join(sure, "query_id", "left")
     return own.select("query_id", "confidence", F.when(F.coalesce("confidence", F.lit(0.0)) < 0.35, "refused").otherwise("answerable").alias("gate"))
 
 
 @query(scored_sql(ASKED) + " SELECT query_id, chunk_id, round(structure, 6) AS structure_score, bonus FROM sc WHERE structure > 0 OR bonus > 0")
-def structure_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+def structure_score(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
     """Structure scores and explicit-reference bonuses, without the rest of retrieval."""
-    pairs = hybrid.in_scope(fixtures.chunk_rows(spark, sf_dir).crossJoin(F.broadcast(plans(spark).filter(F.col("query_id").isin(*ASKED)))), F.col("doc_kinds"), F.col("doc_kind"))
+    pairs = hybrid.in_scope(chunks(spark, sf_dir).crossJoin(F.broadcast(plans(spark).filter(which))), F.col("doc_kinds"), F.col("doc_kind"))
     score = hybrid.structure_score(F.col("chunk_kind"), F.col("content"), F.col("preferred_chunk_kinds"), F.col("quoted_terms"))
     bonus = hybrid.reference_bonus(F.col("article_num"), F.col("section_path"), F.col("article_refs"), F.col("annex_refs"))
     return pairs.select("query_id", "chunk_id", F.round(score, 6).alias("structure_score"), bonus.alias("bonus")).filter("structure_score > 0 or bonus > 0")
@@ -219,23 +221,37 @@ def sibling_sql(number: int, before: str) -> str:
 EXPANDED = f"{CUT_SQL}, e0 AS (SELECT query_id, chunk_id, citation, content, false AS expanded, rank AS ord, used FROM prim), {sibling_sql(1, 'e0')}, {sibling_sql(2, 'e1')}"
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(answer.cited(ranked(rounded(spark, sf_dir, ASKED), 6, "query_id")))
+def hits(spark: SparkSession, sf_dir: str, which: str, chunks) -> DataFrame:
+    return settled(answer.cited(ranked(rounded(spark, sf_dir, which, chunks), 6, "query_id")))
 
 
 @query(scored_sql(ASKED) + f", {CUT_SQL} SELECT query_id, rank, chunk_id, citation, CAST(used AS BIGINT) AS used FROM prim")
-def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.primary(hits(spark, sf_dir)).select("query_id", "rank", "chunk_id", "citation", "used")
+def context_budget(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
+    return context.primary(hits(spark, sf_dir, which, chunks)).select("query_id", "rank", "chunk_id", "citation", "used")
 
 
 @query(scored_sql(ASKED) + f", {EXPANDED} SELECT query_id, chunk_id, citation, expanded, CAST(ord AS BIGINT) AS ord, CAST(used AS BIGINT) AS used FROM e2")
-def sibling_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.expanded(hits(spark, sf_dir), fixtures.chunk_rows(spark, sf_dir)).select("query_id", "chunk_id", "citation", "expanded", "ord", "used")
+def sibling_expand(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
+    return context.expanded(hits(spark, sf_dir, which, chunks), chunks(spark, sf_dir)).select("query_id", "chunk_id", "citation", "expanded", "ord", "used")
 
 
 @query(scored_sql(ASKED) + f", {EXPANDED} SELECT query_id, string_agg('[' || citation || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS context FROM e2 GROUP BY query_id")
-def context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.rendered(context.expanded(hits(spark, sf_dir), fixtures.chunk_rows(spark, sf_dir)), "query_id")
+def context_format(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
+    return context.rendered(context.expanded(hits(spark, sf_dir, which, chunks), chunks(spark, sf_dir)), "query_id")
+
+
+def whole(function, condition: str) -> None:
+    """Register a query over all documents and all questions that meet the condition, as ``*_all``; its SQL is the query's own without the cuts."""
+    sql = ORACLES[function.__name__].replace(fixtures.CHUNK_DUCK, fixtures.ALL_CHUNK_DUCK)
+    for cut in (ASKED_ONLY, COMPARED_ONLY):
+        sql = sql.replace(cut, condition)
+    query(sql, f"{function.__name__}_all")(lambda spark, sf_dir: function(spark, sf_dir, condition, fixtures.all_chunks))
+
+
+for one in (hybrid_topk, confidence, refusal_gate, structure_score, context_budget, sibling_expand, context_format):
+    whole(one, "true")
+for one in (per_kind_topk, comparison_coverage):
+    whole(one, "is_comparison")
 
 
 DEFINITIONS = (

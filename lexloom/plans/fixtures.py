@@ -130,3 +130,4 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHUNK_DUCK = f"SELECT c.*, e.embedding FROM (SELECT {CHUNK_COLUMNS} FROM documents) c JOIN embeddings e ON e.vec_id = c.chunk_id"
+ALL_CHUNK_DUCK = CHUNK_DUCK.replace("JOIN embeddings", "LEFT JOIN embeddings")

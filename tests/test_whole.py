@@ -19,3 +19,10 @@ def folder(spark, tmp_path_factory):
 def test_answers_read_documents_without_a_stored_vector(spark, folder):
     rows = catalog.queries()["answer_path"](spark, folder).collect()
     assert len(rows) == 20 and next(r for r in rows if r.query_id == 0).n_sources == 6
+
+
+def test_whole_forms_have_all_questions_and_documents(spark, folder):
+    queries = catalog.queries()
+    assert {r.query_id for r in queries["refusal_gate_all"](spark, folder).collect()} == set(range(20))
+    assert max(r.chunk_id for r in queries["structure_score_all"](spark, folder).collect()) > 8
+    assert {r.query_id for r in queries["comparison_coverage_all"](spark, folder).collect()} > {4, 8, 16}
