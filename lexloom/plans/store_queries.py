@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import store
+from ..operators.lineage import settled
 from ..streaming import events as ev
 from ..streaming import landing
 from . import fixtures
@@ -29,12 +30,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{DOCS_DUCK} SELECT id, filename, status, CAST(row_number() OVER (ORDER BY created DESC, id DESC) AS BIGINT) AS place FROM d QUALIFY place <= 25")
 def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     top = store.listed(documents(spark, sf_dir)).limit(25)
     return top.select("id", "filename", "status", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))).cast("bigint").alias("place"))
 
 
+@query(f"{DOCS_DUCK} SELECT id, filename, status, CAST(row_number() OVER (ORDER BY created DESC, id DESC) AS BIGINT) AS place FROM d")
+def document_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its place: its number in its part of the sorted rows, and the sizes of the parts before."""
+    own = settled(store.listed(documents(spark, sf_dir)).select("id", "filename", "status", F.monotonically_increasing_id().alias("__at")))
+    own = own.select("id", "filename", "status", F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("__at"))
+    sizes = own.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return own.join(before, "__part").select("id", "filename", "status", (F.col("__before") + F.col("__at") + 1).alias("place"))
+
+
 @query(f"{DOCS_DUCK} SELECT id, filename, status FROM d WHERE id = 17")
 def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).filter("id = 17").select("id", "filename", "status")
@@ -51,6 +60,13 @@ def ready_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.ready_chunks(chunks, documents(spark, sf_dir), [3, 5, 6, 7, 9]).select("chunk_id", "filename", "short_label", "doc_kind")
 
 
+@query(f"{DOCS_DUCK}, c AS (SELECT {fixtures.CHUNK_COLUMNS} FROM documents) SELECT c.chunk_id, d.filename, d.short_label, d.doc_kind FROM c JOIN d ON d.id = c.document_id WHERE status = 'ready'")
+def ready_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of all ready documents, with an embedding or without."""
+    chunks = fixtures.plain_chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "document_id", "content")
+    return store.ready_chunks(chunks, documents(spark, sf_dir)).select("chunk_id", "filename", "short_label", "doc_kind")
+
+
 @query(f"WITH c AS ({fixtures.CHUNK_DUCK}) SELECT chunk_id, CAST(chunk_index AS BIGINT) AS chunk_index FROM c WHERE document_id = 7 AND article_num = 9")
 def sibling_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.siblings(fixtures.chunk_rows(spark, sf_dir), 7, 9).select("chunk_id", F.col("chunk_index").cast("bigint").alias("chunk_index"))
