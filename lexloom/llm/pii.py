@@ -1,4 +1,4 @@
-"""Personal data: regular expressions propose spans, checksums confirm them, nearby context words adjust the score.
+"""Personal data: regular expressions propose spans, checksums confirm them, context words before them raise the score.
 
 DataFrame expressions only. A kind's matches come from ``regexp_extract_all`` and their places from the pieces that ``split`` leaves
 between them, both by the same pattern, so a span's start is the length of all pieces and matches before it (code points, end
@@ -8,8 +8,8 @@ Patterns are written so that matching is linear where the plain form would resca
 start only where the run starts or where the last match ended (``\\G``), and inner repeats are possessive where giving back can't help.
 
 Base kinds (email, ip, card, phone) are always reported once their validator agrees. The further kinds (iban, ssn) have a
-score: a base, more for a valid checksum, and more or less for context words within ``CONTEXT`` characters before; they are
-reported from ``THRESHOLD`` up.
+score: a base, more for a valid checksum, and more for context words within ``CONTEXT`` characters before; they are reported from
+``THRESHOLD`` up. Words after a span are not read and no word lowers a score; an iban passes by its checksum alone.
 
 Defined cases: a null or empty text has no spans; a null id is passed through; repeated rows give repeated results; overlapping spans
 of different kinds are all reported, and merged where text is masked; further columns of the input are not read by ``detect`` and
