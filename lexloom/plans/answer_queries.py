@@ -251,7 +251,7 @@ def whole(function, condition: str) -> None:
 for one in (hybrid_topk, confidence, refusal_gate, structure_score, context_budget, sibling_expand, context_format):
     whole(one, "true")
 for one in (per_kind_topk, comparison_coverage):
-    whole(one, "is_comparison")
+    whole(one, "true")  # question 8 of COMPARED is no comparison, so all questions
 
 
 DEFINITIONS = (

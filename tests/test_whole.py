@@ -25,7 +25,7 @@ def test_whole_forms_have_all_questions_and_documents(spark, folder):
     queries = catalog.queries()
     assert {r.query_id for r in queries["refusal_gate_all"](spark, folder).collect()} == set(range(20))
     assert max(r.chunk_id for r in queries["structure_score_all"](spark, folder).collect()) > 8
-    assert {r.query_id for r in queries["comparison_coverage_all"](spark, folder).collect()} > {4, 8, 16}
+    assert {r.query_id for r in queries["comparison_coverage_all"](spark, folder).collect()} == set(range(20))
 
 
 def test_every_document_is_listed_and_every_ready_one_scanned(spark, folder):
