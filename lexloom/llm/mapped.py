@@ -153,7 +153,7 @@ class EliasFano:
     of ones and zeros before each word to select from."""
 
     KEYS = ("low", "high", "ones", "zeros", "ones_hint", "zeros_hint", "shape")
-    SAMPLE = 6  # a hint for each 64 ones or zeros: the word that holds it
+    SAMPLE = 5  # a hint for each 32 ones or zeros: the word that holds it
 
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str) -> None:
         low, self.high, self.ones, self.zeros, self.ones_hint, self.zeros_hint, shape = (arrays[f"{prefix}.{k}"] for k in self.KEYS)
@@ -184,6 +184,11 @@ class EliasFano:
         before, hint = (self.ones, self.ones_hint) if ones else (self.zeros, self.zeros_hint)
         word = hint[rank >> self.SAMPLE].astype(np.int64)
         later = np.flatnonzero(before[word + 1] <= rank)
+        for _ in range(4):  # most are a word or two away
+            if not later.size:
+                break
+            word[later] += 1
+            later = later[before[word[later] + 1] <= rank[later]]
         if later.size:
             word[later] = np.searchsorted(before, rank[later].astype(before.dtype), side="right") - 1
         return word * 64 + nth_one(self.high[word] if ones else ~self.high[word], rank - before[word])
@@ -236,19 +241,3 @@ class EliasFano:
             row, low, high, want, last = row[open_], low[open_], high[open_], want[open_], last[open_]
         out[inside] = start
         return out, equal
-        bucket, rest = bucket[inside], value[inside] & np.uint64((1 << self.width) - 1)
-        spot = np.where(bucket > 0, self.select(np.maximum(bucket - 1, 0), False) + 1, 0)
-        start, held = spot - bucket, self.run(spot, True)
-        stop = start + held
-        if (far := np.flatnonzero(held >= 57 - 7)).size:
-            stop[far] = self.select(bucket[far], False) - bucket[far]
-        last = stop.copy()
-        while (open_ := np.flatnonzero(start < stop)).size:
-            middle = (start[open_] + stop[open_]) >> 1
-            less = get_bits(self.low, middle, self.width) < rest[open_]
-            start[open_] = np.where(less, middle + 1, start[open_])
-            stop[open_] = np.where(less, stop[open_], middle)
-        out[inside] = start
-        some = np.flatnonzero(start < last)
-        equal[inside[some]] = get_bits(self.low, start[some], self.width) == rest[some]
-        return out, equal

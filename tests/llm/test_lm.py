@@ -86,14 +86,55 @@ def test_model_beats_its_base_on_held_out_text(spark):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_probabilities_sum_to_one(spark):
-    rows = [(3, "a b a c"), (4, "b a"), (6, "a a b")]
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    asked = spark.createDataFrame([(100 + i, f"a {w}") for i, w in enumerate(["a", "b", "c", "zz", ""])], "doc_id bigint, text string")
-    out = {r.doc_id: r for r in lm.train_and_score(frame.union(asked), frame.union(asked)["doc_id"] >= 100, order=2).collect()}
-    assert out[103].n_known == 2 and out[100].n_known == 3
-    from_a = 10.0 ** out[104].score  # "a" then the end
-    assert 0 < from_a < 1
+def model(spark, rows, order, tmp_path, shards=8):
+    """A stored model of all rows: (vocabulary, trie, the unigram probability of a count)."""
+    uri = f"file://{tmp_path}/model"
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    types, words = lm.build_vocabulary(lm.word_counts(docs, shards), uri, shards)
+    often = lm.frequent(spark, uri, shards, words, len(rows))
+    lm.build_tries(lm.ngram_counts(docs, uri, shards, len(often), order), uri, shards, often, 0.75, f"file://{tmp_path}/work")
+    total = words + len(rows)
+    return lm.Vocabulary(uri, shards), lm.Trie(uri, shards, order), lambda c: (c + 0.1) / (total + 0.1 * (types + 2)), often
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(spark, tmp_path, order):
+    rows = [(1, "a b a c a b b"), (2, "b a"), (3, "a a b c c d"), (4, None), (5, " ".join(f"w{i % 97} x" for i in range(3000)))]
+    vocabulary, trie, alone_of, often = model(spark, rows, order, tmp_path)
+    words = sorted({w for _, t in rows for w in (t or "").encode().split()}) + [b"never"]
+    for before in (b"", b"a", b"b a", b"a b", b"c", b"x w5", b"w5 x", b"never", b"never a"):
+        texts = [before + b" " + w for w in words]
+        ids, counts, place, first = lm.stream(texts, vocabulary)
+        counts[ids == lm.END] = len(rows)
+        p = lm.probabilities(ids, place, alone_of(counts), trie)
+        last = np.append(first[1:], len(ids)) - 2  # each text's own word, before its end
+        ids, counts, place, _ = lm.stream([before], vocabulary)
+        counts[ids == lm.END] = len(rows)
+        end = lm.probabilities(ids, place, alone_of(counts), trie)[-1]
+        assert abs(p[last].sum() + end - 1) < 2e-3, before
+
+
+def test_frequent_words_are_dealt_by_their_second_word(spark, tmp_path):
+    rows = [(i, " ".join(f"the w{(i * 7 + j * j) % 500}" for j in range(40))) for i in range(60)]
+    vocabulary, trie, _, often = model(spark, rows, 3, tmp_path)
+    (the,), (count,) = vocabulary(lm.word_hashes([b"the"])[0])
+    assert lm.FIRST_WORD <= the < len(often) and often[the] == count == 2400 and often[lm.START] == 60
+    ids, counts, place, _ = lm.stream([t.encode() for _, t in rows], vocabulary)
+    after = np.unique(ids[1:][ids[:-1] == the])
+    homes = np.bincount(lm.home_of(np.full(len(after), the), after, len(often), 8), minlength=8)
+    assert homes.min() > 0 and homes.max() < 2 * homes.mean()
+
+
+def test_words_are_told_apart():
+    rnd = np.random.default_rng(5)
+    words = sorted({bytes(rnd.integers(1, 5, n).astype(np.uint8) + 64) for n in range(1, 40) for _ in range(300)} | {b"a", b"a\0", b"a\0\0", b"\0", b"\0" * 8, b"\0" * 9, b"\0" * 16, b"\0" * 17})
+    hashed, number = lm.word_hashes([b" ".join(words), b"", b"\x0b\x0c", b"A b\tA"])
+    assert number.tolist() == [len({*words}), 0, 0, 3]
+    lowered = {w.lower() for w in words}
+    assert len(set(hashed[: len(words)].tolist())) == len(lowered)
+    alone = [lm.word_hashes([w])[0][0] for w in words]
+    assert (np.array(alone) == hashed[: len(words)]).all()  # what stands around a word doesn't count
+    assert hashed[-3] == hashed[-1] == lm.word_hashes([b"a"])[0][0]
 
 
 def test_nothing_to_learn(spark, no_docs):
