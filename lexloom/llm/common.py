@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,10 +18,12 @@ SLICE_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set; on a cluster that is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lexloom.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("lexloom.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lexloom/{uuid.uuid4().hex}"
@@ -34,6 +37,36 @@ def keep(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a kept table that nothing needs any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def each_text(values: pa.Array) -> Iterator[bytes]:
+    """The values of a string column as UTF-8, one at a time, null as empty; no list of them is made."""
+    import numpy as np
+
+    _, ends, data = values.buffers()
+    if not len(values) or data is None:
+        yield from (b"" for _ in range(len(values)))
+        return
+    wide = pa.types.is_large_string(values.type)
+    at = np.frombuffer(ends, np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1].tolist()
+    there = values.is_valid().to_pylist() if values.null_count else None
+    view = memoryview(data)
+    for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+        yield bytes(view[a:b]) if there is None or there[i] else b""
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds about ``most`` bytes; a longer row is a run of its own."""
     import numpy as np
