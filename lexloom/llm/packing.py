@@ -41,7 +41,7 @@ from .common import documents, keep, map_batches, shared_dir, texts, tokenizer_f
 CAPACITY, END = 1024, 2
 LONG_TEXT = 500_000
 #: Rows a bucket of one size aims at, and bounds on the number of buckets.
-BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 8, 256
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 64, 256
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 PLACED = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -98,39 +98,32 @@ def pieces(docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str | None
 class Histogram:
     """How many rows of one kind each (size, bucket) holds."""
 
-    def __init__(self, cells: dict[tuple[int, int], int], capacity: int) -> None:
-        self.cells = {k: n for k, n in cells.items() if n}
-        self.sizes = np.zeros(capacity + 2, np.int64)
-        for (size, _), n in self.cells.items():
-            self.sizes[size] += n
+    def __init__(self, cells: np.ndarray) -> None:
+        self.cells = cells
+        self.sizes = cells.sum(axis=1)
         self.total = int(self.sizes.sum())
-
-    def below(self, size: int) -> int:
-        return int(self.sizes[:size].sum())
-
-    def ranked(self) -> list[tuple[int, int, int]]:
-        """(size, bucket, rows before) in ascending order."""
-        out, before = [], 0
-        for (size, bucket), n in sorted(self.cells.items()):
-            out.append((size, bucket, before))
-            before += n
-        return out
-
-    @property
-    def least(self) -> int:
-        return min((s for s, _ in self.cells), default=0)
-
-    @property
-    def most(self) -> int:
-        return max((s for s, _ in self.cells), default=0)
-
-    def opened(self, first: int, count: int, capacity: int, buckets: int) -> Histogram:
+        used = np.flatnonzero(self.sizes)
+        self.least, self.most = (int(used[0]), int(used[-1])) if len(used) else (0, 0)
+
+    @staticmethod
+    def of(size: np.ndarray, bucket: np.ndarray, n: np.ndarray, capacity: int, buckets: int) -> Histogram:
+        cells = np.zeros((capacity + 1, buckets), np.int64)
+        cells[size, bucket] = n
+        return Histogram(cells)
+
+    def ranked(self, others: np.ndarray) -> list[np.ndarray]:
+        """Size, bucket, rows before in ascending order, and the size's entry of ``others``, of each cell in use."""
+        size, bucket = np.nonzero(self.cells)
+        before = np.cumsum(self.cells) - self.cells.ravel()
+        return [size, bucket, before.reshape(self.cells.shape)[size, bucket], others[size]]
+
+    def opened(self, first: int, count: int) -> Histogram:
         """With ``count`` empty sequences more, numbered -1 - first and on downward."""
-        cells = dict(self.cells)
-        for bucket in range(buckets):
-            rest = (-1 - bucket) % buckets  # -1 - k falls into the bucket where k is this modulo the buckets
-            cells[capacity, bucket] = cells.get((capacity, bucket), 0) + (first + count - rest + buckets - 1) // buckets - (first - rest + buckets - 1) // buckets
-        return Histogram(cells, capacity)
+        cells = self.cells.copy()
+        buckets = cells.shape[1]
+        rest = (-1 - np.arange(buckets)) % buckets  # -1 - k falls into the bucket where k is this modulo the buckets
+        cells[-1] += (first + count - rest + buckets - 1) // buckets - (first - rest + buckets - 1) // buckets
+        return Histogram(cells)
 
 
 def bucket_of(item: Column, buckets: int) -> Column:
@@ -139,7 +132,7 @@ def bucket_of(item: Column, buckets: int) -> Column:
 
 def fresh(docs: Histogram, gaps: Histogram, capacity: int) -> int:
     """How many sequences to open: as many as the documents that are longer than every gap fill."""
-    lengths = np.arange(capacity + 2)
+    lengths = np.arange(capacity + 1)
     return int(-(-(lengths * docs.sizes)[gaps.most + 1 :].sum() // capacity))
 
 
@@ -155,11 +148,11 @@ def dealing(docs: Histogram, gaps: Histogram) -> tuple[int, int]:
 
 def ranks(state: DataFrame, docs: Histogram, gaps: Histogram, buckets: int) -> DataFrame:
     """``state`` with each row's ascending rank among its kind, and the number of rows of the other kind below it in a sweep."""
-    rows = [(False, s, b, before, gaps.below(s)) for s, b, before in docs.ranked()]
-    rows += [(True, s, b, before, docs.below(s + 1)) for s, b, before in gaps.ranked()]
+    smaller, not_larger = np.cumsum(gaps.sizes) - gaps.sizes, np.cumsum(docs.sizes)
+    own, open_ = docs.ranked(smaller), gaps.ranked(not_larger)
+    columns = [np.repeat([False, True], [len(own[0]), len(open_[0])]), *(np.append(a, b) for a, b in zip(own, open_, strict=True))]
     kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    names = ["gap", "size", "bucket", "before", "others"]
-    table = pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    table = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["gap", "size", "bucket", "before", "others"])
     cells = state.sparkSession.createDataFrame(table)  # at most 2 x capacity x buckets rows
     cell = Window.partitionBy("gap", "size", "bucket").orderBy("item")
     own = state.withColumn("bucket", bucket_of(F.col("item"), buckets)).withColumn("within", F.row_number().over(cell) - 1)
@@ -216,16 +209,18 @@ def packed(rows: DataFrame, folder: str, capacity: int = CAPACITY) -> DataFrame:
     state = own.filter(~big).withColumn("gap", F.lit(False)).select(*STATE).union(own.filter(big & (F.col("size") < capacity)).select(*opened_gap))
     opened, step = 0, 0
     while True:
-        counted = state.groupBy("gap", "size", bucket_of(F.col("item"), buckets).alias("bucket")).agg(F.count("*").alias("n")).collect()  # at most 2 x capacity x buckets rows
-        docs = Histogram({(r.size, r.bucket): r.n for r in counted if not r.gap}, capacity)
+        counted = state.groupBy("gap", "size", bucket_of(F.col("item"), buckets).alias("bucket")).agg(F.count("*").alias("n")).toArrow()  # at most 2 x capacity x buckets rows
+        gap, *cells = (counted[c].to_numpy() for c in ("gap", "size", "bucket", "n"))
+        docs = Histogram.of(*(c[~gap] for c in cells), capacity, buckets)
         if not docs.total:
             break
         state = state.filter(~F.col("gap") | (F.col("size") >= docs.least))  # what no document fits is full
-        gaps = Histogram({(r.size, r.bucket): r.n for r in counted if r.gap and r.size >= docs.least}, capacity)
+        fits = gap & (cells[0] >= docs.least)
+        gaps = Histogram.of(*(c[fits] for c in cells), capacity, buckets)
         if count := fresh(docs, gaps, capacity):
             new = spark.range(opened, opened + count).select((-1 - F.col("id")).alias("item"), F.lit(0).alias("size"))
             state = state.union(new.select(*opened_gap))
-            gaps = gaps.opened(opened, count, capacity, buckets)
+            gaps = gaps.opened(opened, count)
             opened += count
         ranked = ranks(state, docs, gaps, buckets)
         width, each = dealing(docs, gaps)

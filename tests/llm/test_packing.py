@@ -82,8 +82,11 @@ def test_a_sweep_is_best_fit_by_rank(spark):
                 pairs[stack.pop(), size] += 1
         rows = [(False, i, d, i, 0, 0, 0, None, None) for i, d in enumerate(docs)] + [(True, 100 + i, g, *[None] * 6) for i, g in enumerate(gaps)]
         state = spark.createDataFrame(rows, "gap boolean, item long, size int, doc_id long, piece int, start long, ids_crc32 long, sequence_id long, offset long")
-        cells = [Counter((r[2], r[1] % 8) for r in rows if r[0] is kind) for kind in (False, True)]
-        both = [packing.Histogram(dict(c), 64) for c in cells]
+        both = []
+        for kind in (False, True):
+            cells = Counter((r[2], r[1] % 8) for r in rows if r[0] is kind)
+            size, bucket = (np.array([c[i] for c in cells]) for i in (0, 1))
+            both.append(packing.Histogram.of(size, bucket, np.array(list(cells.values())), 64, 8))
         out = packing.swept(packing.ranks(state, *both, 8), 64).collect()
         room = {100 + i: g for i, g in enumerate(gaps)}
         mine = Counter((docs[r.item], room[r.sequence_id]) for r in out if r.sequence_id is not None)
@@ -94,8 +97,9 @@ def test_a_sweep_is_best_fit_by_rank(spark):
 
 def test_opened_sequences_are_counted_by_bucket():
     for first, count in ((0, 1), (3, 20), (17, 0), (8, 8)):
-        own = packing.Histogram({}, 64).opened(first, count, 64, 8)
-        assert own.cells == {(64, b): n for b, n in Counter((-1 - k) % 8 for k in range(first, first + count)).items()}
+        own = packing.Histogram(np.zeros((65, 8), np.int64)).opened(first, count)
+        plain = Counter((-1 - k) % 8 for k in range(first, first + count))
+        assert own.cells[64].tolist() == [plain[b] for b in range(8)] and own.total == count
 
 
 def test_query(spark, folder, rows, no_docs, library):
