@@ -5,9 +5,10 @@ first by a hash of the id; a documented bound) and finds rules for "reject": eac
 information gain on the growing part, loses trailing conditions while that helps on the pruning part, and is kept if it is precise there;
 the rows it covers leave, and the next rule is learned. The list becomes ``CASE WHEN`` in rule order, else "keep".
 
-Defined cases: a null text has no words and fails the base rule; null ids pass through; repeated rows get equal results; an empty
-table gives an empty result; without labels there are no rules and the base rule alone decides; columns of the input with any
-name are untouched, as all statistics travel in one reserved column.
+Defined cases: a null, empty or blank text has no words and fails the base rule; texts, lines and words of any length count whole; null ids pass
+through; repeated rows get equal results, and a labelled id that repeats teaches once, by the least of its rows' statistics; an id with two
+labels has the lesser; equal gains go to the first feature and threshold; an empty table gives an empty result; without labels there are no rules and
+the base rule alone decides; columns of the input with any name are untouched, as all statistics travel in one column of an unused name.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, each_text, unused
+from .mapped import returned
 
 MAX_LABELLED = 20_000
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -70,13 +72,15 @@ def statistics(text: bytes) -> tuple[int, ...]:
 
 
 def stats(text: Column) -> Column:
-    """A struct of ``STATS`` for each text; only the text column travels to Python."""
+    """A struct of ``STATS`` for each text; only the text column travels to Python, texts pass one at a time, and memory goes back between batches."""
 
     @F.arrow_udf(STAT_TYPE)
     def each(values: pa.Array) -> pa.Array:
-        rows = [statistics((v or "").encode()) for v in values.to_pylist()]
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in STATS]
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(STATS))
+        rows = np.zeros((len(values), len(STATS)), np.int64)
+        for i, text in enumerate(each_text(values)):
+            rows[i] = statistics(text)
+        returned()
+        return pa.StructArray.from_arrays([pa.array(c) for c in rows.T], names=list(STATS))
 
     return each(text)
 
@@ -196,7 +200,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tu
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # most rows at most, so they may be broadcast
     text = docs.select(F.col("doc_id"), F.col("text"))
     rows = text.join(F.broadcast(own), "doc_id").select("doc_id", "quality", stats(F.col("text")).alias(RESERVED))
-    out = rows.select("doc_id", "quality", *(feature(f, F.col(RESERVED)).alias(f) for f in FEATURES)).toPandas().sort_values(["doc_id", *FEATURES])
+    one = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min(RESERVED).alias(RESERVED))  # a row for each labelled id, however often it occurs
+    out = one.select("doc_id", "quality", *(feature(f, F.col(RESERVED)).alias(f) for f in FEATURES)).toPandas().sort_values(["doc_id", *FEATURES])
     return out[list(FEATURES)].to_numpy(float), (out["quality"] == 0).to_numpy()
 
 
@@ -218,11 +223,19 @@ def rule_number(rules: list[Rule], own: Column) -> Column:
 
 
 def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Add the reserved struct column: statistics, ``base_failed``, ``rule`` and ``kept``."""
-    found = docs.withColumn(RESERVED, stats(F.col("text")))
-    own = F.col(RESERVED)
+    """Add a struct column as the last: statistics, ``base_failed``, ``rule`` and ``kept``. It is named ``RESERVED``, or longer where the input has that name."""
+    name = unused(docs, RESERVED)
+    found = docs.withColumn(name, stats(F.col("text")))
+    own = F.col(name)
     number = rule_number(rules, own)
-    return found.withColumn(RESERVED, F.struct(*(own[s].alias(s) for s in STATS), base_failed(own).alias("base_failed"), number.alias("rule"), (~base_failed(own) & (number == 0)).alias("kept")))
+    return found.withColumn(name, F.struct(*(own[s].alias(s) for s in STATS), base_failed(own).alias("base_failed"), number.alias("rule"), (~base_failed(own) & (number == 0)).alias("kept")))
+
+
+def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows that neither the base rule nor the list rejects, with the input's columns."""
+    found = judged(docs, rules)
+    verdict = found.columns[-1]
+    return found.filter(F.col(verdict)["kept"]).drop(verdict)
 
 
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,18 @@ def test_query_and_edges(spark, folder, docs, rows, no_docs):
     assert quality.judged(no_docs, []).count() == 0
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert quality.fitted(docs, none) == []
+
+
+def test_a_repeated_labelled_id_teaches_once(spark):
+    docs = spark.range(40_000).selectExpr("id % 4 as doc_id", "concat('word ', cast(id % 8 as string)) as text")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)] * 3 + [(1, 0, 0)], "doc_id bigint, quality int, toxic int")
+    values, bad = quality.labelled(docs, labels)
+    assert values.shape == (4, len(quality.FEATURES)) and bad.tolist() == [True, True, True, False]
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a b " * 4, "x", "y")], f"doc_id int, text string, {quality.RESERVED} string, kept string")
+    judged = quality.judged(docs, [])
+    assert judged.columns[:4] == docs.columns and judged.first()[4].n_words == 8
+    docs = docs.selectExpr("doc_id", "'a b c d e f g h i j k l' as text", quality.RESERVED, "kept")
+    assert quality.accepted(docs, []).columns == docs.columns and quality.accepted(docs, []).first()[quality.RESERVED] == "x"
