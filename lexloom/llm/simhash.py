@@ -4,19 +4,21 @@ A fingerprint's 32 segments of two bits map to their bit counts. Flipping one bi
 two count vectors is at most their fingerprints' Hamming distance. As a thermometer code (00, 01, 11 for 0, 1, 2) the vector is one
 64-bit word, and the Manhattan distance is the number of differing bits of two codes.
 
-Grid: the segments lie in ``BLOCKS`` blocks. A distance of at most 4 leaves all but 4 blocks without a difference, so two linked
-fingerprints agree in the counts of some ``BLOCKS - 4`` blocks; each such choice is a projection of the grid, and rows with equal
-coordinates in it share a cell. Within a cell rows are compared under the Manhattan bound, then exactly. Copies were merged
-before (one row for each distinct fingerprint), and a cell emits stars, at most one edge for each row, never its pairs.
+Grid: the segments lie in b blocks. The range join asks for all pairs of count vectors at Manhattan distance 4 or less. Such a distance
+leaves all but 4 blocks without a difference, so the two agree in the counts of some b - 4 blocks; each such choice is a projection of the grid, and
+the ranges that a row must look into are its own cells in all of them: C(b, 4) rows instead of the millions of neighbours that a ball of radius 4 has in
+32 dimensions. Within a cell rows are compared under the Manhattan bound, then exactly. Copies were merged before (one row for each
+distinct fingerprint), and a cell emits stars, at most one edge for each row, never its pairs. More blocks are finer cells and more
+copies of a row; b follows from the number of rows, so that evenly spread fingerprints would lie ``CELL_ROWS`` to a cell at most. Every b finds all pairs.
 
 Large cells: a cell of more than ``CHUNK`` fingerprints is handed on in chunks; a second pass compares each pair of chunks
 as a task of its own, so none holds more than two chunks, and no pair is left out.
 
 Components of the links are found by alternating stars (``graph``); nothing of it is collected.
 
-Defined cases: null, empty or blank text has fingerprint 0 and links like any other; fewer than four words are one shingle; null ids
-take no part in a component's smallest id (all null: null); repeated rows repeat; an empty table gives an empty result;
-columns with any name are kept by ``deduplicated``.
+Defined cases: null, empty or blank text has fingerprint 0 and links like any other; fewer than four words are one shingle; texts and words of any
+length count whole, their hashes in runs of ``HASHES_HELD``; a bit that half of the hashes have is 0; null ids take no part in a component's smallest id
+(all null: null); repeated rows repeat; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -30,14 +32,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keep, shared_dir
+from .common import discard, documents, each_text, keep, shared_dir
 from .graph import components
+from .mapped import returned
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-BLOCKS, CHUNK, EDGES_HELD = 7, 8192, 1 << 20
+CHUNK, EDGES_HELD, HASHES_HELD = 8192, 1 << 20, 1 << 16
+LEAST_BLOCKS, MOST_BLOCKS, CELL_ROWS = 6, 16, 64
 SEGMENTS = 32
 LOW_BITS = 0x5555555555555555
-RESERVED = "__lexloom_fingerprint"
 
 
 def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -46,24 +49,33 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
         return 0
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.append(0, ends[:-1] + 1)
     take = max(1, len(words) - width + 1)
-    stops = ends[width - 1 :] if len(words) >= width else ends[-1:]
+    del words
+    starts = np.append(0, ends[: take - 1] + 1)
+    stops = ends[len(ends) - take :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[:take].tolist(), stops.tolist(), strict=True)], np.uint64)
     counts = np.zeros(64, np.int64)
-    for at in range(0, take, 1 << 14):
-        bits = np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, take, HASHES_HELD):
+        run = slice(at, at + HASHES_HELD)
+        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[run].tolist(), stops[run].tolist(), strict=True)], np.uint64)
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(counts * 2 > take, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(text: Column) -> Column:
-    @F.arrow_udf("long")
-    def each(values: pa.Array) -> pa.Array:
-        return pa.array([fingerprint((v or "").encode()) for v in values.to_pylist()], pa.int64())
+def fingerprinted(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns, and ``code``, the fingerprint of ``text`` as a signed number. Texts pass one at a time, and memory goes back between batches."""
+    own = docs.select(*columns, F.col("text"))
+    schema = own.drop("text").schema.add("code", "long")
 
-    return each(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = pa.array([fingerprint(t) for t in each_text(batch.column(batch.num_columns - 1))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], codes], names=schema.names)
+            del batch, codes
+            returned()
+
+    return own.mapInArrow(run, schema)
 
 
 def thermometer(code: Column) -> Column:
@@ -77,7 +89,15 @@ def thermometers(code: np.ndarray) -> np.ndarray:
     return odd | even | ((odd & even) << np.uint64(1))
 
 
-def projections(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
+def blocks_for(rows: int, distance: int = DISTANCE) -> int:
+    """The least number of blocks with cells enough: a segment's count holds 1.5 bits, so a projection of b - 4 of b blocks tells 2^(48 (b - 4) / b) cells apart."""
+    for blocks in range(LEAST_BLOCKS, MOST_BLOCKS):
+        if rows <= CELL_ROWS * 2 ** (1.5 * SEGMENTS * (blocks - distance) / blocks):
+            return blocks
+    return MOST_BLOCKS
+
+
+def projections(blocks: int, distance: int = DISTANCE) -> list[int]:
     """Bit masks (signed) of the projections: every choice of ``blocks - distance`` blocks."""
     edges = [round(i * SEGMENTS / blocks) for i in range(blocks + 1)]
     block = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
@@ -193,9 +213,9 @@ def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(len(task))
 
 
-def links(codes: DataFrame, folder: str, blocks: int = BLOCKS) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct fingerprints (column ``code``) at ``DISTANCE`` or less."""
-    masks = projections(blocks)
+def links(codes: DataFrame, folder: str, blocks: int | None = None) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of distinct fingerprints (column ``code`` of a kept table) at ``DISTANCE`` or less."""
+    masks = projections(blocks or blocks_for(codes.count()))
     shape = thermometer(F.col("code"))
     cells = F.explode(F.array(*(F.xxhash64(F.lit(i), shape.bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks))))
     rows = codes.select(cells.alias("cell"), "code").repartition("cell").sortWithinPartitions("cell")
@@ -212,14 +232,20 @@ def links(codes: DataFrame, folder: str, blocks: int = BLOCKS) -> DataFrame:
     return edges.union(crossing.mapInArrow(crossed, "a long, b long")).distinct()
 
 
+def rooted(codes: DataFrame, folder: str) -> DataFrame:
+    """(node, root) of the fingerprints (a kept table) that are linked to others."""
+    found = components(links(codes, folder), folder)
+    discard(codes.sparkSession, f"{folder}/links")
+    return found
+
+
 def grouped(rows: DataFrame, folder: str) -> DataFrame:
     """``rows`` (doc_id, code) with ``component_id``, the smallest doc_id that links reach."""
     nodes = keep(rows.groupBy("code").agg(F.min("doc_id").alias("least_id")), folder, "nodes")
-    roots = components(links(nodes.select("code"), folder), folder)
-    rooted = nodes.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
-    rooted = keep(rooted.select("code", "least_id", "root"), folder, "rooted")
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_code = rooted.join(named, "root").select("code", "component_id")
+    roots = rooted(nodes.select("code"), folder).withColumnRenamed("node", "code")
+    whole = keep(nodes.join(roots, "code", "left").withColumn("root", F.coalesce("root", "code")), folder, "rooted")
+    named = keep(whole.groupBy("root").agg(F.min("least_id").alias("component_id")), folder, "named")  # kept, so that the joins may be split
+    of_code = keep(whole.join(named, "root").select("code", "component_id"), folder, "of_code")
     return rows.join(of_code, "code")
 
 
@@ -229,5 +255,5 @@ def hexadecimal(code: Column) -> Column:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
-    rows = keep(documents(spark, sf_dir).select("doc_id", fingerprints(F.col("text")).alias("code")), folder, "fingerprints")
+    rows = keep(fingerprinted(documents(spark, sf_dir), F.col("doc_id")), folder, "fingerprints")
     return grouped(rows, folder).select("doc_id", hexadecimal(F.col("code")).alias("fingerprint"), "component_id")

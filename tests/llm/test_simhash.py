@@ -66,9 +66,22 @@ def test_manhattan_bounds_hamming_and_projections_are_complete():
     pairs = [(x >> 2 * s) & 3 for x in a[:50].tolist() for s in range(32)]
     counts = [(x >> 2 * s) & 3 for x in shape_a[:50].tolist() for s in range(32)]
     assert counts == [(0, 1, 1, 3)[p] for p in pairs]
-    masks = np.array(simhash.projections(), np.int64).view(np.uint64)
-    met = ((shape_a[:, None] ^ shape_b[:, None]) & masks[None, :]) == 0
-    assert met.any(axis=1).all()
+    for blocks in range(simhash.LEAST_BLOCKS, 11):
+        masks = np.array(simhash.projections(blocks), np.int64).view(np.uint64)
+        met = ((shape_a[:, None] ^ shape_b[:, None]) & masks[None, :]) == 0
+        assert met.any(axis=1).all()
+
+
+def test_blocks_grow_with_the_rows():
+    sizes = [simhash.blocks_for(10**n) for n in range(1, 13)]
+    assert sizes[0] == simhash.LEAST_BLOCKS and sizes == sorted(sizes) and sizes[-1] <= simhash.MOST_BLOCKS and sizes[-1] > 10
+
+
+def test_long_texts_are_hashed_in_runs(monkeypatch):
+    text = " ".join(random.Random(4).choice("abcdefgh") * 3 for _ in range(500))
+    whole = simhash.fingerprint(text.encode())
+    monkeypatch.setattr(simhash, "HASHES_HELD", 7)
+    assert simhash.fingerprint(text.encode()) == whole == signed(plain_fingerprint(text))
 
 
 def held(spark, codes: list[int]) -> None:
@@ -138,3 +151,24 @@ def test_components_of_odd_graphs(spark):
     star = [(100, i) for i in range(101, 160)]
     out = roots(chain + star + [(5, 5), (3, 2)])
     assert all(out[i] == 0 for i in range(61)) and all(out[i] == 100 for i in range(100, 160))
+
+
+def test_a_centre_of_very_many_edges_is_dealt(spark):
+    from lexloom.llm import graph
+
+    edges = spark.range(1, 20_000).selectExpr("0L as u", "id as v")
+    rows = graph.with_least(edges)
+    assert {r.m for r in rows.select("m").distinct().collect()} == {1} and rows.count() == 19_999
+    out = components(spark.range(1, 20_000).selectExpr("id as a", "0L as b"), simhash.shared_dir(spark))
+    assert out.count() == 20_000 and out.filter("root <> 0").count() == 0
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), simhash.shared_dir(spark)).count() == 0
+
+
+def test_removal_keeps_columns_of_any_name(spark):
+    names = ["__lexloom_own_hash", "__lexloom_text_hash", "__lexloom_kept_id", "hash", "code", "n"]
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate([text, text, None, "", "other words stand in here alone"])]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id int", "text string", *(f"{n} string" for n in names)]))
+    kept = dedup.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
+    assert {tuple(r) for r in kept.collect()} <= set(rows)
