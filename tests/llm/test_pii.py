@@ -60,6 +60,48 @@ def test_added_kinds_need_checksums_or_context(spark):
     assert "iban:11:38" in out[1] and "iban" not in out[2] and out[3] == "ssn:4:15" and out[4] == "" and out[5] == "iban:0:22"
 
 
+def spans(spark, texts: list[str]) -> list[str]:
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r.doc_id: r.spans for r in pii.detect(frame).select("doc_id", pii.listed(F.col(pii.RESERVED)).alias("spans")).collect()}
+    return [out[i] for i in range(len(texts))]
+
+
+def test_context_decides_every_added_kind(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [
+        "536-22-1234 (SSN)", "536-22-1234 (order)", "ssn of the sample 536-22-1234", "ssn " + "x " * 30 + "536-22-1234",
+        "GB82WEST12345698765432", "GB82WEST12345698765432 is an example", "serial GB82WEST12345698765432",
+        f'token = "{key}"', f"commit {key}", key, f"{key} is my password", f"token {'a' * 40}", f"token {'aB3-' * 200}", f"api_key: {'aB3_' * 10}",
+    ]
+    assert spans(spark, texts) == [
+        "ssn:0:11", "", "", "", "iban:0:22", "", "", "secret:9:49", "", "", "secret:0:40", "", "", "secret:9:49",
+    ]
+
+
+def test_very_many_matches(spark):
+    """Ten megabytes with half a million addresses: every span is in its place, in seconds."""
+    import time
+
+    one = "a.b@c.de 10.0.0.1 ok "
+    frame = spark.createDataFrame([(1, one * 250_000), (2, one * 700)], "doc_id bigint, text string")
+    began = time.time()
+    found = pii.detect(frame).select("doc_id", F.size(pii.RESERVED).alias("n"), F.slice(pii.RESERVED, -2, 2).alias("last"))
+    out = {r.doc_id: r for r in found.collect()}
+    assert out[1].n == 500_000 and out[2].n == 1400 and time.time() - began < 60
+    at = len(one) * 249_999
+    assert [(s.kind, s.start, s.end) for s in out[1].last] == [("email", at, at + 8), ("ip", at + 9, at + 17)]
+    began = time.time()
+    text = {r.doc_id: r for r in pii.masked(frame).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("h")).collect()}
+    assert text[1].h == hashlib.md5(("<EMAIL> <IP> ok " * 250_000).encode()).hexdigest() and time.time() - began < 60
+
+
+def test_masks_are_not_context(spark):
+    frame = spark.createDataFrame([(1, "ssn 536-22-1234 or" + " " * 60 + "536-22-1235", "x")], f"doc_id bigint, text string, {pii.RESERVED} string")
+    once = pii.masked(frame)
+    assert once.columns == frame.columns and once.first()[pii.RESERVED] == "x"
+    assert once.first().text == pii.masked(once).first().text and "536-22-1235" in once.first().text
+
+
 def test_query_and_masking(spark, folder, docs, rows, no_docs):
     out = pii.op10_pii(spark, folder).collect()
     expected = Counter((n, hashlib.sha256(listed(plain(t or "")).encode()).hexdigest()) for n, t, *_ in rows)
