@@ -1,26 +1,31 @@
 """Sharding by fixed virtual slots.
 
-Records hash into a fixed number of virtual slots. Bytes and rows are summed per slot (at most ``n_slots`` rows, whatever the
-input), and a versioned table maps slots to shards. Version 1 deals slots round robin; each rebalancing edits the last version,
-moving or swapping as few slots as even out the bytes, and stores the next one. Rows meet the map through a broadcast join whose
-small side has ``n_slots`` rows by construction. DataFrame operations only.
+Records hash into a fixed number of virtual slots. Bytes and rows are summed per slot and part of a slot (at most ``n_slots`` x ``PARTS``
+rows, whatever the input), and a versioned table maps slots to shards. Where a map folder holds a version, the next one is an edit of the last:
+new shards start empty, a shard that is gone gives up its slots, and as few slots as even out the bytes are moved or swapped. Without one,
+version 1 deals slots round robin and version 2 is its edit. Every version stays readable in the folder.
+
+Rows meet the map through a broadcast join whose small side has ``n_slots`` x ``PARTS`` rows by construction. A place in a shard is the number
+of rows in lower (slot, part) cells of the shard plus the row's number in its cell; parts split a slot's rows by their number in the stored
+table, so that an id that a third of all rows share doesn't end up in one task. DataFrame operations only.
 
 Defined cases: a null text counts no bytes (size 1, crc32 of nothing, 0); a null id is slotted by the text's checksum, so many null ids
-do not share a slot; repeated rows are kept, each with a place of its own; an empty table gives an empty result and a map
-of empty slots; other columns of the input are not read.
+do not share a slot; texts of any length count whole; repeated rows and equal ids are kept, each with a place of its own, in the order of their
+numbers; an empty table gives an empty result and a map of empty slots; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, keep, shared_dir
 
-N_SLOTS = 4096
-MAP_SCHEMA = "version int, vslot int, shard int, base long"
+N_SLOTS, PARTS = 4096, 16
+MAP_SCHEMA = "version int, vslot int, shard int, bytes long"
 
 
 def sized(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
@@ -75,35 +80,56 @@ def rebalanced(sizes: list[int], shard_of: list[int], n_shards: int, tolerance:
     return out
 
 
-def slot_map(spark: SparkSession, usage: list[tuple[int, int, int]], n_slots: int, n_shards: int, folder: str, before: list[int] | None = None) -> DataFrame:
-    """Store version 1 (or ``before``) and the rebalanced version 2 of the map; give back the stored table.
+def latest(spark: SparkSession, folder: str) -> tuple[int, list[int]] | None:
+    """The last stored version of a map and its shard of each slot; None if the folder has none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/slot_map")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    table = spark.read.parquet(f"{folder}/slot_map")
+    version = table.agg(F.max("version")).first()[0]
+    return version, [r.shard for r in table.filter(F.col("version") == version).orderBy("vslot").collect()]  # n_slots rows
 
-    ``usage``: (slot, bytes, rows) of the slots in use. ``base`` is the number of rows in lower slots of the same shard.
-    """
-    sizes, rows = [0] * n_slots, [0] * n_slots
-    for slot, size, count in usage:
-        sizes[slot], rows[slot] = size, count
-    first = list(before or (slot % n_shards for slot in range(n_slots)))
-    table = []
-    for version, shard_of in enumerate((first, rebalanced(sizes, first, n_shards)), 1):
-        base = [0] * n_shards
-        for slot, shard in enumerate(shard_of):
-            table.append((version, slot, shard, base[shard]))
-            base[shard] += rows[slot]
-    return keep(spark.createDataFrame(table, MAP_SCHEMA), folder, "slot_map")
-
-
-def assign(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> tuple[DataFrame, DataFrame]:
-    """The records with ``shard`` and their gapless place in it, and the stored map."""
+
+def housed(shard_of: list[int], n_shards: int) -> list[int]:
+    """The map with slots of shards that are gone dealt to those that stay."""
+    return [shard if shard < n_shards else slot % n_shards for slot, shard in enumerate(shard_of)]
+
+
+def slot_map(spark: SparkSession, sizes: list[int], n_shards: int, folder: str) -> tuple[int, list[int]]:
+    """Store the next version of the folder's map, edited for these bytes of the slots; give its number and the shard of each slot."""
+    before = latest(spark, folder)
+    first = [slot % n_shards for slot in range(len(sizes))]
+    new = [(1, first)] if before is None else []
+    version, last = before or (1, first)
+    new.append((version + 1, rebalanced(sizes, housed(last, n_shards), n_shards)))
+    for number, shard_of in new:
+        rows = [(number, slot, shard, size) for slot, (shard, size) in enumerate(zip(shard_of, sizes, strict=True))]
+        spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/slot_map")
+    return new[-1]
+
+
+def assign(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The records with ``shard`` and their gapless place in it, and all versions of the stored map. ``map_folder``: where earlier versions are."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    records = keep(sized(docs, n_slots), folder, "records")
-    usage = records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    table = slot_map(spark, [tuple(r) for r in usage.collect()], n_slots, n_shards, folder)  # at most n_slots rows
-    latest = table.filter(F.col("version") == 2).select("vslot", "shard", "base")
-    order = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    placed = records.withColumn("rank", F.row_number().over(order)).join(F.broadcast(latest), "vslot")
-    return placed.withColumn("slot", (F.col("base") + F.col("rank") - 1).cast("long")), table
+    numbered = sized(docs, n_slots).withColumn("row", F.monotonically_increasing_id())
+    records = keep(numbered.withColumn("part", F.pmod("row", F.lit(PARTS)).cast("int")), folder, "records")
+    usage = records.groupBy("vslot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).orderBy("vslot", "part").toArrow()  # at most n_slots x PARTS rows
+    slot, part, size, count = (usage[c].to_pylist() for c in ("vslot", "part", "bytes", "rows"))
+    sizes = [0] * n_slots
+    for s, own in zip(slot, size, strict=True):
+        sizes[s] += own
+    version, shard_of = slot_map(spark, sizes, n_shards, map_folder or folder)
+    filled = [0] * n_shards
+    base = []
+    for s, n in zip(slot, count, strict=True):
+        base.append(filled[shard_of[s]])
+        filled[shard_of[s]] += n
+    columns = {"vslot": pa.array(slot, pa.int32()), "part": pa.array(part, pa.int32()), "shard": pa.array([shard_of[s] for s in slot], pa.int32()), "base": pa.array(base, pa.int64())}
+    table = spark.createDataFrame(pa.table(columns))
+    order = Window.partitionBy("vslot", "part").orderBy("row")
+    placed = records.withColumn("rank", F.row_number().over(order)).join(F.broadcast(table), ["vslot", "part"])
+    return placed.withColumn("slot", (F.col("base") + F.col("rank") - 1).cast("long")).drop("row", "part", "rank", "base"), spark.read.schema(MAP_SCHEMA).parquet(f"{map_folder or folder}/slot_map")
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,28 @@ def test_rebalancing_handles_a_giant_slot():
     out = sharding.rebalanced(sizes, [i % 8 for i in range(64)], 8)
     loads = [sum(s for s, o in zip(sizes, out, strict=True) if o == k) for k in range(8)]
     assert max(loads) == 1000 and min(loads) == 9
+
+
+def test_a_stored_map_is_edited_not_dealt_anew(spark, tmp_path):
+    folder = f"file://{tmp_path}/map"
+    docs = spark.range(6000).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text")
+    more = docs.union(spark.range(6000, 9000).selectExpr("id as doc_id", "repeat('y', 200) as text"))
+    for own, shards in ((docs, 8), (more, 8), (more, 9), (more, 6)):
+        placed, table = sharding.assign(own, shards, map_folder=folder)
+        loads = [r[1] for r in placed.groupBy("shard").sum("size").collect()]
+        assert len(loads) == shards and max(loads) - min(loads) <= 0.01 * sum(loads) / shards
+    maps = [{r.vslot: r.shard for r in table.filter(f"version = {v}").collect()} for v in range(1, 6)]
+    moved = [sum(a[s] != b[s] for s in a) for a, b in zip(maps, maps[1:], strict=False)]
+    assert [len(m) for m in maps] == [4096] * 5 and moved[1] < 1200 and moved[2] < 1200
+    assert sharding.latest(spark, folder)[0] == 5
+
+
+def test_a_very_frequent_id_is_dealt_over_parts(spark):
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "'text' as text").repartition(4)
+    placed, _ = sharding.assign(docs, 3)
+    rows = placed.collect()
+    assert len(rows) == 3000
+    for shard in range(3):
+        own = sorted(r.slot for r in rows if r.shard == shard)
+        assert own == list(range(len(own)))
+    assert placed.columns == ["vslot", "doc_id", "size", "text_crc32", "shard", "slot"]
