@@ -4,12 +4,13 @@ A run of texts is cut into words on flat arrays: each code point has a class (le
 follows from neighbouring classes, as the tokenizer's pattern has it. Words not met before are encoded together: the symbols of all
 of them lie in one flat array; the rank of each adjacent pair comes from a binary search over the sorted pair keys; in a round every
 word merges its lowest-ranked pair wherever it occurs, left to right; finished words leave the array; only pairs beside a merge are
-looked up again. Words of more than ``LONG`` bytes (one unbroken run) would need as many rounds, so they merge through a heap.
+looked up again. Words of more than ``LONG`` bytes (one unbroken run) would need a round for each of their ranks, so they merge through a heap.
 
-Memory: texts are taken in runs of ``RUN_BYTES``; a worker remembers at most ``REMEMBERED`` words, then starts anew.
+Memory: texts are taken in runs of ``RUN_BYTES``; a worker remembers words of ``REMEMBERED`` bytes in all, then starts anew.
 
-Defined cases: null or empty text gives no ids (the digests of nothing); the added token's string in a text becomes its id;
-null ids, repeated rows and texts of any length pass through; further columns are not read.
+Defined cases: null or empty text gives no ids (the digests of nothing); the added token's string in a text becomes its id; pairs of equal
+rank merge left to right; null ids, repeated rows and texts of any length pass through; an empty table gives an empty result; further columns are
+not read.
 """
 
 from __future__ import annotations
@@ -25,12 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, map_batches, slices, texts, tokenizer_file
 
-LONG, RUN_BYTES, REMEMBERED = 512, 2 << 20, 400_000
+LONG, RUN_BYTES, REMEMBERED = 512, 2 << 20, 16 << 20
 NONE = np.int32(0x7FFFFFFF)
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: The pattern's contractions, and the white space of Unicode.
 SHORT_ENDS, LONG_ENDS = "stmd", ("re", "ve", "ll")
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Letters and numbers that Unicode 16 has beyond version 15.1, which Python's tables follow; the tokenizer knows them.
+LATER_LETTERS = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0"
+LATER_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
 
 
 def classes() -> np.ndarray:
@@ -39,6 +43,10 @@ def classes() -> np.ndarray:
         major = unicodedata.category(chr(code))[0]
         if major in "LN":
             table[code] = LETTER if major == "L" else NUMBER
+    for ranges, kind in ((LATER_LETTERS, LETTER), (LATER_NUMBERS, NUMBER)):
+        for part in ranges.split():
+            first, _, last = part.partition("-")
+            table[int(first, 16) : int(last or first, 16) + 1] = kind
     table[SPACES] = SPACE
     return table
 
@@ -76,6 +84,7 @@ class ByteBpe:
     def forget(self) -> None:
         self.seen: dict[bytes, int] = {}
         self.ids_of: list[list[int]] = []
+        self.held = 0
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.size + right
@@ -216,9 +225,10 @@ class ByteBpe:
                     pieces.append(part)
             plan.append(own)
         words, first = self.words(pieces)
-        if len(self.seen) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.forget()
         new = [w for w in dict.fromkeys(words) if w not in self.seen]
+        self.held += sum(map(len, new))
         base = len(self.ids_of)
         self.seen.update(zip(new, range(base, base + len(new)), strict=True))
         self.ids_of += self.merged(new)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +51,29 @@ def test_any_ids_decode_alike(both):
         assert mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_is_cut_as_the_library_cuts_it(both):
+    """Beside a letter, a number, a space and another character."""
+    mine, library = both
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(codes), 30_000):
+        text = "".join(f"x{c}1{c}!{c} {c}" for c in map(chr, codes[at : at + 30_000]))
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        fresh = np.zeros(len(code), bool)
+        fresh[0] = True
+        starts = np.flatnonzero(mine.word_starts(code, fresh))
+        known = np.array([a for _, (a, _) in library.pre_tokenizer.pre_tokenize_str(text)])
+        assert len(starts) == len(known) and (starts == known).all(), hex(codes[at])
+
+
+def test_memory_of_words_is_bounded_by_bytes(both):
+    mine, _ = both
+    mine.forget()
+    for i in range(40):
+        mine.encode([f"{i}{'ab' * 300_000}".encode()])
+        assert mine.held <= bpe.REMEMBERED + 700_000 and sum(map(len, mine.seen)) == mine.held
+    mine.forget()
+
+
 def test_forgetting_changes_nothing(both, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     same(both, [f"word{i} other{i % 7}" for i in range(50)])
