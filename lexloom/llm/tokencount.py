@@ -9,7 +9,8 @@ Tie rules, as the library has them: of equal scores the earliest start stays (a
 single-character piece covers may be unknown, at ten below the lowest score; runs of unknown
 characters are one unknown, which counts as its UTF-8 bytes (but as one if it is the unknown piece's own string).
 
-Words are independent, so a worker remembers counts of words met before (a bounded number of them, then anew).
+Words are independent, so a worker remembers counts of words met before (of ``REMEMBERED`` characters in all, then anew; a longer word is
+never remembered).
 
 Defined cases: null or empty text has no tokens; texts of any length and unbroken words are linear; null ids and repeated rows pass through; an
 empty table gives an empty result; further columns are not read.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, map_batches, texts, tokenizer_file
 
-SPACE, PENALTY, REMEMBERED = "▁", 10.0, 400_000
+SPACE, PENALTY, REMEMBERED = "▁", 10.0, 8 << 20
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -42,6 +43,7 @@ class PieceCounter:
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in pieces) - PENALTY
         self.seen: dict[str, int] = {}
+        self.held = 0
 
     def word(self, word: str) -> int:
         """Number of pieces on the best path. ``closed`` counts those before a run of unknown ones that is still open, ``run`` is that run's bytes,
@@ -80,13 +82,17 @@ class PieceCounter:
     def text(self, text: str) -> int:
         if not text:
             return 0
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
         total, seen = 0, self.seen
         for word in self.words(text):
             number = seen.get(word)
             if number is None:
-                number = seen[word] = self.word(word)
+                number = self.word(word)
+                if len(word) <= REMEMBERED:
+                    self.held += len(word)
+                    if self.held > REMEMBERED:
+                        seen.clear()
+                        self.held = len(word)
+                    seen[word] = number
             total += number
         return total
 
