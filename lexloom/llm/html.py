@@ -1,10 +1,13 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from the token streams of a host's pages.
 
-A page is a stream of tags (name and class) and texts. Within a page, tandem repeats fold into repeated groups. A host's wrapper
-starts as its first page; each further stream is aligned with it (longest common subsequence of nodes): where both agree the node
+A page is a stream of tags (name and class, digits as 0) and texts. Within a page, tandem repeats of any length fold into repeated groups. A host's
+wrapper starts as its first page; each further stream is aligned with it: where both agree the node
 stays, where only one has a run the run becomes an optional group, where repeated groups differ their bodies are aligned in turn, and all
 text is a slot. A stretch of optional groups that repeat each other becomes one repeated group of optionals, so wrappers stay short
-whatever pages hold. Streams met before are skipped.
+whatever pages hold, and a group of more than ``LOOSE`` symbols becomes a repeated choice of its different symbols. Streams met before are
+skipped. The alignment is the longest common subsequence of nodes where its table has at most ``CELLS``
+cells; longer stretches are first cut at nodes that both have once, in their longest common order, else into pieces along the diagonal, so
+that pages of any number of tags take time in proportion.
 
 Every page of every host takes part. Each task folds its pages into one wrapper for each host it meets; wrappers of one host then meet in two
 steps (host and salt, then host), so no task holds a host's pages, and a host with a third of all pages is no larger than any other.
@@ -18,11 +21,13 @@ footers, asides, forms, scripts, adverts, notices and comments are left out by n
 around), as such texts vary like main text does; a word on html or body counts nothing, nor one on an element that frames the page; which region is main
 where slots leave a choice is decided for each page, as a host may have pages of several templates: the page's article or main element with
 text, else of the page's containers the one that holds most of the text, by the host's sums.
-Wrappers and slots are written to the shared folder by bucket of hosts, and the passes over the pages read the buckets they need, so html is never
-shuffled and nothing is broadcast.
+Wrappers and slots are written to the shared folder by bucket of hosts (``HOSTS_A_BUCKET`` to one), each file with an index, and the passes over the
+pages map the buckets and read the hosts they need, so html is never shuffled and nothing is broadcast.
 
 Defined cases: null or empty html gives an empty text; a url without a host is a host of its own name (empty); repeated pages repeat;
-unclosed and stray tags are tolerated; null ids pass through; an empty table gives an empty result; further columns are not read.
+pages of any length, with any number of tags, are read whole; elements nested deeper than ``DEPTH`` share the path of the one there (with a mark of
+their own if they are left out by name); of regions with equal text the deeper, then the last by name is main; unclosed and stray tags are
+tolerated; null ids pass through; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ from __future__ import annotations
 import html as references
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from itertools import groupby
 
 import numpy as np
@@ -37,7 +44,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import shared_dir, slices
+from .common import keep, shared_dir, slices
 from .mapped import Shelf
 
 TOKEN = re.compile(
@@ -45,6 +52,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 CLASS = re.compile(r"\b(?:class|role|id)\s*=\s*[\"']?([^\s\"'>]+)", re.I)
+DIGITS = re.compile(r"[0-9]+")
 WORDS = re.compile(r"(?:^|(?<=[\s\"']))(?:class|role|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Fixed lists: elements that hold others, elements that do not break a line of text, elements and class words outside main text.
 CONTAINERS = frozenset("html body article main section div nav header footer aside form ul ol table menu dialog figure details fieldset".split())
@@ -56,7 +64,9 @@ MAIN = ("article", "main")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {name: group for group in (frozenset({"li"}), frozenset({"dt", "dd"}), frozenset({"td", "th"}), frozenset({"tr"}), frozenset({"p"})) for name in group}
 MARK = "\x1f"
-LONGEST_UNIT, BUCKETS, SALTS, HOSTS_HELD = 16, 256, 32, 100_000
+CELLS, LOOSE, DEPTH, HOSTS_A_BUCKET, LEAST_BUCKETS, SALTS = 1 << 16, 256, 100, 2000, 16, 32
+#: Occurrences of a node apart that a repeated unit's ends may be.
+APART = 4
 #: Compiled hosts that a task holds (memory, not a limit), and the different pages that show a text to be template.
 COMPILED_HELD, SAME_ON = 1024, 3
 
@@ -73,7 +83,8 @@ class Page:
         self.symbols: list[str] = []
         self.places: dict[int, int] = {}  # number of a text: its symbol's number
         self.texts: list[tuple[str, str, bool]] = []  # (path, text or "" for a line break, in a link)
-        stack: list[tuple[str, str]] = []
+        stack: list[tuple[str, str]] = []  # name and path
+        open_names: dict[str, int] = {}
         heads: list[str] = []
         path, link = "", 0
         for match in TOKEN.finditer(source):
@@ -93,24 +104,30 @@ class Page:
             if name == "a":
                 link = max(0, link + (-1 if slash else 1))
             found = CLASS.search(attributes) if attributes and not slash else None
-            symbol = f"<{slash}{name}" + (f".{found[1].lower()}" if found else "")
+            symbol = f"<{slash}{name}" + (f".{DIGITS.sub('0', found[1].lower())}" if found else "")
             self.symbols.append(symbol)
             if name not in INLINE:
                 self.texts.append((path, "", link > 0))
             held = name in CONTAINERS or name in OUTSIDE
             if slash:
-                if any(n == name for n, _ in stack):
-                    while stack.pop()[0] != name:
-                        pass
-                    path = "/".join(s for _, s in stack)
+                if open_names.get(name):
+                    while True:
+                        ended = stack.pop()[0]
+                        open_names[ended] -= 1
+                        if ended == name:
+                            break
+                    path = stack[-1][1] if stack else ""
                 continue
             if name not in INLINE and stack and stack[-1][0] not in CONTAINERS and (stack[-1][0] == "p" or name in ENDS.get(stack[-1][0], ())):
-                stack.pop()  # its end is left out
-                path = "/".join(s for _, s in stack)
+                open_names[stack.pop()[0]] -= 1  # its end is left out
+                path = stack[-1][1] if stack else ""
             marked = bool(attributes) and name not in ("html", "body") and outside_by_word(attributes)
-            if name not in VOID and (held or marked or any(n == name for n, _ in stack)):
-                stack.append((name, symbol[1:] + (MARK if marked else "")))
-                path = "/".join(s for _, s in stack)
+            if name not in VOID and (held or marked or open_names.get(name)):
+                part = symbol[1:].replace("/", "_") + (MARK if marked else "")
+                if len(stack) < DEPTH or (outside(part) and not outside(path.rpartition("/")[2])):
+                    path = f"{path}/{part}" if stack else part
+                stack.append((name, path))
+                open_names[name] = open_names.get(name, 0) + 1
             if name in ("h1", "main"):
                 heads.append(path)
         if MARK in "".join({p for p, _, _ in self.texts}):
@@ -129,7 +146,15 @@ class Page:
             parts = path.split("/")
             return "/".join(frames.get("/".join(parts[: i + 1]), part) for i, part in enumerate(parts))
 
-        for path in sorted({"/".join(p[: i + 1]) for p in (q.split("/") for q in sums) for i, part in enumerate(p) if part.endswith(MARK)}, key=lambda p: (p.count("/"), p)):
+        mass: dict[str, int] = {}
+        for path, size in sums.items():
+            parts = path.split("/")
+            for i, part in enumerate(parts):
+                if part.endswith(MARK):
+                    top = "/".join(parts[: i + 1])
+                    mass[top] = mass.get(top, 0) + size
+        least = sum(n for p, n in sums.items() if not any(outside(x) for x in p.split("/")))  # a frame holds as much
+        for path in sorted((p for p, n in mass.items() if n >= max(least, 1)), key=lambda p: (p.count("/"), p)):
             above, _, part = path.rpartition("/")
             if any(outside(x) for x in plain(above).split("/")):
                 continue
@@ -177,27 +202,33 @@ class Block:
 
 
 class Automaton:
-    """The positions of a wrapper and which may follow which, to match pages."""
+    """The positions of a wrapper and which may follow which, to match pages. Positions share the maps of what follows them."""
 
     __slots__ = ("symbols", "follow", "named")
 
     def __init__(self, wrapper: list) -> None:
         self.symbols: list[str] = []
-        self.follow: list[dict[str, dict[int, None]]] = []
+        self.follow: list[list[dict[str, list[int]]]] = []
         first, _, _ = self.sequence(wrapper)
-        self.follow.append({})  # the start is the last state
+        self.follow.append([])  # the start is the last state
         self.link([len(self.symbols)], first)
         self.named: dict[str, list[int]] = {}
         for at, symbol in enumerate(self.symbols):
             self.named.setdefault(symbol, []).append(at)
 
     def link(self, sources: list[int], targets: list[int]) -> None:
-        for p in sources:
-            own = self.follow[p]
+        if sources and targets:
+            shared: dict[str, list[int]] = {}
             for q in targets:
-                own.setdefault(self.symbols[q], {})[q] = None
+                shared.setdefault(self.symbols[q], []).append(q)
+            for p in sources:
+                self.follow[p].append(shared)
+
+    def after(self, p: int, symbol: str) -> list[int]:
+        return [q for own in self.follow[p] for q in own.get(symbol, ())]
 
-    def sequence(self, nodes: list) -> tuple[list[int], list[int], bool]:
+    def sequence(self, nodes: list, free: bool = False) -> tuple[list[int], list[int], bool]:
+        """First positions, last positions, whether nothing matches too; ``free``: all may follow all, which a link around says."""
         first: list[int] = []
         last: list[int] = []
         empty = True
@@ -206,16 +237,20 @@ class Automaton:
                 f = l = [len(self.symbols)]
                 nothing = False
                 self.symbols.append(inner)
-                self.follow.append({})
+                self.follow.append([])
             else:
-                f, l, nothing = self.sequence(inner)
+                f, l, nothing = self.sequence(inner, kind == "+" and all(k == "?" for k, _ in inner))
                 if kind == "+":
                     self.link(l, f)
                 nothing = nothing or kind == "?"
-            self.link(last, f)
+            if not free:
+                self.link(last, f)
             if empty:
-                first = first + f
-            last = last + l if nothing else l
+                first += f
+            if nothing:
+                last += l
+            else:
+                last = list(l)
             empty = empty and nothing
         return first, last, empty
 
@@ -225,9 +260,13 @@ class Automaton:
         steps: list[dict[int, int] | None] = []
         for symbol in symbols:
             found: dict[int, int] = {}
+            asked: set[int] = set()
             for p in current:
-                for q in self.follow[p].get(symbol, ()):
-                    found.setdefault(q, p)
+                for own in self.follow[p]:
+                    if id(own) not in asked:
+                        asked.add(id(own))
+                        for q in own.get(symbol, ()):
+                            found.setdefault(q, p)
             if not found and symbol in self.named:
                 p = next(iter(current))
                 found = dict.fromkeys(self.named[symbol], p)
@@ -242,54 +281,100 @@ class Automaton:
         return out
 
 
+def units(ids: np.ndarray) -> list[int]:
+    """Lengths that a repeated unit may have: how far equal nodes are apart, ascending."""
+    order = np.argsort(ids, kind="stable")
+    own = ids[order]
+    apart = [(order[k:] - order[:-k])[own[k:] == own[:-k]] for k in range(1, min(APART, len(ids) - 1) + 1)]
+    found = np.unique(np.concatenate(apart)) if apart else np.zeros(0, np.int64)
+    return found[found <= len(ids) // 2].tolist()
+
+
+def repeats(ids: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """(start, copies) of every tandem repeat of this unit length, left to right."""
+    same = np.concatenate([[False], ids[:-size] == ids[size:], [False]])
+    edge = np.flatnonzero(same[1:] != same[:-1])
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    enough = length >= size
+    return list(zip(start[enough].tolist(), (length[enough] // size + 1).tolist(), strict=True))
+
+
 def folded(nodes: list[Node]) -> list[Node]:
     """Tandem repeats as repeated groups, shortest units first; lone occurrences of a repeated unit are such groups too."""
     bodies: list[tuple] = []
-    size = 1
-    while size <= min(LONGEST_UNIT, len(nodes) // 2):
-        at, out, found = 0, [], False
-        while at < len(nodes):
-            if nodes[at] == (nodes[at + size] if at + size < len(nodes) else None) and nodes[at : at + size] == nodes[at + size : at + 2 * size]:
-                body = tuple(nodes[at : at + size])
-                while tuple(nodes[at : at + size]) == body:
-                    at += size
-                out.append(("+", body) if size > 1 or body[0][0] != "+" else body[0])
-                bodies.append(body)
-                found = True
-            else:
-                out.append(nodes[at])
-                at += 1
-        nodes = out
-        size = 1 if found else size + 1
-    for body in dict.fromkeys(bodies):
-        nodes = absorbed(nodes, ("+", body))
-    return nodes
-
-
-def absorbed(nodes: list[Node], group: Node) -> list[Node]:
-    """Runs that the repeated group accepts become the group."""
-    body = group[1]
-    free = {n for part in body if part[0] == "?" for n in part[1]} if all(part[0] == "?" for part in body) else None
+    number: dict[Node, int] = {}
+    again = True
+    while again:
+        again = False
+        ids = np.array([number.setdefault(n, len(number)) for n in nodes], np.int64)
+        for size in units(ids):
+            if found := repeats(ids, size):
+                at, out = 0, []
+                for start, copies in found:
+                    body = tuple(nodes[start : start + size])
+                    out += nodes[at:start]
+                    out.append(("+", body) if size > 1 or body[0][0] != "+" else body[0])
+                    bodies.append(body)
+                    at = start + copies * size
+                nodes, again = out + nodes[at:], True
+                break
+    return absorbed(nodes, [("+", body) for body in dict.fromkeys(bodies)])
+
+
+def absorbed(nodes: list[Node], groups: list[Node]) -> list[Node]:
+    """Runs that one of the repeated groups accepts become that group."""
+    if not groups:
+        return nodes
+    members = set(groups)
+    free: dict[Node, Node] = {}  # a node: the first group of optionals that has it
+    whole: dict[Node, dict[tuple, Node]] = {}  # a body's first node: the groups by body
+    accepted: dict[Node, set[Node]] = {}
+    for group in groups:
+        if all(part[0] == "?" for part in group[1]):
+            accepted[group] = {n for part in group[1] for n in part[1]}
+            for n in accepted[group]:
+                free.setdefault(n, group)
+        else:
+            whole.setdefault(group[1][0], {}).setdefault(group[1], group)
+    sizes = {head: sorted({len(b) for b in bodies}) for head, bodies in whole.items()}
     out: list[Node] = []
     at = 0
     while at < len(nodes):
-        start = at
-        if free is not None:
-            while at < len(nodes) and (nodes[at] in free or nodes[at] == group):
+        node, start = nodes[at], at
+        group = node if node[0] == "+" and node in members else None
+        for size in sizes.get(node, ()) if group is None else ():
+            if group := whole[node].get(tuple(nodes[at : at + size])):
+                break
+        group = group or free.get(node)
+        if group is None:
+            out.append(node)
+            at += 1
+            continue
+        body, own = group[1], accepted.get(group)
+        while at < len(nodes):
+            if nodes[at] == group or (own is not None and nodes[at] in own):
                 at += 1
-        else:
-            while at < len(nodes) and (tuple(nodes[at : at + len(body)]) == body or nodes[at] == group):
-                at += 1 if nodes[at] == group else len(body)
-        if at > start and any(n != TEXT for n in nodes[start:at]):  # a text alone is a slot, not a group
+            elif own is None and nodes[at] == body[0] and tuple(nodes[at : at + len(body)]) == body:
+                at += len(body)
+            else:
+                break
+        if any(n != TEXT for n in nodes[start:at]):  # a text alone is a slot, not a group
             out.append(group)
         else:
             out += nodes[start:at]
-            if at == start:
-                out.append(nodes[at])
-                at += 1
     return out
 
 
+def symbols_of(nodes) -> list[str]:
+    return [x for kind, inner in nodes for x in ([inner] if kind == "s" else symbols_of(inner))]
+
+
+def loosened(node: Node) -> Node:
+    """A group of more than ``LOOSE`` symbols becomes a repeated choice of its different symbols, so that a wrapper stays short."""
+    own = symbols_of(node[1])
+    return ("+", tuple(("?", (("s", x),)) for x in dict.fromkeys(own))) if len(own) > LOOSE else node
+
+
 def alike(a: Node, b: Node) -> int:
     """How well two nodes match: 2 if equal, 1 for repeated groups with the same first node, else 0."""
     if a == b:
@@ -297,51 +382,103 @@ def alike(a: Node, b: Node) -> int:
     return int(a[0] == b[0] == "+" and bool(a[1]) and bool(b[1]) and a[1][0] == b[1][0])
 
 
-def aligned(wrapper: list[Node], sample: list[Node]) -> list[Node]:
-    """The smallest generalisation found of both."""
-    for group in [n for n in wrapper if n[0] == "+"]:
-        sample = absorbed(sample, group)
-    for group in [n for n in sample if n[0] == "+"]:
-        wrapper = absorbed(wrapper, group)
-    if wrapper == sample:
-        return wrapper
-
-    def spread(nodes: list[Node], side: str) -> list[tuple[Node, str | None]]:
-        return [pair for i, n in enumerate(nodes) for pair in ([(x, f"{side}{i}") for x in n[1]] if n[0] == "?" else [(n, None)])]
-
-    left, right = spread(wrapper, "w"), spread(sample, "s")
-    same = 0  # common ends need no table
-    while same < min(len(left), len(right)) and left[same][0] == right[same][0]:
-        same += 1
-    tail = 0
-    while tail < min(len(left), len(right)) - same and left[-1 - tail][0] == right[-1 - tail][0]:
-        tail += 1
-    a, b = left[same : len(left) - tail], right[same : len(right) - tail]
+def ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of pairs, sorted by their first number, in which the second ascends too."""
+    tails: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for at, (_, j) in enumerate(pairs):
+        spot = bisect_left(tails, j)
+        if spot:
+            before[at] = last[spot - 1]
+        tails[spot : spot + 1] = [j]
+        last[spot : spot + 1] = [at]
+    out = []
+    at = last[-1] if last else -1
+    while at >= 0:
+        out.append(pairs[at])
+        at = before[at]
+    return out[::-1]
+
+
+def tabled(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
+    """Pairs of the best common subsequence, by its table."""
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         row, below = best[i], best[i + 1]
         for j in range(len(b) - 1, -1, -1):
-            score = alike(a[i][0], b[j][0])
+            score = alike(a[i], b[j])
             row[j] = max(below[j], row[j + 1], below[j + 1] + score if score else 0)
-    out: list[tuple[Node, str | None]] = [(x[0], x[1] or y[1]) for x, y in zip(left[:same], right[:same], strict=True)]
-    i = j = runs = 0
-    while i < len(a) or j < len(b):
-        score = alike(a[i][0], b[j][0]) if i < len(a) and j < len(b) else 0
+    out: list[tuple[int, int]] = []
+    i = j = 0
+    while i < len(a) and j < len(b):
+        score = alike(a[i], b[j])
         if score and best[i][j] == best[i + 1][j + 1] + score:
-            node = a[i][0] if score == 2 else ("+", tuple(aligned(list(a[i][0][1]), list(b[j][0][1]))))
-            out.append((node, a[i][1] or b[j][1]))
-            i, j, runs = i + 1, j + 1, runs + 1
-        elif i < len(a) and (j >= len(b) or best[i][j] == best[i + 1][j]):
-            out.append((a[i][0], a[i][1] or f"a{runs}"))
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i + 1][j]:
             i += 1
         else:
-            out.append((b[j][0], b[j][1] or f"b{runs}"))
             j += 1
-    out += [(x[0], x[1] or y[1]) for x, y in zip(left[len(left) - tail :], right[len(right) - tail :], strict=True)]
+    return out
+
+
+def matched(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
+    """Pairs (place in a, place in b) of alike nodes, ascending in both."""
+    out: list[tuple[int, int]] = []
+    open_ = [(0, len(a), 0, len(b))]
+    while open_:
+        i, i_end, j, j_end = open_.pop()
+        while i < i_end and j < j_end and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < i_end and j < j_end and a[i_end - 1] == b[j_end - 1]:
+            i_end, j_end = i_end - 1, j_end - 1
+            out.append((i_end, j_end))
+        wide, high = i_end - i, j_end - j
+        if wide * high <= CELLS:
+            out += [(i + x, j + y) for x, y in tabled(a[i:i_end], b[j:j_end])] if wide and high else []
+            continue
+        here, there = Counter(a[i:i_end]), Counter(b[j:j_end])
+        spot = {n: y for y, n in enumerate(b[j:j_end], j) if there[n] == 1}
+        anchors = ascending([(x, spot[n]) for x, n in enumerate(a[i:i_end], i) if here[n] == 1 and n in spot])
+        if anchors:
+            out += anchors
+            edges = [(i - 1, j - 1), *anchors, (i_end, j_end)]
+            open_ += [(x + 1, p, y + 1, q) for (x, y), (p, q) in zip(edges, edges[1:], strict=False)]
+        else:
+            parts = -(-max(wide, high) // int(CELLS**0.5))
+            cuts = [(i + wide * k // parts, j + high * k // parts) for k in range(parts + 1)]
+            for (x, y), (p, q) in zip(cuts, cuts[1:], strict=False):
+                out += [(x + u, y + v) for u, v in tabled(a[x:p], b[y:q])]
+    return sorted(out)
+
+
+def aligned(wrapper: list[Node], sample: list[Node]) -> list[Node]:
+    """The smallest generalisation found of both."""
+    sample = absorbed(sample, list(dict.fromkeys(n for n in wrapper if n[0] == "+")))
+    wrapper = absorbed(wrapper, list(dict.fromkeys(n for n in sample if n[0] == "+")))
+    if wrapper == sample:
+        return wrapper
+
+    def spread(nodes: list[Node], side: str) -> list[tuple[Node, str | None]]:
+        return [pair for i, n in enumerate(nodes) for pair in ([(x, f"{side}{i}") for x in n[1]] if n[0] == "?" else [(n, None)])]
+
+    left, right = spread(wrapper, "w"), spread(sample, "s")
+    pairs = [*matched([n for n, _ in left], [n for n, _ in right]), (len(left), len(right))]
+    out: list[tuple[Node, str | None]] = []
+    i = j = 0
+    for runs, (x, y) in enumerate(pairs):
+        out += [(n, mark or f"a{runs}") for n, mark in left[i:x]]
+        out += [(n, mark or f"b{runs}") for n, mark in right[j:y]]
+        if x < len(left):
+            (a, mark_a), (b, mark_b) = left[x], right[y]
+            out.append((a if a == b else ("+", tuple(aligned(list(a[1]), list(b[1])))), mark_a or mark_b))
+        i, j = x + 1, y + 1
     made: list[Node] = []
     for mark, run in groupby(out, key=lambda pair: pair[1]):
         nodes = tuple(n for n, _ in run)
-        made += list(nodes) if mark is None else [("?", nodes)]
+        made += list(nodes) if mark is None else [loosened(("?", nodes))]
     return generalised(made)
 
 
@@ -354,7 +491,7 @@ def generalised(nodes: list[Node]) -> list[Node]:
             parts = [x for n in items for x in (n[1] if n[0] == "?" else [n])]
             flat = [x for p in parts for x in ([y for o in p[1] for y in o[1]] if p[0] == "+" and all(o[0] == "?" for o in p[1]) else [p])]
             if len(set(flat)) < len(flat) and len(items) > 1:
-                items = [("+", tuple(("?", (n,)) for n in dict.fromkeys(flat)))]
+                items = [loosened(("+", tuple(("?", (n,)) for n in dict.fromkeys(flat))))]
         out += items
     return out
 
@@ -550,7 +687,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return gathered(pages, Host, lambda: lambda name, host, page: host.learn(page))
 
 
-def slots(pages: DataFrame, uri: str, buckets: int = BUCKETS) -> DataFrame:
+def slots(pages: DataFrame, uri: str, buckets: int) -> DataFrame:
     """One row for each host: the packed slots that its pages fill in the stored wrapper."""
 
     def learner():
@@ -564,24 +701,33 @@ def bucket_of(host: str, buckets: int) -> int:
     return xxhash.xxh32_intdigest(host) % buckets
 
 
+def key_of(host: str) -> int:
+    return xxhash.xxh64_intdigest(host)
+
+
 class Known:
-    """Stored hosts by name, read by bucket and compiled as they are met."""
+    """Stored hosts by name, found in their bucket's index and compiled as they are met."""
 
     def __init__(self, uri: str, kind: str, buckets: int, compiled) -> None:
         self.shelf, self.kind, self.buckets, self.compiled = Shelf(uri), kind, buckets, compiled
-        self.stored: dict[int, dict[str, list]] = {}
+        self.stored: dict[int, dict[str, np.ndarray]] = {}
         self.ready: dict[str, object] = {}
 
     def __getitem__(self, name: str):
         if name not in self.ready:
             bucket = bucket_of(name, self.buckets)
             if bucket not in self.stored:
-                if sum(map(len, self.stored.values())) > HOSTS_HELD:
-                    self.stored.clear()
-                self.stored[bucket] = json.loads(self.shelf.get(f"{self.kind}-{bucket}")["json"].tobytes())
+                self.stored[bucket] = self.shelf.get(f"{self.kind}-{bucket}")
+            own = self.stored[bucket]
+            at = int(np.searchsorted(own["key"], np.uint64(key_of(name))))
+            while True:  # names of equal keys stand side by side
+                host, kept = json.loads(own["json"][own["start"][at] : own["start"][at + 1]].tobytes())
+                if host == name:
+                    break
+                at += 1
             if len(self.ready) >= COMPILED_HELD:
                 self.ready.clear()
-            self.ready[name] = self.compiled(self.stored[bucket][name])
+            self.ready[name] = self.compiled(kept)
         return self.ready[name]
 
 
@@ -598,8 +744,8 @@ def main_of(packed: str) -> list:
     return [own.boilerplate(), sums]
 
 
-def store(found: DataFrame, uri: str, buckets: int = BUCKETS, kind: str = "hosts", kept=wrapper_of) -> None:
-    """Write what is kept of the hosts' wrappers (or slots), one file for each bucket of hosts."""
+def store(found: DataFrame, uri: str, buckets: int, kind: str = "hosts", kept=wrapper_of) -> None:
+    """Write what is kept of the hosts' wrappers (or slots), one file with an index for each bucket of hosts."""
 
     def bucketed(batches):
         for batch in batches:
@@ -607,14 +753,27 @@ def store(found: DataFrame, uri: str, buckets: int = BUCKETS, kind: str = "hosts
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column(0), batch.column(1)], names=["bucket", "host", "wrapper"])
 
     def write(key: tuple, table: pa.Table) -> pa.Table:
-        out = {name: kept(packed) for name, packed in zip(table["host"].to_pylist(), table["wrapper"].to_pylist(), strict=True)}
-        Shelf(uri).put(f"{kind}-{key[0].as_py()}", {"json": np.frombuffer(json.dumps(out).encode(), np.uint8)})
-        return pa.table({"n": pa.array([len(out)], pa.int64())})
+        rows = sorted((key_of(name), json.dumps([name, kept(packed)]).encode()) for name, packed in zip(table["host"].to_pylist(), table["wrapper"].to_pylist(), strict=True))
+        arrays = {
+            "key": np.array([k for k, _ in rows], np.uint64),
+            "start": np.cumsum([0, *(len(text) for _, text in rows)]),
+            "json": np.frombuffer(b"".join(text for _, text in rows), np.uint8),
+        }
+        Shelf(uri).put(f"{kind}-{key[0].as_py()}", arrays)
+        return pa.table({"n": pa.array([len(rows)], pa.int64())})
 
     rows = found.select("host", "wrapper").mapInArrow(bucketed, "bucket int, host string, wrapper string")
     rows.groupBy("bucket").applyInArrow(write, "n long").groupBy().sum("n").collect()
 
 
+def learned(pages: DataFrame, folder: str) -> tuple[str, int]:
+    """Infer and store the wrappers of all hosts; give the place of the stored ones and the number of buckets."""
+    found = keep(wrappers(pages), folder, "found")
+    uri, buckets = f"{folder}/wrappers", max(LEAST_BUCKETS, found.count() // HOSTS_A_BUCKET)
+    store(found, uri, buckets)
+    return uri, buckets
+
+
 def main_text(page: Page, automaton: Automaton, boilerplate: set[str], known: dict[str, list[int]]) -> str:
     """The texts of main slots: references decoded, white space as one space, blocks joined by one space."""
     left = [block for key, block in keyed(page.blocks(), page, automaton) if key not in boilerplate]
@@ -629,7 +788,7 @@ def main_text(page: Page, automaton: Automaton, boilerplate: set[str], known: di
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 
-def extracted(pages: DataFrame, uri: str, buckets: int = BUCKETS) -> DataFrame:
+def extracted(pages: DataFrame, uri: str, buckets: int) -> DataFrame:
     """Match every page against the stored wrapper of its host, store what the slots hold, and take each page's main slots."""
     store(slots(pages, uri, buckets), uri, buckets, "slots", main_of)
 
@@ -649,6 +808,4 @@ def extracted(pages: DataFrame, uri: str, buckets: int = BUCKETS) -> DataFrame:
 
 def op3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    uri = f"{shared_dir(spark)}/wrappers"
-    store(wrappers(pages), uri)
-    return extracted(pages, uri)
+    return extracted(pages, *learned(pages, shared_dir(spark)))
