@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-#: The words that tell a question's type, first match wins.
-CUES: dict[str, str] = {
-    "comparison": r"\b(differences?\s+between|compare|compared\s+to|versus|vs|both|differ)\b",
-    "obligation": r"\b(obligation|responsib|who\s+must|who\s+shall|who\s+is\s+responsible)|\b(required\s+to|duties|what\s+must|what\s+shall)\b",
-    "definition": r"\b(what\s+(is|are)|define|definition\s+of|meaning\s+of|who\s+qualifies\s+as)\b|\bwhat\s+does\s+.+\s+mean\b|\bwho\s+(is|are)\s+(a|an|the)\b",
-    "list": r"\b(list|enumerate|all\s+the)\b|\bwhich\s+.*\s+are\s+required\b",
-    "condition": r"\b(when|if|under\s+what\s+(conditions|circumstances)|conditions?\s+for)\b|\b(exempt|derogat)",
-    "procedure": r"\b(how\s+(to|do|does|can)|procedure|process|steps)\b",
-    "summary": r"\bsummar|\b(overview|in\s+short|explain)\b",
+#: The cues of a question's type, types in the order in which they are tried.
+CUES: dict[str, tuple[str, ...]] = {
+    "comparison": (r"\bdifferences?\s+between\b", r"\bcompare\b", r"\bcompared\s+to\b", r"\bversus\b", r"\bvs\b", r"\bboth\b", r"\bdiffer\b"),
+    "obligation": (r"\bobligation", r"\bwho\s+(must|shall|is\s+responsible)", r"\bresponsib", r"\brequired\s+to\b", r"\bduties\b", r"\bwhat\s+must\b", r"\bwhat\s+shall\b"),
+    "definition": (r"\bwhat\s+(is|are)\b", r"\bdefine\b", r"\bdefinition\s+of\b", r"\bwhat\s+does\s+.+\s+mean\b", r"\bmeaning\s+of\b", r"\bwho\s+(is|are)\s+(a|an|the)\b", r"\bwho\s+qualifies\s+as\b"),
+    "list": (r"\blist\b", r"\benumerate\b", r"\ball\s+the\b", r"\bwhich\s+.*\s+are\s+required\b"),
+    "condition": (r"\bwhen\b", r"\bunder\s+what\s+(conditions|circumstances)\b", r"\bif\b", r"\bconditions?\s+for\b", r"\bexempt", r"\bderogat"),
+    "procedure": (r"\bhow\s+(to|do|does|can)\b", r"\bprocedure\b", r"\bprocess\b", r"\bsteps\b"),
+    "summary": (r"\bsummar", r"\boverview\b", r"\bin\s+short\b", r"\bexplain\b"),
 }
+#: How a question names a document kind.
 SCOPES: dict[str, str] = {
     "mdr": r"\b(mdr|2017/745|medical\s+device\s+regulation)\b",
     "ivdr": r"\b(ivdr|2017/746|in\s*-?\s*vitro\s+diagnostic)\b",
@@ -28,6 +29,7 @@ PREFERRED: dict[str, tuple[str, ...]] = {
     "condition": ("obligation", "list"),
     "procedure": ("obligation", "list"),
 }
+#: Characters that quote a term, and (below) the form of a question for a definition.
 QUOTES = "'\"‘’“”"
 DIRECT = ("definition", "list")
 PROMPT_OF = {"list": "list", "procedure": "list", "obligation": "obligation", "condition": "obligation"}
@@ -37,10 +39,14 @@ def found(text: Column, pattern: str) -> Column:
     return text.rlike("(?iU)" + pattern)
 
 
+def any_of(cues: tuple[str, ...]) -> str:
+    return "|".join(cues)
+
+
 def question_type(text: Column) -> Column:
     out = None
-    for name, pattern in CUES.items():
-        out = F.when(found(text, pattern), name) if out is None else out.when(found(text, pattern), name)
+    for name, cues in CUES.items():
+        out = F.when(found(text, any_of(cues)), name) if out is None else out.when(found(text, any_of(cues)), name)
     return out.otherwise("general")
 
 

@@ -24,6 +24,7 @@ REFUSALS = (
     "cannot answer",
     "unable to answer",
 )
+#: The sentence that says so, and where sentences end.
 NO_ANSWER = "The provided documents do not contain this information."
 SENTENCE_BREAK = r"(?<=[.;:])(?U)\s+(?=[A-Z(\d])|\n+"
 
@@ -33,6 +34,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+RUN = 256
+
+
+def starts(sizes: Column) -> Column:
+    """The sum of the sizes before each one. Sums are taken within runs of ``RUN`` and then over the runs, so a long array costs no square of it."""
+    empty = F.array().cast("array<int>")
+
+    def step(state: Column, size: Column) -> Column:
+        return F.struct((state["at"] + size).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    def joined(state: Column, own: Column) -> Column:
+        moved = F.transform(own["out"], lambda at: at + state["at"])
+        return F.struct((state["at"] + own["at"]).alias("at"), F.concat(state["runs"], F.array(moved)).alias("runs"))
+
+    def summed(own: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / RUN).cast("int"))
+        runs = F.transform(numbers, lambda n: F.aggregate(F.slice(own, n * RUN + 1, F.lit(RUN)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+        whole = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("runs")), joined, lambda s: F.flatten(s["runs"]))
+        return F.when(F.size(own) > 0, whole).otherwise(empty)
+
+    return let(sizes, summed)
+
+
 def strip(text: Column) -> Column:
     """Without white space (of any script) at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -45,17 +69,22 @@ def tokens(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Array of (start, end, sentence) with code point offsets, end exclusive; blank pieces are left out."""
-    pieces = F.filter(F.transform(F.split(text, SENTENCE_BREAK), strip), lambda p: F.length(p) > 0)
-    empty = F.array().cast("array<struct<start:int,end:int,sentence:string>>")
+    """Array of (start, end, sentence) with code point offsets, end exclusive; blank pieces are left out. Each piece starts where the pieces and
+    breaks before it end, so the text is not searched for it."""
+
+    def sized(own: Column) -> Column:
+        return F.transform(own["pieces"], lambda piece, at: F.length(piece) + F.coalesce(F.length(F.get(own["breaks"], at)), F.lit(0)))
+
+    def span(piece: Column, at: Column) -> Column:
+        start = at + F.length(piece) - F.length(F.regexp_replace(piece, r"(?U)^\s+", ""))
+        return let(strip(piece), lambda bare: F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("sentence")))
 
-    def step(state: Column, piece: Column) -> Column:
-        at = F.call_function("locate", piece, text, state["at"] + 1) - 1
-        end = at + F.length(piece)
-        span = F.struct(at.alias("start"), end.alias("end"), piece.alias("sentence"))
-        return F.when(at < 0, state).otherwise(F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out")))
+    def spans(own: Column) -> Column:
+        found = let(starts(sized(own)), lambda at: F.transform(own["pieces"], lambda piece, i: span(piece, at[i])))
+        return F.filter(found, lambda s: s["end"] > s["start"])
 
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    parts = F.struct(F.split(text, SENTENCE_BREAK, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(SENTENCE_BREAK), 0).alias("breaks"))
+    return F.when(text.isNotNull(), let(parts, spans))
 
 
 def overlap(sentence: Column, answer_tokens: Column) -> Column:
@@ -69,7 +98,7 @@ def supporting_spans(content: Column, answer: Column, least: float = 0.34, most:
     def best(words: Column) -> Column:
         scored = F.transform(sentences(content), lambda s: F.struct((-overlap(s["sentence"], words)).alias("order"), s["start"].alias("start"), s["end"].alias("end")))
         good = F.slice(F.array_sort(F.filter(scored, lambda s: -s["order"] >= least)), 1, most)
-        return F.array_sort(F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.round(-s["order"], 3).alias("score"))))
+        return F.array_sort(F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.bround(-s["order"], 3).alias("score"))))
 
     return let(F.array_distinct(tokens(answer)), best)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .lineage import small
 
 K1, B = 1.5, 0.75
 
@@ -41,8 +42,12 @@ def query_terms(questions: DataFrame, id_column: str, text: str, *keep: str) ->
 
 
 def scores(tokenised_docs: DataFrame, terms: DataFrame, *scope: str, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, scope, score) of documents that have a term of the question. Statistics are the scope's own."""
-    wanted = terms.select("term").distinct()
+    """(query_id, doc_id, scope, score) of documents that have a term of the question. Statistics are the scope's own.
+
+    The questions' terms meet the tokens before any shuffle; the one shuffle of postings is by document and term, and weights, one row
+    for each wanted term and scope, come to them.
+    """
+    wanted = small(terms.select("term").distinct())
     lengths = tokenised_docs.withColumn("len", F.size("tokens"))
     exploded = lengths.select("doc_id", *scope, "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
     postings = exploded.groupBy("doc_id", *scope, "len", "term").agg(F.count("*").alias("tf"))
@@ -50,7 +55,7 @@ def scores(tokenised_docs: DataFrame, terms: DataFrame, *scope: str, k1: float =
     weights = document_frequencies(postings, *scope)
     weights = weights.join(stats, list(scope)) if scope else weights.crossJoin(F.broadcast(stats))  # one row
     weights = weights.select(*scope, "term", "avg_len", idf().alias("idf"))
-    matched = postings.join(weights, [*scope, "term"]).join(terms, "term")
+    matched = postings.join(weights, [*scope, "term"]).join(small(terms), "term")
     tf, size = F.col("tf"), F.col("len") / F.col("avg_len")
     part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size))
     return matched.groupBy("query_id", "doc_id", *scope).agg(F.sum(part).alias("score"))

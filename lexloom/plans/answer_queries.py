@@ -14,17 +14,12 @@ from .registry import ORACLES, query, quoted, table
 from .structure_queries import DEFINED_SQL, REDIRECT_SQL, STRIP
 from .text_queries import COSINE, tok
 
-ASKED = (0, 1, 5, 14, 18)
-COMPARED = (4, 8, 16)
-#: The same as conditions. The queries named ``*_all`` below have neither list: all questions, or all comparisons, over all documents.
-ASKED_ONLY, COMPARED_ONLY = f"query_id IN {ASKED}", f"query_id IN {COMPARED}"
-
 
 def sql_pattern(pattern: str) -> str:
     return quoted("(?i)" + pattern)
 
 
-TYPE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(question, {sql_pattern(p)}) THEN '{k}'" for k, p in planner.CUES.items()) + " ELSE 'general' END"
+TYPE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(question, {sql_pattern(planner.any_of(p))}) THEN '{k}'" for k, p in planner.CUES.items()) + " ELSE 'general' END"
 KINDS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(question, {sql_pattern(p)}) THEN '{k}' END" for k, p in planner.SCOPES.items()) + "], lambda k: k IS NOT NULL)"
 QUOTE_CLASS = f"[{planner.QUOTES}]"
 QUOTED_SQL = f"list_filter(list_transform(regexp_extract_all(question, {quoted(f'{QUOTE_CLASS}(.+?){QUOTE_CLASS}')}, 1), lambda t: {STRIP.format('t')}), lambda t: length(t) > 2 AND length(t) < 80)"
@@ -79,18 +74,18 @@ def plan_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Retrieval
 
 
-def asked(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """Planned questions with a stored vector as each question's own."""
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All planned questions, with a stored vector as each question's own."""
     vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") / 3).cast("bigint").alias("query_id"), F.col("embedding").alias("query_vector"), (F.col("vec_id") % 3).alias("rest"))
-    return plans(spark).filter(which).join(vectors.filter("rest = 0").drop("rest"), "query_id")
+    return plans(spark).join(vectors.filter("rest = 0").drop("rest"), "query_id")
 
 
-def scored_sql(ids: tuple[int, ...], by_kind: bool = False, strict: bool = False, kinds: str = "doc_kinds") -> str:
+def scored_sql(by_kind: bool = False, strict: bool = False, kinds: str = "doc_kinds") -> str:
     scope = "query_id, doc_kind" if by_kind else "query_id"
     inside = f"(len({kinds}) = 0 OR list_contains({kinds}, doc_kind){'' if strict else ' OR NOT any_in'})"
     return (
-        PLAN + f", chunk AS ({fixtures.CHUNK_DUCK}), tk AS (SELECT chunk_id, {tok('content')} AS tokens FROM chunk), "
-        f"pl AS (SELECT plan.*, e.embedding AS qv FROM plan JOIN embeddings e ON e.vec_id = plan.query_id * 3 WHERE query_id IN ({', '.join(map(str, ids))})), "
+        PLAN + f", chunk AS ({fixtures.ALL_CHUNK_DUCK}), tk AS (SELECT chunk_id, {tok('content')} AS tokens FROM chunk), "
+        f"pl AS (SELECT plan.*, e.embedding AS qv FROM plan JOIN embeddings e ON e.vec_id = plan.query_id * 3), "
         f"pairs AS (SELECT * FROM (SELECT chunk.*, pl.*, bool_or(list_contains({kinds}, doc_kind)) OVER (PARTITION BY query_id) AS any_in FROM chunk, pl) WHERE {inside}), "
         f"st AS (SELECT {scope}, count(*) AS n, avg(len(tokens)) AS a FROM pairs JOIN tk USING (chunk_id) GROUP BY ALL), "
         f"qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({tok('question')}) AS term FROM pl) GROUP BY ALL), "
@@ -110,8 +105,8 @@ def scored_sql(ids: tuple[int, ...], by_kind: bool = False, strict: bool = False
 HITS = "query_id, rank, chunk_id, round(score, 6) AS score, round(semantic, 6) AS semantic_score, round(keyword, 6) AS keyword_score, round(structure, 6) AS structure_score"
 
 
-def rounded(spark: SparkSession, sf_dir: str, which: str, chunks=fixtures.chunk_rows, **options) -> DataFrame:
-    found = hybrid.scored(asked(spark, sf_dir, which), chunks(spark, sf_dir), **options)
+def rounded(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    found = hybrid.scored(asked(spark, sf_dir), fixtures.all_chunks(spark, sf_dir), **options)
     return found.withColumns({c: F.round(c, 6) for c in ("score", "semantic_score", "keyword_score", "structure_score")})
 
 
@@ -122,24 +117,24 @@ def ranked(found: DataFrame, k: int, *by: str) -> DataFrame:
 SCORES = ("query_id", "rank", "chunk_id", "score", "semantic_score", "keyword_score", "structure_score")
 
 
-@query(scored_sql(ASKED) + f" SELECT {HITS} FROM rk WHERE rank <= 6")
-def hybrid_topk(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
-    return ranked(rounded(spark, sf_dir, which, chunks), 6, "query_id").select(*SCORES)
+@query(scored_sql() + f" SELECT {HITS} FROM rk WHERE rank <= 6")
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(rounded(spark, sf_dir), 6, "query_id").select(*SCORES)
 
 
-@query(scored_sql(COMPARED, by_kind=True, strict=True) + f" SELECT doc_kind, {HITS} FROM rk WHERE rank <= 3")
-def per_kind_topk(spark: SparkSession, sf_dir: str, which: str = COMPARED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
-    return ranked(rounded(spark, sf_dir, which, chunks, strict=True, by_kind=True), 3, "query_id", "doc_kind").select("doc_kind", *SCORES)
+@query(scored_sql(by_kind=True, strict=True) + f" SELECT doc_kind, {HITS} FROM rk WHERE rank <= 3")
+def per_kind_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(rounded(spark, sf_dir, strict=True, by_kind=True), 3, "query_id", "doc_kind").select("doc_kind", *SCORES)
 
 
 @query(
-    scored_sql(COMPARED, by_kind=True, strict=True)
+    scored_sql(by_kind=True, strict=True)
     + ", want AS (SELECT query_id, CASE WHEN len(doc_kinds) > 0 THEN doc_kinds ELSE ['mdr', 'ivdr'] END AS kinds FROM pl), got AS (SELECT query_id, list(DISTINCT doc_kind) AS g FROM rk WHERE rank <= 3 GROUP BY query_id) "
     "SELECT query_id, array_to_string(list_filter(kinds, lambda k: list_contains(coalesce(g, []), k)), ',') AS covered, array_to_string(list_filter(kinds, lambda k: NOT list_contains(coalesce(g, []), k)), ',') AS missing FROM want LEFT JOIN got USING (query_id)"
 )
-def comparison_coverage(spark: SparkSession, sf_dir: str, which: str = COMPARED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
-    hits = ranked(rounded(spark, sf_dir, which, chunks, strict=True, by_kind=True), 3, "query_id", "doc_kind")
-    own = answer.coverage(plans(spark).filter(which), hits)
+def comparison_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = ranked(rounded(spark, sf_dir, strict=True, by_kind=True), 3, "query_id", "doc_kind")
+    own = answer.coverage(plans(spark), hits)
     return own.select("query_id", F.array_join("covered", ",").alias("covered"), F.array_join("missing", ",").alias("missing"))
 
 
@@ -154,22 +149,22 @@ def with_plan(hits: DataFrame, spark: SparkSession) -> DataFrame:
     return hits.join(plans(spark).select("query_id", "preferred_chunk_kinds", "allows_direct_answer", "question_type", "subject_term"), "query_id")
 
 
-@query(scored_sql(ASKED) + CONFIDENCE_SQL + " SELECT query_id, confidence FROM conf")
-def confidence(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
-    return hybrid.confidence(with_plan(ranked(rounded(spark, sf_dir, which, chunks), 6, "query_id"), spark))
+@query(scored_sql() + CONFIDENCE_SQL + " SELECT query_id, confidence FROM conf")
+def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid.confidence(with_plan(ranked(rounded(spark, sf_dir), 6, "query_id"), spark))
 
 
-@query(scored_sql(ASKED) + CONFIDENCE_SQL + " SELECT query_id, confidence, CASE WHEN coalesce(confidence, 0) < 0.35 THEN 'refused' ELSE 'answerable' END AS gate FROM pl LEFT JOIN conf USING (query_id)")
-def refusal_gate(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
-    sure = hybrid.confidence(with_plan(ranked(rounded(spark, sf_dir, which, chunks), 6, "query_id"), spark))
-    own = plans(spark).filter(which).join(sure, "query_id", "left")
+@query(scored_sql() + CONFIDENCE_SQL + " SELECT query_id, confidence, CASE WHEN coalesce(confidence, 0) < 0.35 THEN 'refused' ELSE 'answerable' END AS gate FROM pl LEFT JOIN conf USING (query_id)")
+def refusal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sure = hybrid.confidence(with_plan(ranked(rounded(spark, sf_dir), 6, "query_id"), spark))
+    own = plans(spark).join(sure, "query_id", "left")
     return own.select("query_id", "confidence", F.when(F.coalesce("confidence", F.lit(0.0)) < 0.35, "refused").otherwise("answerable").alias("gate"))
 
 
-@query(scored_sql(ASKED) + " SELECT query_id, chunk_id, round(structure, 6) AS structure_score, bonus FROM sc WHERE structure > 0 OR bonus > 0")
-def structure_score(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
+@query(scored_sql() + " SELECT query_id, chunk_id, round(structure, 6) AS structure_score, bonus FROM sc WHERE structure > 0 OR bonus > 0")
+def structure_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure scores and explicit-reference bonuses, without the rest of retrieval."""
-    pairs = hybrid.in_scope(chunks(spark, sf_dir).crossJoin(F.broadcast(plans(spark).filter(which))), F.col("doc_kinds"), F.col("doc_kind"))
+    pairs = hybrid.in_scope(fixtures.all_chunks(spark, sf_dir).crossJoin(F.broadcast(plans(spark))), F.col("doc_kinds"), F.col("doc_kind"))
     score = hybrid.structure_score(F.col("chunk_kind"), F.col("content"), F.col("preferred_chunk_kinds"), F.col("quoted_terms"))
     bonus = hybrid.reference_bonus(F.col("article_num"), F.col("section_path"), F.col("article_refs"), F.col("annex_refs"))
     return pairs.select("query_id", "chunk_id", F.round(score, 6).alias("structure_score"), bonus.alias("bonus")).filter("structure_score > 0 or bonus > 0")
@@ -177,7 +172,7 @@ def structure_score(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, c
 
 def scope_sql(strict: bool) -> str:
     return (
-        f"WITH chunk AS ({fixtures.CHUNK_DUCK}), w AS (SELECT * FROM (VALUES (1, ['mdr']), (2, ['zz']), (3, []), (4, ['zz', 'ivdr'])) AS t(query_id, kinds)), "
+        f"WITH chunk AS ({fixtures.ALL_CHUNK_DUCK}), w AS (SELECT * FROM (VALUES (1, ['mdr']), (2, ['zz']), (3, []), (4, ['zz', 'ivdr'])) AS t(query_id, kinds)), "
         "m AS (SELECT w.query_id, chunk_id, len(kinds) = 0 OR list_contains(kinds, doc_kind) AS ok FROM chunk, w), "
         "a AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS any_in FROM m) "
         f"SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS n, CAST(sum(chunk_id) AS BIGINT) AS ids FROM a WHERE ok {'' if strict else 'OR NOT any_in'} GROUP BY query_id"
@@ -186,7 +181,7 @@ def scope_sql(strict: bool) -> str:
 
 def scoped(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
     wanted = spark.sql("SELECT * FROM VALUES (1L, array('mdr')), (2L, array('zz')), (3L, cast(array() as array<string>)), (4L, array('zz', 'ivdr')) AS t(query_id, kinds)")
-    pairs = fixtures.chunk_rows(spark, sf_dir).select("chunk_id", "doc_kind").crossJoin(F.broadcast(wanted))
+    pairs = fixtures.plain_chunks(spark, sf_dir).select("chunk_id", "doc_kind").crossJoin(F.broadcast(wanted))
     return hybrid.in_scope(pairs, F.col("kinds"), F.col("doc_kind"), strict).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("chunk_id").alias("ids"))
 
 
@@ -221,37 +216,23 @@ def sibling_sql(number: int, before: str) -> str:
 EXPANDED = f"{CUT_SQL}, e0 AS (SELECT query_id, chunk_id, citation, content, false AS expanded, rank AS ord, used FROM prim), {sibling_sql(1, 'e0')}, {sibling_sql(2, 'e1')}"
 
 
-def hits(spark: SparkSession, sf_dir: str, which: str, chunks) -> DataFrame:
-    return settled(answer.cited(ranked(rounded(spark, sf_dir, which, chunks), 6, "query_id")))
-
-
-@query(scored_sql(ASKED) + f", {CUT_SQL} SELECT query_id, rank, chunk_id, citation, CAST(used AS BIGINT) AS used FROM prim")
-def context_budget(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
-    return context.primary(hits(spark, sf_dir, which, chunks)).select("query_id", "rank", "chunk_id", "citation", "used")
-
-
-@query(scored_sql(ASKED) + f", {EXPANDED} SELECT query_id, chunk_id, citation, expanded, CAST(ord AS BIGINT) AS ord, CAST(used AS BIGINT) AS used FROM e2")
-def sibling_expand(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
-    return context.expanded(hits(spark, sf_dir, which, chunks), chunks(spark, sf_dir)).select("query_id", "chunk_id", "citation", "expanded", "ord", "used")
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(answer.cited(hybrid.with_chunks(ranked(rounded(spark, sf_dir), 6, "query_id"), fixtures.all_chunks(spark, sf_dir))))
 
 
-@query(scored_sql(ASKED) + f", {EXPANDED} SELECT query_id, string_agg('[' || citation || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS context FROM e2 GROUP BY query_id")
-def context_format(spark: SparkSession, sf_dir: str, which: str = ASKED_ONLY, chunks=fixtures.chunk_rows) -> DataFrame:
-    return context.rendered(context.expanded(hits(spark, sf_dir, which, chunks), chunks(spark, sf_dir)), "query_id")
+@query(scored_sql() + f", {CUT_SQL} SELECT query_id, rank, chunk_id, citation, CAST(used AS BIGINT) AS used FROM prim")
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.primary(hits(spark, sf_dir)).select("query_id", "rank", "chunk_id", "citation", "used")
 
 
-def whole(function, condition: str) -> None:
-    """Register a query over all documents and all questions that meet the condition, as ``*_all``; its SQL is the query's own without the cuts."""
-    sql = ORACLES[function.__name__].replace(fixtures.CHUNK_DUCK, fixtures.ALL_CHUNK_DUCK)
-    for cut in (ASKED_ONLY, COMPARED_ONLY):
-        sql = sql.replace(cut, condition)
-    query(sql, f"{function.__name__}_all")(lambda spark, sf_dir: function(spark, sf_dir, condition, fixtures.all_chunks))
+@query(scored_sql() + f", {EXPANDED} SELECT query_id, chunk_id, citation, expanded, CAST(ord AS BIGINT) AS ord, CAST(used AS BIGINT) AS used FROM e2")
+def sibling_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.expanded(hits(spark, sf_dir), fixtures.all_chunks(spark, sf_dir)).select("query_id", "chunk_id", "citation", "expanded", "ord", "used")
 
 
-for one in (hybrid_topk, confidence, refusal_gate, structure_score, context_budget, sibling_expand, context_format):
-    whole(one, "true")
-for one in (per_kind_topk, comparison_coverage):
-    whole(one, "true")  # question 8 of COMPARED is no comparison, so all questions
+@query(scored_sql() + f", {EXPANDED} SELECT query_id, string_agg('[' || citation || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS context FROM e2 GROUP BY query_id")
+def context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.rendered(context.expanded(hits(spark, sf_dir), fixtures.all_chunks(spark, sf_dir)), "query_id")
 
 
 DEFINITIONS = (
@@ -385,8 +366,8 @@ def span_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH c AS ({fixtures.CHUNK_DUCK}) SELECT chunk_id, {CITATION_SQL} AS citation, {SIBLING_CITATION_SQL} AS sibling FROM c"
+    f"WITH c AS ({fixtures.ALL_CHUNK_DUCK}) SELECT chunk_id, {CITATION_SQL} AS citation, {SIBLING_CITATION_SQL} AS sibling FROM c"
 )
 def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = answer.cited(fixtures.chunk_rows(spark, sf_dir))
+    own = answer.cited(fixtures.plain_chunks(spark, sf_dir))
     return own.select("chunk_id", "citation", structure.sibling_citation(F.col("short_label"), F.col("filename"), F.col("article"), F.col("paragraph")).alias("sibling"))

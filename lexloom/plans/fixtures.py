@@ -110,11 +110,6 @@ CHUNK_COLUMNS = """doc_id AS chunk_id, doc_id % 50 AS document_id, CAST(doc_id A
  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE upper(lang) END AS short_label, source || '.txt' AS filename"""
 
 
-def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have an embedding, as chunks."""
-    return plain_chunks(spark, sf_dir).join(vectors(spark, sf_dir), "chunk_id")
-
-
 def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as chunks, the embedding null where there is none."""
     return plain_chunks(spark, sf_dir).join(vectors(spark, sf_dir), "chunk_id", "left")
@@ -129,5 +124,4 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS chunk_id", "embedding")
 
 
-CHUNK_DUCK = f"SELECT c.*, e.embedding FROM (SELECT {CHUNK_COLUMNS} FROM documents) c JOIN embeddings e ON e.vec_id = c.chunk_id"
-ALL_CHUNK_DUCK = CHUNK_DUCK.replace("JOIN embeddings", "LEFT JOIN embeddings")
+ALL_CHUNK_DUCK = f"SELECT c.*, e.embedding FROM (SELECT {CHUNK_COLUMNS} FROM documents) c LEFT JOIN embeddings e ON e.vec_id = c.chunk_id"

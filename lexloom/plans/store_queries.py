@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import store
-from ..operators.lineage import settled
+from ..operators.lineage import in_order, shared_root
 from ..streaming import events as ev
 from ..streaming import landing
 from . import fixtures
@@ -28,20 +26,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("created_at", F.timestamp_seconds("created")).withColumn("indexed_at", F.lit(None).cast("timestamp"))
 
 
-@query(f"{DOCS_DUCK} SELECT id, filename, status, CAST(row_number() OVER (ORDER BY created DESC, id DESC) AS BIGINT) AS place FROM d QUALIFY place <= 25")
-def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = store.listed(documents(spark, sf_dir)).limit(25)
-    return top.select("id", "filename", "status", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))).cast("bigint").alias("place"))
-
-
 @query(f"{DOCS_DUCK} SELECT id, filename, status, CAST(row_number() OVER (ORDER BY created DESC, id DESC) AS BIGINT) AS place FROM d")
-def document_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its place: its number in its part of the sorted rows, and the sizes of the parts before."""
-    own = settled(store.listed(documents(spark, sf_dir)).select("id", "filename", "status", F.monotonically_increasing_id().alias("__at")))
-    own = own.select("id", "filename", "status", F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("__at"))
-    sizes = own.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return own.join(before, "__part").select("id", "filename", "status", (F.col("__before") + F.col("__at") + 1).alias("place"))
+def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its place, newest first."""
+    return in_order(documents(spark, sf_dir).select("id", "filename", "status", "created_at"), F.desc("created_at"), F.desc("id")).drop("created_at")
 
 
 @query(f"{DOCS_DUCK} SELECT id, filename, status FROM d WHERE id = 17")
@@ -54,22 +42,16 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.served(documents(spark, sf_dir)).drop("created_at", "indexed_at")
 
 
-@query(f"{DOCS_DUCK}, c AS ({fixtures.CHUNK_DUCK}) SELECT c.chunk_id, d.filename, d.short_label, d.doc_kind FROM c JOIN d ON d.id = c.document_id WHERE status = 'ready' AND d.id IN (3, 5, 6, 7, 9)")
-def ready_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = fixtures.chunk_rows(spark, sf_dir).select(F.col("chunk_id").alias("id"), "document_id", "content")
-    return store.ready_chunks(chunks, documents(spark, sf_dir), [3, 5, 6, 7, 9]).select("chunk_id", "filename", "short_label", "doc_kind")
-
-
 @query(f"{DOCS_DUCK}, c AS (SELECT {fixtures.CHUNK_COLUMNS} FROM documents) SELECT c.chunk_id, d.filename, d.short_label, d.doc_kind FROM c JOIN d ON d.id = c.document_id WHERE status = 'ready'")
-def ready_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ready_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of all ready documents, with an embedding or without."""
     chunks = fixtures.plain_chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "document_id", "content")
     return store.ready_chunks(chunks, documents(spark, sf_dir)).select("chunk_id", "filename", "short_label", "doc_kind")
 
 
-@query(f"WITH c AS ({fixtures.CHUNK_DUCK}) SELECT chunk_id, CAST(chunk_index AS BIGINT) AS chunk_index FROM c WHERE document_id = 7 AND article_num = 9")
+@query(f"WITH c AS ({fixtures.ALL_CHUNK_DUCK}) SELECT chunk_id, CAST(chunk_index AS BIGINT) AS chunk_index FROM c WHERE document_id = 7 AND article_num = 9")
 def sibling_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.siblings(fixtures.chunk_rows(spark, sf_dir), 7, 9).select("chunk_id", F.col("chunk_index").cast("bigint").alias("chunk_index"))
+    return store.siblings(fixtures.plain_chunks(spark, sf_dir), 7, 9).select("chunk_id", F.col("chunk_index").cast("bigint").alias("chunk_index"))
 
 
 @query(f"{DOCS_DUCK} SELECT status, count(*) AS n FROM d GROUP BY status")
@@ -95,10 +77,10 @@ def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.mark_indexing(own, F.col("id") % 5 == 2).select("id", "status", "chunk_count", "error")
 
 
-@query(f"{DOCS_DUCK}, c AS ({fixtures.CHUNK_DUCK}) SELECT 'chunks' AS kind, count(*) AS n FROM c WHERE document_id NOT IN (1, 2, 3) UNION ALL SELECT 'documents', count(*) FROM d WHERE id NOT IN (1, 2, 3)")
+@query(f"{DOCS_DUCK}, c AS ({fixtures.ALL_CHUNK_DUCK}) SELECT 'chunks' AS kind, count(*) AS n FROM c WHERE document_id NOT IN (1, 2, 3) UNION ALL SELECT 'documents', count(*) FROM d WHERE id NOT IN (1, 2, 3)")
 def delete_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = spark.range(1, 4)
-    chunks = store.without(fixtures.chunk_rows(spark, sf_dir), gone, "document_id").agg(F.lit("chunks").alias("kind"), F.count("*").alias("n"))
+    chunks = store.without(fixtures.plain_chunks(spark, sf_dir), gone, "document_id").agg(F.lit("chunks").alias("kind"), F.count("*").alias("n"))
     return chunks.unionByName(store.without(documents(spark, sf_dir), gone, "id").agg(F.lit("documents").alias("kind"), F.count("*").alias("n")))
 
 
@@ -174,10 +156,6 @@ def labels_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", text.size_label(F.col("size_bytes")).alias("size"), text.confidence_label(F.col("confidence")).alias("trust"))
 
 
-def shared_root(spark: SparkSession) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lexloom-")
-
-
 @query()
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page lands as a text file of its structure-bearing lines; the stream indexes them. Rows: each document's status and chunks."""

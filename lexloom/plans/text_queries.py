@@ -134,10 +134,8 @@ def hashed_sql(source: str, key: str) -> str:
 @query(f"WITH {hashed_sql('documents', 'doc_id')} SELECT id AS doc_id, position, round(value, 6) AS value FROM v WHERE value <> 0")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash embeddings of all documents, as their non-zero positions."""
-    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(vector.hash_terms(F.col("text"))).alias("t"))
-    sums = terms.groupBy("doc_id", "t.position").agg(F.sum("t.sign").alias("v")).filter("v <> 0")
-    sizes = sums.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
-    return sums.join(sizes, "doc_id").select("doc_id", "position", F.round(F.col("v") / F.col("size"), 6).alias("value"))
+    own = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(vector.hash_embedding(F.col("text"))).alias("position", "value"))
+    return own.filter("value <> 0").withColumn("value", F.round("value", 6))
 
 
 @query(

@@ -8,6 +8,8 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class Settings:
+    """The defaults are fixed values: results depend on them."""
+
     max_chunk_chars: int = 1600
     chunk_overlap_chars: int = 200
     min_block_chars: int = 15
@@ -32,12 +34,14 @@ class Settings:
     max_documents: int = 20
     history_limit: int = 50
     max_question_chars: int = 2000
+    chat_model: str = "scripted"
+    embedding_model: str = "hash"
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None, prefix: str = "LEXLOOM_") -> Settings:
         env = dict(os.environ) if env is None else env
         found = {f.name: env[prefix + f.name.upper()] for f in fields(cls) if prefix + f.name.upper() in env}
-        return cls(**{k: (float if isinstance(getattr(cls, k), float) else int)(v) for k, v in found.items()})
+        return cls(**{k: type(getattr(cls, k))(v) for k, v in found.items()})
 
 
 DEFAULT = Settings()
