@@ -11,7 +11,8 @@ from ..settings import DEFAULT, Settings
 from . import context, hybrid
 from .lineage import settled
 
-RESULT = ("query_id", "question", "question_type", "mode", "answer_path", "answer", "confidence", "warnings", "sources")
+RESULT = ("query_id", "question", "question_type", "mode", "answer_path", "answer", "confidence", "warnings", "sources", "fragments", "replaced")
+EMPTY, TOO_LONG = "the question is empty", "the question is too long"
 NO_PASSAGE, BOTH_NEEDED = "no passage found", "upload both regulations to compare them"
 
 
@@ -40,8 +41,8 @@ def direct_answers(hits: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 def source_list(hits: DataFrame) -> DataFrame:
     """(query_id, sources, labels): hits by rank with scores to four places, and the labels an answer may cite."""
     item = F.struct(
-        "rank", "citation", F.round("score", 4).alias("score"), F.round("semantic_score", 4).alias("semantic_score"), F.round("keyword_score", 4).alias("keyword_score"),
-        F.round("structure_score", 4).alias("structure_score"), "chunk_id", "short_label", "filename", "content",
+        "rank", "citation", F.bround("score", 4).alias("score"), F.bround("semantic_score", 4).alias("semantic_score"), F.bround("keyword_score", 4).alias("keyword_score"),
+        F.bround("structure_score", 4).alias("structure_score"), "chunk_id", "short_label", "filename", "content",
     )
     label = F.coalesce(F.nullif("short_label", F.lit("")), F.col("filename"))
     return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("sources"), F.array_union(F.collect_set("citation"), F.collect_set(label)).alias("labels"))
@@ -51,14 +52,29 @@ def answer(questions: DataFrame, chunks: DataFrame, embedder: models.Embedder |
     """One row for each question (``query_id``, ``question``). Comparisons see ``all_chunks``, if given, whatever ``chunks`` is narrowed to.
 
     ``chunks``: ready chunks joined with their documents (chunk_id, document_id, chunk_index, content, embedding, page, article, article_num, paragraph,
-    section_path, chunk_kind, doc_kind, short_label, filename). Only questions that nothing answers directly reach the chat model.
+    section_path, chunk_kind, doc_kind, short_label, filename). Only questions that nothing answers directly reach the chat model. Empty and too long
+    questions are rejected, with the reason as their warning. ``fragments`` are what the model said, in its pieces; ``replaced`` tells that the answer is another.
     """
     embedder = embedder or models.HashEmbedder(settings.embed_width)
     chat = chat or models.ScriptedChat(text.NO_ANSWER)
-    plans = planner.planned(questions).filter(F.length("question") > 0).withColumn("query_vector", embedder.as_column(F.col("question")))
+    plans = planner.planned(questions)
+    fits = F.coalesce(F.length("question").between(1, settings.max_question_chars), F.lit(False))
+    refused = plans.filter(~fits)
+    plans = plans.filter(fits).withColumn("query_vector", embedder.as_column(F.col("question")))
     asked = plans.filter(~F.col("is_comparison"))
     compared = plans.filter("is_comparison")
-    return asks(asked, chunks, chat, settings).unionByName(comparisons(compared, chunks if all_chunks is None else all_chunks, chat, settings))
+    out = asks(asked, chunks, chat, settings).unionByName(comparisons(compared, chunks if all_chunks is None else all_chunks, chat, settings))
+    return out.unionByName(rejected(refused, out))
+
+
+def rejected(plans: DataFrame, like: DataFrame) -> DataFrame:
+    """Rows in the form of ``like`` for questions that are not asked."""
+    reason = F.when(F.coalesce(F.length("question"), F.lit(0)) == 0, EMPTY).otherwise(TOO_LONG)
+    given = {
+        "query_id": F.col("query_id"), "question": F.col("question"), "question_type": F.col("question_type"), "mode": F.lit("ask"), "answer_path": F.lit("rejected"), "answer": F.lit(""),
+        "confidence": F.lit(0.0), "warnings": F.array(reason), "sources": F.array(), "fragments": F.array(), "replaced": F.lit(False),
+    }
+    return plans.select(*(given[f.name].cast(f.dataType).alias(f.name) for f in like.schema))
 
 
 def finished(rows: DataFrame, settings: Settings) -> DataFrame:
@@ -69,6 +85,8 @@ def finished(rows: DataFrame, settings: Settings) -> DataFrame:
     given = F.col("given_path").isNotNull()
     own = checked.withColumn("answer", F.when(given, F.col("raw")).otherwise(F.col("__v.answer")))
     own = own.withColumn("warnings", F.when(given, F.coalesce("given_warnings", F.array().cast("array<string>"))).otherwise(F.col("__v.warnings")))
+    own = own.withColumn("replaced", ~given & (F.col("answer") != F.coalesce(text.strip(F.col("raw")), F.lit(""))))
+    own = own.withColumn("fragments", F.when(given, F.array("raw")).otherwise(F.coalesce("fragments", F.array().cast("array<string>"))))
     return own.withColumn("answer_path", path).withColumn("sources", spans).select(*RESULT)
 
 
@@ -84,10 +102,10 @@ def asks(plans: DataFrame, chunks: DataFrame, chat: models.ChatModel, settings:
     own = own.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     refused = F.col("confidence") < settings.min_answerable
     user = F.when(~refused & F.col("direct").isNull(), F.concat(F.lit("Context:\n"), F.coalesce("context", F.lit("")), F.lit("\n\nQuestion: "), "question"))
-    spoken = chat.as_column(models.prompt_for(F.col("question_type")), user)
+    own = own.withColumn("fragments", chat.as_fragments(models.prompt_for(F.col("question_type")), user))
     own = own.withColumn("given_path", F.when(refused, "refused").when(F.col("direct").isNotNull(), "direct"))
     own = own.withColumn("given_warnings", F.when(refused, F.array(F.lit(NO_PASSAGE))))
-    own = own.withColumn("raw", F.when(refused, F.lit(text.NO_ANSWER)).otherwise(F.coalesce("direct", spoken))).withColumn("mode", F.lit("ask"))
+    own = own.withColumn("raw", F.when(refused, F.lit(text.NO_ANSWER)).otherwise(F.coalesce("direct", models.said(F.col("fragments"))))).withColumn("mode", F.lit("ask"))
     return finished(own, settings)
 
 
@@ -117,7 +135,14 @@ def comparisons(plans: DataFrame, chunks: DataFrame, chat: models.ChatModel, set
     one_sided = F.size("covered") < 2
     named = F.concat(F.lit("A comparison needs both regulations, indexed and relevant. Nothing relevant was found for: "), F.array_join(F.transform("missing", F.upper), ", "), F.lit("."))
     user = F.when(~one_sided, F.concat(F.lit("Context:\n"), "context", F.lit("\n\nComparison question: "), "question"))
+    own = own.withColumn("fragments", chat.as_fragments(F.lit(models.PROMPTS["comparison"]), user))
     own = own.withColumn("given_path", F.when(one_sided, "refused")).withColumn("given_warnings", F.when(one_sided, F.array(F.lit(BOTH_NEEDED))))
-    own = own.withColumn("raw", F.when(one_sided, named).otherwise(chat.as_column(F.lit(models.PROMPTS["comparison"]), user)))
+    own = own.withColumn("raw", F.when(one_sided, named).otherwise(models.said(F.col("fragments"))))
     own = own.withColumn("question_type", F.lit("comparison")).withColumn("mode", F.lit("compare"))
     return finished(own, settings)
+
+
+def evaluation(results: DataFrame) -> DataFrame:
+    """One row on a run of questions (``passed`` boolean, ``elapsed_ms``): how many, how many passed, mean and longest seconds."""
+    seconds = F.col("elapsed_ms") / 1000.0
+    return results.agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"), F.avg(seconds).alias("avg_seconds"), F.max(seconds).alias("max_seconds"))

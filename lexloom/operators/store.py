@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..settings import DEFAULT, EXTENSIONS, Settings
+from .lineage import in_order
 
 PENDING, INDEXING, READY, FAILED = "pending", "indexing", "ready", "failed"
 ERROR_CHARS = 1000
@@ -39,8 +40,8 @@ def siblings(chunks: DataFrame, document_id: int, article_num: int | None) -> Da
 
 
 def with_new_ids(rows: DataFrame, largest: int, *order: str) -> DataFrame:
-    """Ids from ``largest`` + 1 in a stated order. New rows only, which are few; tables as large as a corpus get ids in ``numbered``."""
-    return rows.withColumn("id", (F.lit(largest) + F.row_number().over(Window.orderBy(*order))).cast("bigint"))
+    """Ids from ``largest`` + 1 in a stated order."""
+    return in_order(rows, *order, into="id").withColumn("id", (F.col("id") + largest).cast("bigint"))
 
 
 def set_status(documents: DataFrame, ids: Column, status: str, **values: Column) -> DataFrame:
@@ -76,7 +77,7 @@ def status_counts(documents: DataFrame) -> DataFrame:
 
 
 def health(documents: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    return documents.agg(F.count("*").alias("documents"), F.count_if(F.col("status") == READY).alias("ready"), F.lit(settings.max_documents).alias("max_documents"), F.lit(settings.embed_width).alias("embedding_width"))
+    return documents.agg(F.count("*").alias("documents"), F.count_if(F.col("status") == READY).alias("ready"), F.lit(settings.max_documents).alias("max_documents"), F.lit(settings.embed_width).alias("embedding_width"), F.lit(settings.chat_model).alias("chat_model"), F.lit(settings.embedding_model).alias("embedding_model"))
 
 
 def served(documents: DataFrame) -> DataFrame:
@@ -170,8 +171,8 @@ class Store:
             return self.spark.createDataFrame([], schema.CHUNKS)
         return self.spark.read.schema(schema.CHUNKS).parquet(path)
 
-    def create(self, rows: DataFrame) -> list[int]:
-        """Add pending documents (filename, stored_name, file_type, size_bytes); give their ids."""
+    def create(self, rows: DataFrame) -> range:
+        """Add pending documents (filename, stored_name, file_type, size_bytes); give their ids, which follow each other."""
         own = self.documents()
         largest = own.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         new = with_new_ids(rows, largest, "filename", "stored_name")
@@ -180,25 +181,37 @@ class Store:
             if field.name not in new.columns:
                 new = new.withColumn(field.name, values.get(field.name, F.lit(None)).cast(field.dataType))
         self.replace("documents", own.unionByName(new.select(own.columns)))
-        return list(range(largest + 1, largest + 1 + self.documents().filter(F.col("id") > largest).count()))
+        return range(largest + 1, largest + 1 + self.documents().filter(F.col("id") > largest).count())
 
     def update(self, change) -> None:
         self.replace("documents", change(self.documents()))
 
     def insert_chunks(self, chunks: DataFrame) -> None:
-        """Append chunks that have ids; a null kind is ``body``."""
+        """Write chunks that have ids, in place of those that their documents had; a null kind is ``body``."""
         own = chunks.withColumn("chunk_kind", F.coalesce("chunk_kind", F.lit("body")))
-        own.repartition("document_id").write.mode("append").partitionBy("document_id").parquet(f"{self.root}/chunks")
+        own.repartition("document_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(f"{self.root}/chunks")
 
     def delete(self, ids: list[int]) -> None:
-        """Chunks first, then the documents."""
+        """Chunks first, then kept files, then the documents; ``ids`` are those of one call, not of a table."""
         for number in ids:
             self.fs.delete(self._path(f"chunks/document_id={number}"), True)
+        for row in self.documents().filter(F.col("id").isin(ids)).select("stored_name").collect():
+            if row.stored_name and "/" not in row.stored_name:
+                self.fs.delete(self._path(f"files/{row.stored_name}"), False)
         self.update(lambda docs: docs.filter(~F.col("id").isin(ids)))
 
+    def keep_file(self, path: str, name: str) -> str:
+        """Copy a file into the store under its stored name; gives the copy's path."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        source, target = hadoop.Path(path), self._path(f"files/{name}")
+        conf = self.spark._jsc.hadoopConfiguration()
+        hadoop.FileUtil.copy(source.getFileSystem(conf), source, self.fs, target, False, conf)
+        return f"{self.root}/files/{name}"
+
     def record(self, rows: DataFrame) -> None:
-        """Append answers to the history with slim sources."""
+        """Append answers to the history with slim sources; rejected questions have none."""
         own = self.history()
+        rows = rows.filter(F.col("answer_path") != "rejected")
         largest = own.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         new = with_new_ids(rows.withColumn("sources", slim(F.col("sources"))).withColumn("created_at", F.current_timestamp()), largest, "query_id")
         self.replace("history", own.unionByName(new.select(*(F.col(f.name).cast(f.dataType) for f in own.schema))))

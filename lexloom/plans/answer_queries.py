@@ -141,7 +141,7 @@ def comparison_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONFIDENCE_SQL = (
     ", top AS (SELECT query_id, max(CASE WHEN rank = 1 THEN round(semantic, 6) END) AS s, max(CASE WHEN rank = 1 THEN round(score, 6) END) AS a, max(CASE WHEN rank = 2 THEN round(score, 6) END) AS b, "
     "max(CASE WHEN rank = 1 THEN CASE WHEN len(preferred) = 0 OR list_contains(preferred, chunk_kind) THEN 1 ELSE 0.55 END END)::DOUBLE AS g FROM rk WHERE rank <= 2 GROUP BY query_id), "
-    "conf AS (SELECT query_id, round(greatest(0, least(1, 0.55 * greatest(0, least(1, s / 0.75)) + 0.25 * greatest(0, least(1, 2.5 * CASE WHEN b IS NULL OR a <= 0 THEN 0.3 ELSE (a - b) / a END)) + 0.2 * g)), 3)::DOUBLE AS confidence FROM top)"
+    "conf AS (SELECT query_id, round_even(greatest(0, least(1, 0.55 * greatest(0, least(1, s / 0.75)) + 0.25 * greatest(0, least(1, 2.5 * CASE WHEN b IS NULL OR a <= 0 THEN 0.3 ELSE (a - b) / a END)) + 0.2 * g)), 3)::DOUBLE AS confidence FROM top)"
 )
 
 
@@ -319,11 +319,22 @@ def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 PIECE_SQL = "list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.;:])\\s+([A-Z(0-9])', '\\1' || chr(30) || '\\2', 'g'), '[\\n' || chr(30) || ']+'), lambda p: " + STRIP.format("p") + "), lambda p: p <> '')"
 
 
-@query(f"SELECT doc_id, CAST(len({PIECE_SQL}) AS BIGINT) AS n, md5(array_to_string({PIECE_SQL}, '|')) AS digest FROM documents")
+#: Breaks and pieces in turn: a break between chr(30) and chr(31) is as long as what stands between.
+PARTS_SQL = "regexp_extract_all(regexp_replace(text, '([.;:])(\\s+)([A-Z(0-9])', '\\1' || chr(30) || '\\2' || chr(31) || '\\3', 'g'), chr(30) || '[^' || chr(31) || ']*' || chr(31) || '|\\n+|[^' || chr(30) || '\\n]+')"
+OFFSETS_SQL = (
+    f"parts AS (SELECT doc_id, unnest({PARTS_SQL}) AS part, unnest(range(len({PARTS_SQL}))) AS no FROM documents), "
+    "placed AS (SELECT *, sum(length(part) - CASE WHEN starts_with(part, chr(30)) THEN 2 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) - length(part) AS pos FROM parts), "
+    f"spans AS (SELECT doc_id, no, CAST(pos + length(part) - length(regexp_replace(part, '^\\s+', '')) AS BIGINT) AS start, length({STRIP.format('part')}) AS size FROM placed WHERE NOT starts_with(part, chr(30)) AND {STRIP.format('part')} <> ''), "
+    "offsets AS (SELECT doc_id, string_agg(start || ':' || (start + size), ',' ORDER BY no) AS places FROM spans GROUP BY doc_id)"
+)
+
+
+@query(f"WITH {OFFSETS_SQL} SELECT doc_id, CAST(len({PIECE_SQL}) AS BIGINT) AS n, md5(array_to_string({PIECE_SQL}, '|')) AS digest, coalesce(places, '') AS places FROM documents LEFT JOIN offsets USING (doc_id)")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
     joined = F.array_join(F.transform("s", lambda s: s["sentence"]), "|")
-    return own.select("doc_id", F.size("s").cast("bigint").alias("n"), F.md5(joined).alias("digest"))
+    places = F.array_join(F.transform("s", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
+    return own.select("doc_id", F.size("s").cast("bigint").alias("n"), F.md5(joined).alias("digest"), places.alias("places"))
 
 
 TURN_PIECES = f"WITH c AS (SELECT conv_id, turn, text FROM conversations), a AS (SELECT conv_id, arg_min(text, turn) AS answer FROM c GROUP BY conv_id), p AS (SELECT conv_id, turn, unnest({PIECE_SQL}) AS sentence, unnest(range(len({PIECE_SQL}))) AS no FROM c)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import store
+from ..operators import answer, store
 from ..operators.lineage import in_order, shared_root
 from ..streaming import events as ev
 from ..streaming import landing
@@ -141,6 +141,21 @@ def sse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.events(own).select("query_id", F.col("seq").cast("bigint").alias("seq"), "type")
 
 
+@query(f"{HISTORY_DUCK}, t AS (SELECT id, regexp_extract_all(answer, '\\s*\\S+\\s*') AS f FROM h WHERE answer_path = 'synthesis') SELECT id AS query_id, CAST(unnest(range(4, 4 + len(f))) AS BIGINT) AS seq, unnest(f) AS text FROM t")
+def sse_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token events of streamed answers, whose fragments are their words."""
+    own = history(spark, sf_dir).select(F.col("id").alias("query_id"), F.lit("general").alias("question_type"), F.lit("ask").alias("mode"), "answer", "answer_path", "confidence", "sources")
+    own = own.filter("answer_path = 'synthesis'").withColumn("fragments", F.regexp_extract_all("answer", F.lit(r"\s*\S+\s*"), 0))
+    shown = ev.events(own).filter("type = 'token'")
+    return shown.select("query_id", F.col("seq").cast("bigint").alias("seq"), F.get_json_object("payload", "$.text").alias("text"))
+
+
+@query(f"{HISTORY_DUCK} SELECT count(*) AS n, count(*) FILTER (WHERE answer_path <> 'refused') AS n_passed, round(avg(elapsed_ms / 1000.0::DOUBLE), 6) AS avg_seconds, max(elapsed_ms / 1000.0::DOUBLE) AS max_seconds FROM h")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = answer.evaluation(history(spark, sf_dir).select((F.col("answer_path") != "refused").alias("passed"), "elapsed_ms"))
+    return own.withColumn("avg_seconds", F.round("avg_seconds", 6))
+
+
 @query(f"{HISTORY_DUCK} SELECT id AS query_id, CAST(seq AS BIGINT) AS seq, type, CASE WHEN type = 'token' THEN answer END AS text FROM h, (VALUES (0, 'status'), (2, 'token')) AS t(seq, type)")
 def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of a status, a broken and a token event, and a last one cut short: two are read."""

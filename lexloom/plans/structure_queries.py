@@ -175,11 +175,36 @@ def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("document_id", F.col("piece_no").cast("bigint").alias("piece_no"), F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
-@query()
+MERGED = (
+    BLOCKS.replace("WITH ", "WITH RECURSIVE ", 1) + f", kept AS (SELECT * FROM blocks WHERE length({STRIP.format('text')}) >= 15), "
+    "cut AS (SELECT document_id, block_no, text, 0 AS piece_no, 0 AS start, 0 AS stop FROM kept WHERE length(text) > 1600 UNION ALL "
+    "SELECT document_id, block_no, text, piece_no + 1, s, e FROM (SELECT *, CASE WHEN s + 1600 >= length(text) THEN length(text) "
+    "WHEN length(w) - p2 - 1 > 800 AND p2 > 0 THEN s + length(w) - p2 + 1 WHEN length(w) - p1 > 800 AND p1 > 0 THEN s + length(w) - p1 + 1 WHEN length(w) - p3 - 1 > 800 AND p3 > 0 THEN s + length(w) - p3 + 1 ELSE s + 1600 END AS e "
+    "FROM (SELECT *, strpos(reverse(w), chr(10) || chr(10)) AS p2, strpos(reverse(w), chr(10)) AS p1, strpos(reverse(w), ' .') AS p3 FROM (SELECT *, substr(text, s + 1, 1600) AS w FROM "
+    "(SELECT *, CASE WHEN piece_no = 0 THEN 0 ELSE greatest(stop - 200, start + 1) END AS s FROM cut WHERE piece_no = 0 OR stop < length(text)))))), "
+    "pieces AS (SELECT * FROM (SELECT document_id, block_no, piece_no, " + STRIP.format("substr(text, start + 1, stop - start)") + " AS text FROM cut WHERE piece_no > 0) WHERE text <> '' UNION ALL SELECT document_id, block_no, 0, text FROM kept WHERE length(text) <= 1600), "
+    "ranked AS (SELECT p.document_id, p.text, k.kind, k.article_num, k.annex, row_number() OVER (PARTITION BY p.document_id ORDER BY p.block_no, p.piece_no) AS n FROM pieces p JOIN kept k ON k.document_id = p.document_id AND k.block_no = p.block_no), "
+    "fold AS (SELECT document_id, n, text, kind, article_num, annex, 0 AS chunk_index FROM ranked WHERE n = 1 UNION ALL "
+    "SELECT document_id, n, CASE WHEN fits THEN before || chr(10) || text ELSE text END, CASE WHEN fits AND last <> 'body' THEN last ELSE kind END, article_num, annex, chunk_index + CASE WHEN fits THEN 0 ELSE 1 END FROM "
+    "(SELECT r.*, f.text AS before, f.kind AS last, f.chunk_index, r.article_num IS NOT DISTINCT FROM f.article_num AND r.annex IS NOT DISTINCT FROM f.annex AND r.kind <> 'definition' AND f.kind <> 'definition' AND length(f.text) + length(r.text) + 1 <= 1600 AS fits "
+    "FROM fold f JOIN ranked r ON r.document_id = f.document_id AND r.n = f.n + 1)) "
+    "SELECT document_id, CAST(chunk_index AS BIGINT) AS chunk_index, arg_max(article_num, n) AS article_num, arg_max(kind, n) AS chunk_kind, CAST(max_by(length(text), n) AS BIGINT) AS n_chars, md5(arg_max(text, n)) AS digest FROM fold GROUP BY document_id, chunk_index"
+)
+
+
+@query(MERGED)
 def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents; each merge depends on the last, which SQL has no fold for."""
+    """Chunks of all documents; each merge depends on the last."""
     own = chunking.build_chunks(all_blocks(spark, sf_dir))
-    return own.select("document_id", "chunk_index", "article_num", "chunk_kind", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
+    return own.select("document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "article_num", "chunk_kind", F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("digest"))
+
+
+@query(
+    BLOCKS + " SELECT document_id, count(*) AS n_blocks, count(DISTINCT chapter) AS n_chapters, count(DISTINCT annex) AS n_annexes, count(DISTINCT article_num) AS n_articles, "
+    "CAST(coalesce(sum(CASE WHEN article_num = 10 THEN length(text) END), 0) AS BIGINT) AS article_10_chars FROM blocks GROUP BY document_id"
+)
+def structure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.structure_report(all_blocks(spark, sf_dir))
 
 
 @query(BLOCKS + " SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY block_no) - 1 AS chunk_index, md5(text) AS digest FROM blocks WHERE length(text) >= 15")

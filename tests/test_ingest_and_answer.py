@@ -1,5 +1,6 @@
 """From files to answers over two small regulations."""
 
+import json
 import zipfile
 
 import pytest
@@ -85,7 +86,7 @@ def test_chunks(blocks):
 def store(spark, pages, tmp_path_factory):
     own = Store(spark, f"file://{tmp_path_factory.mktemp('store')}")
     ids = own.create(spark.createDataFrame([("a_one.txt", "s1", ".txt", 10), ("b_two.txt", "s2", ".txt", 20), ("c_note.txt", "s3", ".txt", 5), ("d_blank.txt", "s4", ".txt", 1)], "filename string, stored_name string, file_type string, size_bytes bigint"))
-    assert ids == [1, 2, 3, 4]
+    assert list(ids) == [1, 2, 3, 4]
     ingest.ingest(own, pages, ids)
     return own
 
@@ -114,7 +115,7 @@ def test_answers(spark, store):
         "What is a 'gadget'?", "What is quantum chromodynamics?", "Who must keep technical files under Article 10?", "Compare obligations of makers in MDR and IVDR",
         "Compare the duties in the MDR", "   ", reply="Makers keep the files [MDR, Article 10(1), p. 1].",
     )
-    assert set(out) == {0, 1, 2, 3, 4}
+    assert set(out) == {0, 1, 2, 3, 4, 5} and out[5].answer_path == "rejected" and out[5].warnings == [answer.EMPTY]
     assert out[0].answer_path == "direct" and "intends for use on people" in out[0].answer and out[0].answer.endswith("[MDR, Article 2(1), p. 1]")
     assert any(s.highlights for s in out[0].sources)
     assert out[1].answer_path == "refused" and out[1].answer == NO_ANSWER and out[1].warnings
@@ -143,7 +144,63 @@ def test_events(spark, store):
     done = answer.answer(frame, ready(store), chat=models.ScriptedChat("Makers [MDR]."))
     rows = events.events(done).orderBy("query_id", "seq").collect()
     types = {q: [r.type for r in rows if r.query_id == q] for q in (1, 2)}
-    assert types[1] == ["status", "status", "sources", "token", "done"] and types[2] == ["status", "status", "sources", "status", "token", "done"]
+    assert types[1] == ["status", "status", "sources", "token", "done"] and types[2] == ["status", "status", "sources", "status", "token", "token", "done"]
+    payloads = {(r.query_id, r.seq): json.loads(r.payload) for r in rows}
+    assert payloads[2, 4]["text"] + payloads[2, 5]["text"] == "Makers [MDR]." and payloads[2, 2]["sources"][0]["content"] and payloads[2, 2]["confidence"] > 0
+    end = payloads[2, 6]
+    assert end["answer"] == "Makers [MDR]." and end["replaced"] is False and end["mode"] == "ask" and end["sources"][0]["citation"] and "warnings" in end
+
+
+def test_replaced_and_rejected_answers_as_events(spark, store):
+    frame = spark.createDataFrame([(1, "Who must keep technical files under Article 10?"), (2, " "), (3, "x" * 3000)], "query_id bigint, question string")
+    chat = models.ScriptedChat("The same sentence said over and over. " * 8)
+    rows = events.events(answer.answer(frame, ready(store), chat=chat)).orderBy("query_id", "seq").collect()
+    last = json.loads([r for r in rows if r.query_id == 1][-1].payload)
+    assert last["type"] == "done" and last["replaced"] is True and last["answer"] == NO_ANSWER
+    assert [(r.type, json.loads(r.payload)["message"]) for r in rows if r.query_id > 1] == [("error", answer.EMPTY), ("error", answer.TOO_LONG)]
+    said = [json.loads(r.payload)["text"] for r in rows if r.query_id == 1 and r.type == "token"]
+    assert "".join(said).startswith("The same sentence said") and len(said) > 40
+
+
+def test_only_questions_without_a_direct_answer_reach_the_model(spark, store):
+    chat = models.RecordingChat(spark, "Makers keep them [MDR, Article 10(1), p. 1].")
+    frame = spark.createDataFrame([(1, "What is a 'gadget'?"), (2, "Who must keep technical files under Article 10?"), (3, "What is quantum chromodynamics?")], "query_id bigint, question string")
+    out = {r.query_id: r for r in answer.answer(frame, ready(store), chat=chat).collect()}
+    assert [out[i].answer_path for i in (1, 2, 3)] == ["direct", "synthesis", "refused"]
+    assert {u.rsplit("Question: ", 1)[1] for _, u in chat.prompts} == {"Who must keep technical files under Article 10?"}
+
+
+def test_scores_round_half_to_even(spark):
+    row = spark.sql("select 1 as x").select(F.bround(F.lit(0.0625), 3).alias("a"), F.bround(F.lit(0.1875), 3).alias("b")).first()
+    assert (row.a, row.b) == (0.062, 0.188)
+    hits = spark.createDataFrame([(1, 1, 0.5, 0.0, "body", [])], "query_id int, rank int, score double, semantic_score double, chunk_kind string, preferred_chunk_kinds array<string>")
+    assert hybrid.confidence(hits).first().confidence == 0.388  # 0.3875
+
+
+def test_a_batch_that_is_tried_again_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    files = tmp_path / "in"
+    files.mkdir()
+    (files / "one.txt").write_text(law.ONE)
+    (files / "two.txt").write_text(law.TWO)
+    own = Store(spark, f"file://{tmp_path}/store")
+    whole = landing.ingest
+
+    def stopped(*_args, **_kwargs):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(landing, "ingest", stopped)
+    with pytest.raises(Exception, match="stopped"):
+        landing.watch(spark, str(files), own, f"{tmp_path}/checkpoint").awaitTermination()
+    assert own.documents().count() == 2 and own.chunks().count() == 0
+    landing.recover(own)
+    monkeypatch.setattr(landing, "ingest", whole)
+    landing.watch(spark, str(files), own, f"{tmp_path}/checkpoint").awaitTermination()
+    assert [r.status for r in own.documents().collect()] == ["ready", "ready"]
+    before = own.chunks().count()
+    pages = spark.createDataFrame([(1, 1, law.ONE), (2, 1, law.TWO)], "document_id bigint, page int, text string")
+    names = {r.filename: r.id for r in own.documents().collect()}
+    ingest.ingest(own, pages.filter("document_id = 1").withColumn("document_id", F.lit(names["one.txt"]).cast("bigint")), spark.createDataFrame([(names["one.txt"],)], "id bigint"))
+    assert before > 0 and own.chunks().count() == before
 
 
 def test_history(spark, store):

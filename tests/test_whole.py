@@ -23,12 +23,12 @@ def test_answers_read_documents_without_a_stored_vector(spark, folder):
 
 def test_whole_forms_have_all_questions_and_documents(spark, folder):
     queries = catalog.queries()
-    assert {r.query_id for r in queries["refusal_gate_all"](spark, folder).collect()} == set(range(20))
-    assert max(r.chunk_id for r in queries["structure_score_all"](spark, folder).collect()) > 8
-    assert {r.query_id for r in queries["comparison_coverage_all"](spark, folder).collect()} == set(range(20))
+    assert {r.query_id for r in queries["refusal_gate"](spark, folder).collect()} == set(range(20))
+    assert max(r.chunk_id for r in queries["structure_score"](spark, folder).collect()) > 8
+    assert {r.query_id for r in queries["comparison_coverage"](spark, folder).collect()} == set(range(20))
 
 
 def test_every_document_is_listed_and_every_ready_one_scanned(spark, folder):
     queries = catalog.queries()
-    assert sorted(r.place for r in queries["document_list_all"](spark, folder).collect()) == list(range(1, 61))
-    assert len({r.chunk_id for r in queries["ready_scan_all"](spark, folder).collect()}) > 5
+    assert sorted(r.place for r in queries["document_list"](spark, folder).collect()) == list(range(1, 61))
+    assert len({r.chunk_id for r in queries["ready_scan"](spark, folder).collect()}) > 5
