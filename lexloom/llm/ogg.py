@@ -8,8 +8,8 @@ Checksum: Ogg's CRC-32 is zlib's with bits in the other order and no inversion,
 reversed (one table lookup each).
 
 Defined cases: null or empty text is a payload of 192 spaces; equal texts give equal bytes, as serial numbers are fixed; a text of
-any length is one physical stream; null ids and repeated rows pass through; further columns are not read. Bytes that hold no
-page give no streams.
+any length is one physical stream; null ids and repeated rows pass through, and pages of equal streams and numbers are read in the order of
+their bytes; an empty table gives an empty result; further columns are not read. Bytes that hold no page give no streams.
 """
 
 from __future__ import annotations

@@ -32,3 +32,24 @@ def test_empty_documents(spark, no_docs, folder):
     for _, stage in corpus_pipeline.STAGES:
         own = stage(spark, own, folder)
     assert own.count() == 0 and own.columns == packing.pack(no_docs).columns
+
+
+def test_large_groups_of_copies_leave_one_document_each(spark, folder):
+    """All stages over hundreds of exact and near copies, held to groups by brute force."""
+    from .conftest import DOC_SCHEMA, body, document
+    from .test_simhash import plain_fingerprint, plain_groups
+
+    near = body(41, 600).split()
+    texts = [body(40, 300)] * 400 + [" ".join([*near[:i], "changed", *near[i + 1 :]]) for i in range(0, 600, 3)] + [body(50 + i, 80) for i in range(60)]
+    docs = spark.createDataFrame([document(i, t) for i, t in enumerate(texts)], DOC_SCHEMA).repartition(5)
+    codes = [int(f"{plain_fingerprint(t):016x}", 16) for t in texts]
+    groups = plain_groups(sorted(set(codes)))
+    least: dict[int, int] = {}
+    for i, c in enumerate(codes):
+        least.setdefault(groups[c], i)
+    own = docs
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        own = common.keep(stage(spark, own, folder), common.shared_dir(spark), f"large{number}")
+        if number == 1:
+            assert sorted(r.doc_id for r in own.collect()) == sorted(least.values()) and len(least) < 100
+    assert {r.doc_id for r in own.collect()} == set(least.values())
