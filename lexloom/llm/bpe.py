@@ -6,7 +6,8 @@ of them lie in one flat array; the rank of each adjacent pair comes from a binar
 word merges its lowest-ranked pair wherever it occurs, left to right; finished words leave the array; only pairs beside a merge are
 looked up again. Words of more than ``LONG`` bytes (one unbroken run) would need a round for each of their ranks, so they merge through a heap.
 
-Memory: texts are taken in runs of ``RUN_BYTES``; a worker remembers words of ``REMEMBERED`` bytes in all, then starts anew.
+Memory: texts are taken in runs of ``RUN_BYTES``; a worker remembers words that take ``REMEMBERED`` bytes in all (a word's own and
+``ENTRY`` for what is kept of it), then starts anew.
 
 Defined cases: null or empty text gives no ids (the digests of nothing); the added token's string in a text becomes its id; pairs of equal
 rank merge left to right; null ids, repeated rows and texts of any length pass through; an empty table gives an empty result; further columns are
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, map_batches, slices, texts, tokenizer_file
 
-LONG, RUN_BYTES, REMEMBERED = 512, 2 << 20, 16 << 20
+LONG, RUN_BYTES, REMEMBERED, ENTRY = 512, 2 << 20, 64 << 20, 200
 NONE = np.int32(0x7FFFFFFF)
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: The pattern's contractions, and the white space of Unicode.
@@ -228,7 +229,7 @@ class ByteBpe:
         if self.held > REMEMBERED:
             self.forget()
         new = [w for w in dict.fromkeys(words) if w not in self.seen]
-        self.held += sum(map(len, new))
+        self.held += sum(map(len, new)) + ENTRY * len(new)
         base = len(self.ids_of)
         self.seen.update(zip(new, range(base, base + len(new)), strict=True))
         self.ids_of += self.merged(new)

@@ -9,8 +9,8 @@ Tie rules, as the library has them: of equal scores the earliest start stays (a
 single-character piece covers may be unknown, at ten below the lowest score; runs of unknown
 characters are one unknown, which counts as its UTF-8 bytes (but as one if it is the unknown piece's own string).
 
-Words are independent, so a worker remembers counts of words met before (of ``REMEMBERED`` characters in all, then anew; a longer word is
-never remembered).
+Words are independent, so a worker remembers counts of words met before (``REMEMBERED`` bytes in all, a word counting its characters and
+``ENTRY`` for what is kept of it, then anew; a longer word is never remembered).
 
 Defined cases: null or empty text has no tokens; texts of any length and unbroken words are linear; null ids and repeated rows pass through; an
 empty table gives an empty result; further columns are not read.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, map_batches, texts, tokenizer_file
 
-SPACE, PENALTY, REMEMBERED = "▁", 10.0, 8 << 20
+SPACE, PENALTY, REMEMBERED, ENTRY = "▁", 10.0, 96 << 20, 150
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -88,10 +88,10 @@ class PieceCounter:
             if number is None:
                 number = self.word(word)
                 if len(word) <= REMEMBERED:
-                    self.held += len(word)
+                    self.held += len(word) + ENTRY
                     if self.held > REMEMBERED:
                         seen.clear()
-                        self.held = len(word)
+                        self.held = len(word) + ENTRY
                     seen[word] = number
             total += number
         return total
