@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import keep, shared_dir, slices
-from .mapped import Shelf
+from .mapped import Held, Shelf
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|([^<]+|<)",
@@ -709,16 +709,12 @@ class Known:
     """Stored hosts by name, found in their bucket's index and compiled as they are met."""
 
     def __init__(self, uri: str, kind: str, buckets: int, compiled) -> None:
-        self.shelf, self.kind, self.buckets, self.compiled = Shelf(uri), kind, buckets, compiled
-        self.stored: dict[int, dict[str, np.ndarray]] = {}
+        self.stored, self.kind, self.buckets, self.compiled = Held(Shelf(uri), lambda raw: raw), kind, buckets, compiled
         self.ready: dict[str, object] = {}
 
     def __getitem__(self, name: str):
         if name not in self.ready:
-            bucket = bucket_of(name, self.buckets)
-            if bucket not in self.stored:
-                self.stored[bucket] = self.shelf.get(f"{self.kind}-{bucket}")
-            own = self.stored[bucket]
+            own = self.stored[f"{self.kind}-{bucket_of(name, self.buckets)}"]
             at = int(np.searchsorted(own["key"], np.uint64(key_of(name))))
             while True:  # names of equal keys stand side by side
                 host, kept = json.loads(own["json"][own["start"][at] : own["start"][at + 1]].tobytes())

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, keep, map_batches, shared_dir, slices, texts
-from .mapped import EliasFano, Shelf, returned
+from .mapped import EliasFano, Held, Shelf, returned
 
 ORDER, DISCOUNT, ADDED = 3, 0.75, 0.1
 START, END, UNKNOWN, FIRST_WORD = range(4)
@@ -235,16 +235,7 @@ class Vocabulary:
     """Ids and training counts of words, from the mapped shards."""
 
     def __init__(self, uri: str, shards: int) -> None:
-        self.shelf, self.shards = Shelf(uri), shards
-        self.present = set(self.shelf.names())
-        self.parts: dict[int, dict[str, np.ndarray]] = {}
-
-    def part(self, shard: int) -> dict[str, np.ndarray] | None:
-        if f"words-{shard}" not in self.present:
-            return None
-        if shard not in self.parts:
-            self.parts[shard] = self.shelf.get(f"words-{shard}")
-        return self.parts[shard]
+        self.shards, self.parts = shards, Held(Shelf(uri), lambda raw: raw)
 
     def __call__(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of each word; each different one is looked up once, in the order of the shards."""
@@ -252,7 +243,7 @@ class Vocabulary:
         ids, counts = np.full(len(key), UNKNOWN, np.int64), np.zeros(len(key))
         edges = np.searchsorted(top_shard(key, self.shards), np.arange(self.shards + 1))
         for shard in np.flatnonzero(np.diff(edges)):
-            part = self.part(int(shard))
+            part = self.parts[f"words-{shard}"]
             if part is None:
                 continue
             run = slice(edges[shard], edges[shard + 1])
@@ -421,32 +412,28 @@ class Trie:
     """Look-ups in the mapped shards."""
 
     def __init__(self, uri: str, shards: int, order: int) -> None:
-        self.shelf, self.shards, self.order = Shelf(uri), shards, order
-        self.present = set(self.shelf.names())
-        self.parts: dict[int, dict] = {}
-        self.hot_rest = VALUES[self.shelf.get("hot")["rest"]] if "hot" in self.present else np.ones(FIRST_WORD)
+        self.shards, self.order = shards, order
+        self.parts = Held(Shelf(uri), self.levels)
+        hot = self.parts["hot"]
+        self.hot_rest = np.ones(FIRST_WORD) if hot is None else VALUES[hot["rest"]]
 
     @property
     def hot(self) -> int:
         return len(self.hot_rest)
 
-    def part(self, shard: int) -> dict:
-        if shard not in self.parts:
-            own: dict = {}
-            if f"trie-{shard}" in self.present:
-                raw = self.shelf.get(f"trie-{shard}")
-                for level in range(2, self.order + 1):
-                    if f"{level}.part" in raw:
-                        own[level] = (EliasFano(raw, f"{level}.begin"), EliasFano(raw, f"{level}.node"), raw[f"{level}.part"], raw[f"{level}.rest"])
-            self.parts[shard] = own
-        return self.parts[shard]
+    def levels(self, raw: dict[str, np.ndarray]) -> dict:
+        """A shard's levels; another bundle as it is."""
+        if "rest" in raw:
+            return raw
+        found = [level for level in range(2, self.order + 1) if f"{level}.part" in raw]
+        return {n: (EliasFano(raw, f"{n}.begin"), EliasFano(raw, f"{n}.node"), raw[f"{n}.part"], raw[f"{n}.rest"]) for n in found}
 
     def look_up(self, level: int, home: np.ndarray, context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each (shard, context number in it, id), ascending: node number or -1, discounted probability or 0, the context's back-off weight."""
         node, part, rest = np.full(len(last), -1, np.int64), np.zeros(len(last)), np.ones(len(last))
         edges = np.append(0, np.cumsum(np.bincount(home, minlength=self.shards)))
         for s in np.flatnonzero(np.diff(edges)):
-            own = self.part(int(s)).get(level)
+            own = (self.parts[f"trie-{s}"] or {}).get(level)
             if own is None:
                 continue
             begin, nodes, parts, rests = own

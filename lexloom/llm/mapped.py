@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 import mmap
 import os
-import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 
@@ -68,19 +68,14 @@ class Shelf:
         store.move(f"{root}/{part}", f"{root}/{name}")
 
     def get(self, name: str) -> dict[str, np.ndarray]:
-        """The arrays as views of a memory map. From a remote store the file is copied first; the copy has no name once it is mapped,
-        so nothing is left behind."""
+        """The arrays as views of a memory map; from a store that isn't mounted, of a copy in memory."""
         if self.path is not None:
             with open(f"{self.path}/{name}", "rb") as file:
                 view = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         else:
             store, root = self._store()
-            with tempfile.TemporaryFile() as file:
-                with store.open_input_stream(f"{root}/{name}") as remote:
-                    while chunk := remote.read(1 << 22):
-                        file.write(chunk)
-                file.flush()
-                view = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+            with store.open_input_stream(f"{root}/{name}") as remote:
+                view = remote.read()
         size = int.from_bytes(view[:8], "little")
         head = json.loads(view[8 : 8 + size])
         return {key: np.frombuffer(view, np.dtype(kind), count, 8 + size + at) for key, (kind, count, at) in head.items()}
@@ -103,6 +98,32 @@ class Shelf:
         store.delete_dir(root)
 
 
+class Held:
+    """Bundles of a shelf by name, made into what ``use`` gives as they are met. Maps cost no memory of their own; of copies, those read last
+    stay, ``MOST`` bytes of them."""
+
+    MOST = 512 << 20
+
+    def __init__(self, shelf: Shelf, use: Callable[[dict[str, np.ndarray]], object]) -> None:
+        self.shelf, self.use = shelf, use
+        self.present = set(shelf.names())
+        self.ready: dict[str, tuple[object, int]] = {}
+        self.size = 0
+
+    def __getitem__(self, name: str):
+        """None for a name that the shelf hasn't."""
+        if name not in self.ready:
+            if name not in self.present:
+                return None
+            raw = self.shelf.get(name)
+            size = sum(a.nbytes for a in raw.values()) if self.shelf.path is None else 0
+            while self.ready and self.size + size > self.MOST:
+                self.size -= self.ready.pop(next(iter(self.ready)))[1]
+            self.ready[name] = (self.use(raw), size)
+            self.size += size
+        return self.ready[name][0]
+
+
 ONE = np.uint64(1)
 
 

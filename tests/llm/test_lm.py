@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lexloom.llm import lm
-from lexloom.llm.mapped import EliasFano, Shelf, get_bits, every_byte, put_bits
+from lexloom.llm.mapped import EliasFano, Held, Shelf, get_bits, every_byte, put_bits
 
 
 @pytest.mark.parametrize(("size", "top"), [(0, 1), (1, 1), (1, 10**12), (5, 3), (1000, 10), (1000, 10**6), (50_000, 10**13), (20_000, 30_000)])
@@ -34,6 +34,20 @@ def test_bits_and_files(tmp_path):
         assert (back["x"] == values).all() and len(back["y"]) == 0 and back["z"][0] == 7 and shelf.names() == ["a"]
 
 
+def test_bundles_of_a_store_that_is_not_mounted_stay_within_a_bound(tmp_path):
+    shelf = Shelf(f"{tmp_path}/shelf")
+    for n in range(6):
+        shelf.put(f"b{n}", {"x": np.full(1000, n, np.int64)})
+    mounted = Held(shelf, lambda raw: raw["x"])
+    assert mounted["none"] is None and [mounted[f"b{n}"][0] for n in range(6)] == list(range(6)) and mounted.size == 0
+    far = Shelf(f"{tmp_path}/shelf")
+    far.path = None  # as any other store
+    far._store = lambda: (__import__("pyarrow.fs").fs.LocalFileSystem(), f"{tmp_path}/shelf")
+    held = Held(far, lambda raw: raw["x"])
+    held.MOST = 20_000
+    assert [held[f"b{n % 6}"][5] for n in range(20)] == [n % 6 for n in range(20)] and len(held.ready) == 2 and held.size == 16_000
+
+
 def plain_scores(rows, order, discount):
     """By dictionaries, straight from the definition."""
     tokens = lambda t: (t or "").encode().lower().split()
