@@ -67,11 +67,12 @@ MARK = "\x1f"
 CELLS, LOOSE, DEPTH, HOSTS_A_BUCKET, LEAST_BUCKETS, SALTS = 1 << 16, 256, 100, 2000, 16, 32
 #: Occurrences of a node apart that a repeated unit's ends may be.
 APART = 4
-#: Compiled hosts that a task holds (memory, not a limit), and the different pages that show a text to be template.
-COMPILED_HELD, SAME_ON = 1024, 3
+#: Compiled hosts that a task holds and matching states that a host holds (memory, not limits), and the different pages that show a text to be template.
+COMPILED_HELD, STATES_HELD, SAME_ON = 1024, 4096, 3
 
 Node = tuple  # ("s", symbol) | ("+", nodes) | ("?", nodes)
 TEXT: Node = ("s", "#")
+State = tuple  # (positions, {symbol: (positions with those before, state after)})
 
 
 class Page:
@@ -204,7 +205,7 @@ class Block:
 class Automaton:
     """The positions of a wrapper and which may follow which, to match pages. Positions share the maps of what follows them."""
 
-    __slots__ = ("symbols", "follow", "named")
+    __slots__ = ("symbols", "follow", "named", "states")
 
     def __init__(self, wrapper: list) -> None:
         self.symbols: list[str] = []
@@ -212,6 +213,7 @@ class Automaton:
         first, _, _ = self.sequence(wrapper)
         self.follow.append([])  # the start is the last state
         self.link([len(self.symbols)], first)
+        self.states: dict[tuple[int, ...], State] = {}
         self.named: dict[str, list[int]] = {}
         for at, symbol in enumerate(self.symbols):
             self.named.setdefault(symbol, []).append(at)
@@ -254,25 +256,39 @@ class Automaton:
             empty = empty and nothing
         return first, last, empty
 
+    def state(self, positions: tuple[int, ...]) -> State:
+        """The positions that a page may be at, with the steps from there that were taken before."""
+        if positions not in self.states:
+            self.states[positions] = (positions, {})
+        return self.states[positions]
+
+    def step(self, now: State, symbol: str) -> tuple[dict[int, int] | None, State]:
+        """Each position that follows with the one before it, and the state after; none for a symbol that the wrapper hasn't."""
+        found: dict[int, int] = {}
+        asked: set[int] = set()
+        for p in now[0]:
+            for own in self.follow[p]:
+                if id(own) not in asked:
+                    asked.add(id(own))
+                    for q in own.get(symbol, ()):
+                        found.setdefault(q, p)
+        if not found:
+            found = dict.fromkeys(self.named.get(symbol, ()), now[0][0])
+        return (found, self.state(tuple(found))) if found else (None, now)
+
     def match(self, symbols: list[str]) -> list[int]:
         """The position of each symbol; -1 for one that the wrapper hasn't. Where no position follows, matching goes on at any of that symbol."""
-        current: dict[int, int] = {len(self.symbols): -1}
+        if len(self.states) > STATES_HELD:
+            self.states.clear()
+        now = self.state((len(self.symbols),))
         steps: list[dict[int, int] | None] = []
         for symbol in symbols:
-            found: dict[int, int] = {}
-            asked: set[int] = set()
-            for p in current:
-                for own in self.follow[p]:
-                    if id(own) not in asked:
-                        asked.add(id(own))
-                        for q in own.get(symbol, ()):
-                            found.setdefault(q, p)
-            if not found and symbol in self.named:
-                p = next(iter(current))
-                found = dict.fromkeys(self.named[symbol], p)
-            steps.append(found or None)
-            current = found or current
-        at = next(iter(current))
+            known = now[1].get(symbol)
+            if known is None:
+                known = now[1][symbol] = self.step(now, symbol)
+            found, now = known
+            steps.append(found)
+        at = now[0][0]
         out = [-1] * len(symbols)
         for i in range(len(symbols) - 1, -1, -1):
             if (step := steps[i]) is not None:
