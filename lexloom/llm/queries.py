@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express.
 
-Ten queries apply one operator each with all it returns. No SQL gives a container's bytes, a learned list, a packing or a tokenizer's ids; what SQL can say
+The first queries apply one operator each with all it returns. No SQL gives a container's bytes, a learned list, a packing or a tokenizer's ids; what SQL can say
 of an operator's result has a query of its own, named by the operator's module, that takes its columns from the operator's rows.
 """
 
@@ -25,6 +25,7 @@ SOURCES = {
     "op8_elias_fano_lm": "lm",
     "op9_bpe": "bpe",
     "op10_pii": "pii",
+    "op11_merkle": "merkle",
 }
 
 
@@ -69,6 +70,32 @@ CRC = (
     "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: "
     "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"
 )
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def leaf_sql(text: str) -> str:
+    """The digest of a row's fields."""
+    values = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return f"sha256({' || '.join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values)})"
+
+
+#: All nodes level by level (lv: of each tree; tree 0 is that over the groups), then each row's siblings, and the fold of what was tampered with.
+MERKLE = (
+    f"WITH RECURSIVE d AS (SELECT doc_id, lang, row_number() OVER () AS id, {leaf_sql('text')} AS leaf, CASE WHEN {CRC.format('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {leaf_sql(LOWERED)} END AS tampered FROM documents), "
+    "t AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) AS tree FROM (SELECT DISTINCT lang FROM d)), "
+    "p AS (SELECT d.id, d.doc_id, leaf, tampered, tree, row_number() OVER (PARTITION BY tree ORDER BY d.doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM d JOIN t ON d.lang IS NOT DISTINCT FROM t.lang), "
+    "lv AS (SELECT tree, 0 AS level, place, n, leaf AS node FROM p UNION ALL SELECT tree, level + 1, place // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY place)) FROM lv WHERE n > 1 GROUP BY tree, level, place // 8, n), "
+    "s AS (SELECT tree, node AS subroot, tree - 1 AS place, count(*) OVER () AS n FROM lv WHERE n = 1), "
+    "ls AS (SELECT 0 AS level, place, n, subroot AS node FROM s UNION ALL SELECT level + 1, place // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY place)) FROM ls WHERE n > 1 GROUP BY level, place // 8, n), "
+    "r AS (SELECT node AS root FROM ls WHERE n = 1), "
+    "runs AS (SELECT tree, level, place, node, n, place // 8 AS up FROM lv WHERE n > 1 UNION ALL SELECT 0, level, place, node, n, place // 8 FROM ls WHERE n > 1), "
+    "sides AS (SELECT a.tree, a.level, a.place, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r "
+    "FROM runs a JOIN runs b ON a.tree = b.tree AND a.level = b.level AND a.up = b.up GROUP BY ALL), "
+    "f AS (SELECT id, tree, place, 0 AS level, coalesce(tampered, leaf) AS node, '' AS proof, false AS top FROM p UNION ALL "
+    "SELECT f.id, CASE WHEN s.tree IS NULL THEN 0 ELSE f.tree END, CASE WHEN s.tree IS NULL THEN f.tree - 1 ELSE f.place // 8 END, CASE WHEN s.tree IS NULL THEN 0 ELSE f.level + 1 END, "
+    "CASE WHEN s.tree IS NULL THEN f.node ELSE sha256(s.l || f.node || s.r) END, f.proof || coalesce(s.l || s.r, ''), s.tree IS NULL AND f.tree = 0 FROM f LEFT JOIN sides s ON s.tree = f.tree AND s.level = f.level AND s.place = f.place WHERE NOT f.top) "
+    "SELECT p.doc_id, p.leaf, s.subroot, r.root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = r.root AS verified FROM p JOIN s USING (tree) JOIN f ON f.id = p.id AND f.top, r"
+)
 ORACLES: dict[str, str] = {
     "ogg_payload": f"WITH {DOCS}, n AS (SELECT *, strlen(text) AS n_bytes, greatest(1, CAST(ceil(strlen(text) / 192) AS BIGINT)) * 192 AS payload_bytes FROM d) "
     "SELECT doc_id, n_bytes, payload_bytes, sha256(text || repeat(' ', payload_bytes - n_bytes)) AS payload_sha256 FROM n",
@@ -93,6 +120,7 @@ ORACLES: dict[str, str] = {
     rf"CAST(len(list_filter(list_transform(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), lambda m: {DIGITS}), lambda m: length(m) BETWEEN 12 AND 19 AND {LUHN})) AS BIGINT) AS n_card, "
     rf"CAST(len(list_filter(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda m: length({DIGITS}) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM d",
 }
+ORACLES["op11_merkle"] = MERKLE
 VIEWS = (ogg_payload, quality_base, packing_totals, sharding_balance, lm_base, pii_base)
 
 
