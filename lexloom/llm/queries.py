@@ -26,6 +26,7 @@ SOURCES = {
     "op9_bpe": "bpe",
     "op10_pii": "pii",
     "op11_merkle": "merkle",
+    "op12_minhash": "minhash",
     "op13_variants": "variants",
 }
 
