@@ -1,11 +1,12 @@
-"""Cutting lineage by checkpoints in the shared folder."""
+"""Cutting lineage by checkpoints and tables in the shared folder."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +30,23 @@ def shared_root(spark) -> str:
     return root or "file://" + tempfile.mkdtemp(prefix="lexloom-")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own below the shared one."""
+    return f"{shared_root(spark).rstrip('/')}/lexloom/{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` written as Parquet and read back: computed once, with filters and column choice still reaching the scan."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def discarded(spark: SparkSession, path: str) -> None:
+    """Delete a kept table that nothing needs any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Rows that a side of a join may have to be broadcast.
 SMALL = 100_000
 
