@@ -16,7 +16,8 @@ K1, B = 1.5, 0.75
 
 
 def tokenised(docs: DataFrame, id_column: str, text: str, *keep: str) -> DataFrame:
-    return docs.select(F.col(id_column).alias("doc_id"), *keep, tokens(F.col(text)).alias("tokens"))
+    """A null text has no tokens, as an empty one."""
+    return docs.select(F.col(id_column).alias("doc_id"), *keep, tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
 
 
 def term_frequencies(tokenised_docs: DataFrame, *keep: str) -> DataFrame:

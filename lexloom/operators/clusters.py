@@ -107,10 +107,11 @@ def build(vectors: DataFrame, id_column: str, vector: str, folder: str | None =
             angle = np.where(zero, 0.0, np.arccos(np.clip(near[np.arange(len(unit)), cluster], -1, 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(zero, -1, cluster).astype(np.int32)), pa.array(angle)], names=[*batch.schema.names, "cluster", "angle"])
 
-    placed = own.mapInArrow(assigned, "id bigint, vector array<double>, cluster int, angle double")
+    placed = kept(own.mapInArrow(assigned, "id bigint, vector array<double>, cluster int, angle double"), f"{folder}/placed")  # ranges are sampled from it
     sorted_ = placed.repartitionByRange("cluster", "angle", "id").sortWithinPartitions("cluster", "angle", "id")
     at = F.monotonically_increasing_id()
     members = kept(sorted_.withColumn("ring", F.shiftright(at, RING.bit_length() - 1)), f"{folder}/members")
+    discarded(spark, f"{folder}/placed")
     members.groupBy("cluster", "ring").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).write.parquet(f"{folder}/rings")
     return Clusters(spark, folder, found)
 

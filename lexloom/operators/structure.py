@@ -1,16 +1,18 @@
-"""Structural parse of legal documents: lines to blocks with their place in the hierarchy, by windows over each document.
+"""Structural parse of legal documents: lines to blocks with their place in the hierarchy, by scans over the parts of each document.
 
-State that a heading sets and another clears is carried by ``last(struct, ignorenulls)``: a set writes a struct around the value, a clear
-one around null. One shuffle by document serves every window, as all share partition and order.
+State that a heading sets and another clears is carried as structs: a set writes one around the value, a clear one around null. A document's lines lie in parts (``scan``), so
+a document of any length is many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.structure import POINT, block_kind, is_blank, is_noise, line_type, part, section_path, unicode
 from ..functions.text import strip
+from .lineage import kept, new_folder
+from .scan import scanned, setting
 
 LINE_ENDS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 PARAGRAPH = r"^\s*(\d{1,2})\.\s+(\S.*)$"
@@ -28,31 +30,40 @@ def clean(rows: DataFrame) -> DataFrame:
     return own.filter(~is_blank(F.col("line")) & ~is_noise(F.col("line")))
 
 
-def _window(order: tuple[str, ...]):
-    return Window.partitionBy("document_id").orderBy(*order)
+#: Lines of a page that one part of a scan has at most.
+PART_LINES = 4096
+HEADINGS = ("annex", "chapter", "section", "article", "article_inline")
+OPENERS = ("article", "article_inline")
+
+
+def _parts() -> dict[str, Column]:
+    """The parts in which a document's lines are scanned: runs of lines of a page."""
+    return {"page": F.col("page"), "run": F.floor(F.col("line_no") / PART_LINES)}
 
 
 def typed(rows: DataFrame, order: tuple[str, ...] = ("page", "line_no")) -> DataFrame:
-    """Add ``ltype``. The first line after a bare article that is no heading is its title, if short and no paragraph or point."""
-    own = rows.withColumn("ltype", line_type(F.col("line")))
-    heading = F.col("ltype").isin("annex", "chapter", "section", "article", "article_inline")
-    opener = F.col("ltype").isin("article", "article_inline")
-    running = _window(order).rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("epoch", F.sum(opener.cast("int")).over(running))
-    own = own.withColumn("bare_epoch", F.last(F.when(opener, F.col("ltype") == "article"), ignorenulls=True).over(running))
-    inside = Window.partitionBy("document_id", "epoch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("nth", F.sum((~heading).cast("int")).over(inside))
-    title = ~heading & (F.col("nth") == 1) & F.coalesce("bare_epoch", F.lit(False)) & (F.length("line") < 200)
+    """Add ``ltype``. The first line after a bare article that is no heading is its title, if short and no paragraph or point.
+
+    So the line is a title if, of the articles and plain lines before it, the last is a bare article.
+    """
+    own = _kept(rows.withColumn("ltype", line_type(F.col("line"))))
+    heading = F.col("ltype").isin(*HEADINGS)
+    mark = F.when(F.col("ltype").isin(*OPENERS) | ~heading, setting(F.col("ltype")))
+    own = scanned(own, ["document_id"], _parts(), list(order), before={"__mark": mark})
+    title = ~heading & F.coalesce(F.col("__mark") == "article", F.lit(False)) & (F.length("line") < 200)
     title = title & ~F.col("line").rlike(unicode(PARAGRAPH)) & ~F.col("line").rlike(unicode(POINT))
-    return own.withColumn("ltype", F.when(title, "title").otherwise(F.col("ltype"))).drop("epoch", "bare_epoch", "nth")
+    return own.withColumn("ltype", F.when(title, "title").otherwise(F.col("ltype"))).drop("__mark")
+
 
+def _kept(rows: DataFrame) -> DataFrame:
+    return kept(rows, new_folder(rows.sparkSession))
 
-def _carried(sets: list[tuple[tuple[str, ...], Column]], clears: tuple[str, ...], order: tuple[str, ...]) -> Column:
-    none = F.struct(F.lit(None).cast("string").alias("v"))
-    event = F.when(F.col("ltype").isin(*clears), none)
+
+def _event(sets: list[tuple[tuple[str, ...], Column]], clears: tuple[str, ...]) -> Column:
+    event = F.when(F.col("ltype").isin(*clears), setting(F.lit(None).cast("string")))
     for kinds, value in sets:
-        event = event.when(F.col("ltype").isin(*kinds), F.struct(value.cast("string").alias("v")))
-    return F.last(event, ignorenulls=True).over(_window(order).rowsBetween(Window.unboundedPreceding, 0))["v"]
+        event = event.when(F.col("ltype").isin(*kinds), setting(value.cast("string")))
+    return event
 
 
 def carried(rows: DataFrame, order: tuple[str, ...] = ("page", "line_no")) -> DataFrame:
@@ -60,21 +71,19 @@ def carried(rows: DataFrame, order: tuple[str, ...] = ("page", "line_no")) -> Da
     line = F.col("line")
     number = F.when(F.col("ltype") == "article", part(line, "article")).otherwise(part(line, "article_inline"))
     plain = F.regexp_replace(number, "^0+(?=.)", "")
-    articles = ("article", "article_inline")
     marker = F.when(F.col("ltype") == "definition", part(line, "definition")).when(F.col("ltype") == "paragraph", part(line, "paragraph")).otherwise(part(line, "bare"))
-    boundary = F.col("ltype").isin("annex", "chapter", "section", *articles, "definition", "paragraph", "bare")
-    return rows.withColumns(
-        {
-            "annex": _carried([(("annex",), F.concat(F.lit("Annex "), F.upper(part(line, "annex"))))], articles, order),
-            "chapter": _carried([(("chapter",), F.concat(F.lit("Chapter "), F.upper(part(line, "chapter"))))], ("annex",), order),
-            "section": _carried([(("section",), F.concat(F.lit("Section "), part(line, "section")))], ("annex", "chapter"), order),
-            "article": _carried([(articles, F.concat(F.lit("Article "), plain))], ("annex",), order),
-            "article_num": _carried([(articles, plain)], ("annex",), order).cast("int"),
-            "heading": _carried([(("article_inline",), strip(part(line, "article_inline", 2))), (("title",), strip(line))], ("annex", "article"), order),
-            "paragraph": _carried([(("definition", "paragraph", "bare"), marker)], ("annex", "chapter", "section", *articles), order),
-            "block_no": F.sum(boundary.cast("int")).over(_window(order).rowsBetween(Window.unboundedPreceding, 0)),
-        }
-    )
+    boundary = F.col("ltype").isin(*HEADINGS, "definition", "paragraph", "bare")
+    events = {
+        "annex": _event([(("annex",), F.concat(F.lit("Annex "), F.upper(part(line, "annex"))))], OPENERS),
+        "chapter": _event([(("chapter",), F.concat(F.lit("Chapter "), F.upper(part(line, "chapter"))))], ("annex",)),
+        "section": _event([(("section",), F.concat(F.lit("Section "), part(line, "section")))], ("annex", "chapter")),
+        "article": _event([(OPENERS, F.concat(F.lit("Article "), plain))], ("annex",)),
+        "article_num": _event([(OPENERS, plain)], ("annex",)),
+        "heading": _event([(("article_inline",), strip(part(line, "article_inline", 2))), (("title",), strip(line))], ("annex", "article")),
+        "paragraph": _event([(("definition", "paragraph", "bare"), marker)], HEADINGS),
+    }
+    out = scanned(_kept(rows), ["document_id"], _parts(), list(order), last=events, sums={"block_no": boundary.cast("int")})
+    return out.withColumn("article_num", F.col("article_num").cast("int"))
 
 
 def blocks(rows: DataFrame, order: tuple[str, ...] = ("page", "line_no")) -> DataFrame:

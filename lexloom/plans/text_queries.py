@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, vector
-from ..operators import bm25
-from .registry import query, table
+from ..operators import bm25, clusters, postings
+from .registry import ORACLES, query, table
 
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
 LITERAL = "the attion of inre que des ereading haed the"
@@ -97,11 +97,45 @@ def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text as a question."""
-    terms = bm25.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    found = bm25.scores(tokenised(spark, sf_dir), terms).withColumn("score", F.round("score", 6))
+    found = bm25.scores(tokenised(spark, sf_dir), batch_terms(spark, sf_dir)).withColumn("score", F.round("score", 6))
     return bm25.ranked(found, 5, ["query_id"], "doc_id").select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+def batch_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text as a question."""
+    return bm25.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query(ORACLES["bm25_batch"])
+def bm25_index_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``bm25_batch`` from the block-max index, which reads only the segments that may hold them."""
+    index = postings.build(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    found = postings.search(index, batch_terms(spark, sf_dir), 5, digits=6)
+    return found.hits.select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(ORACLES["bm25_scoped"])
+def bm25_index_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``bm25_scoped`` from the index: each language with statistics of its own."""
+    index = postings.build(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    found = postings.search(index, literal(spark), 5, per_scope=True, digits=6)
+    return found.hits.select(F.col("scope").alias("lang"), "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    f"{TF}, qt AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest({tok('text')}) AS term FROM benchmark)) "
+    "SELECT query_id, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, true AS within FROM tf JOIN qt USING (term) GROUP BY query_id"
+)
+def bm25_index_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each benchmark text the documents that share a term with it, and whether the index opened no more blocks than hold its terms."""
+    index = postings.build(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    terms = batch_terms(spark, sf_dir)
+    report = postings.search(index, terms, 5, digits=6).report
+    docs = index.blocks.join(terms.select("query_id", "term"), "term").select("query_id", F.explode("postings.doc_id").alias("doc_id"))
+    counted = docs.distinct().groupBy("query_id").agg(F.count("*").alias("n_docs"))
+    return counted.join(report, "query_id").select("query_id", "n_docs", ((F.col("blocks_read") <= F.col("blocks")) & (F.col("segments_read") <= F.col("segments"))).alias("within"))
+
+
 COSINE = "coalesce(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / nullif(sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 0), 0)"
 
 
@@ -123,6 +157,17 @@ def cosine_per_label_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.ranked(against_first(spark, sf_dir), 3, ["label"], "vec_id").select("label", "vec_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(
+    f"SELECT query_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) QUALIFY rank <= 10"
+)
+def cosine_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every fiftieth one among all, from clusters whose bounds leave the others unread."""
+    own = table(spark, sf_dir, "embeddings")
+    index = clusters.build(own, "vec_id", "embedding")
+    found = clusters.search(index, own.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 10, digits=6)
+    return found.hits.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 def hashed_sql(source: str, key: str) -> str:
     return (
         f"t AS (SELECT {key} AS id, md5(unnest({tok('text')})) AS h FROM {source}), "

@@ -41,7 +41,7 @@ def test_pruned_search_equals_scoring_all(spark, monkeypatch, per_scope):
 def test_index_statistics_and_an_empty_corpus(spark):
     docs = corpus(spark)
     index = postings.build(docs, "doc_id", "text", "lang")
-    stats = bm25.length_stats(bm25.tokenised(docs, "doc_id", "text", "lang").withColumn("tokens", F.coalesce("tokens", F.array())), "lang")
+    stats = bm25.length_stats(bm25.tokenised(docs, "doc_id", "text", "lang"), "lang")
     assert {(r.scope, r.n_docs, r.n_tokens) for r in index.scopes.collect()} == {(r.lang, r.n_docs, r.n_tokens) for r in stats.collect()}
     none = postings.build(docs.limit(0), "doc_id", "text", "lang")
     assert postings.search(none, asked(spark), 3).hits.count() == 0
