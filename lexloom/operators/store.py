@@ -1,19 +1,23 @@
-"""Tables of documents, chunks and history as versioned Parquet folders.
+"""Tables of documents, chunks, history and leases.
 
-A change of rows writes the next version beside the current one and then moves a pointer file, so readers never see half a version and a
-failed job leaves the old one. Chunks are partitioned by document: appends and deletes touch only their own partitions.
+Documents, history and leases are logs of commits (``changelog``): a change appends the rows it changes, and writers at the same time all get through. Chunks are
+partitioned by document: appends and deletes touch only their own partitions.
+
+Who indexes a document holds a lease on it, with an end. What was under way when its worker stopped is found by leases that have ended; work that is alive is left alone.
 """
 
 from __future__ import annotations
 
-import uuid
+import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..settings import DEFAULT, EXTENSIONS, Settings
-from .lineage import in_order
+from .changelog import GONE, Log
+from .lineage import in_order, settled
 
 PENDING, INDEXING, READY, FAILED = "pending", "indexing", "ready", "failed"
 ERROR_CHARS = 1000
@@ -130,40 +134,25 @@ def export_markdown(history: DataFrame, limit: int = DEFAULT.history_limit, titl
 
 
 class Store:
-    """The three tables below one folder that all machines share."""
-
-    SCHEMAS = {"documents": schema.DOCUMENTS, "history": schema.HISTORY}
+    """The tables below one folder that all machines share."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.logs = {
+            "documents": Log(spark, f"{self.root}/documents", schema.DOCUMENTS, "id"),
+            "history": Log(spark, f"{self.root}/history", schema.HISTORY),
+            "leases": Log(spark, f"{self.root}/leases", schema.LEASES, "id"),
+        }
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _pointers(self, table: str) -> list[str]:
-        path = self._path(f"{table}/_versions")
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(path)) if self.fs.exists(path) else []
-
-    def read(self, table: str) -> DataFrame:
-        pointers = self._pointers(table)
-        if not pointers:
-            return self.spark.createDataFrame([], self.SCHEMAS[table])
-        return self.spark.read.schema(self.SCHEMAS[table]).parquet(f"{self.root}/{table}/{pointers[-1].split('-', 1)[1]}")
-
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """Write the next version, then name it: the pointer's creation is the commit."""
-        number = int(self._pointers(table)[-1].split("-")[0]) + 1 if self._pointers(table) else 0
-        name = f"v{number}_{uuid.uuid4().hex}"
-        rows.select(*(F.col(f.name) for f in self.spark.createDataFrame([], self.SCHEMAS[table]).schema)).write.parquet(f"{self.root}/{table}/{name}")
-        self.fs.mkdirs(self._path(f"{table}/_versions"))
-        self.fs.create(self._path(f"{table}/_versions/{number:012d}-{name}"), False).close()
-
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        return self.logs["documents"].read()
 
     def history(self) -> DataFrame:
-        return self.read("history")
+        return self.logs["history"].read()
 
     def chunks(self) -> DataFrame:
         path = f"{self.root}/chunks"
@@ -173,18 +162,51 @@ class Store:
 
     def create(self, rows: DataFrame) -> range:
         """Add pending documents (filename, stored_name, file_type, size_bytes); give their ids, which follow each other."""
-        own = self.documents()
-        largest = own.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        new = with_new_ids(rows, largest, "filename", "stored_name")
+        log = self.logs["documents"]
         values = {"status": F.lit(PENDING), "doc_kind": F.lit("general"), "chunk_count": F.lit(0), "page_count": F.lit(0), "created_at": F.current_timestamp()}
-        for field in own.schema:
-            if field.name not in new.columns:
-                new = new.withColumn(field.name, values.get(field.name, F.lit(None)).cast(field.dataType))
-        self.replace("documents", own.unionByName(new.select(own.columns)))
-        return range(largest + 1, largest + 1 + self.documents().filter(F.col("id") > largest).count())
 
-    def update(self, change) -> None:
-        self.replace("documents", change(self.documents()))
+        def added(_seen: DataFrame, top: int) -> DataFrame:
+            new = with_new_ids(rows, top, "filename", "stored_name")
+            return new.withColumns({f.name: values.get(f.name, F.lit(None)).cast(f.dataType) for f in log.schema if f.name not in new.columns})
+
+        top, count = log.commit(added, numbered="id")
+        return range(top + 1, top + 1 + count)
+
+    def update(self, change: Callable[[DataFrame], DataFrame], ids: DataFrame | None = None) -> None:
+        """Append what ``change`` makes of the documents, or of those in ``ids`` (column id). Rows that it leaves as they were are not written."""
+
+        def changed(seen: DataFrame, _top: int) -> DataFrame:
+            own = seen if ids is None else seen.join(ids.select("id").distinct(), "id", "left_semi")
+            new = change(own)
+            old = own.select("id", F.struct(*own.columns).alias("__old"))
+            now = F.struct(*(F.col(c).cast(own.schema[c].dataType) for c in own.columns))
+            return new.join(old, "id").filter(~now.eqNullSafe(F.col("__old"))).select(own.columns)
+
+        self.logs["documents"].commit(changed)
+
+    def claim(self, ids: DataFrame, owner: str, seconds: float = DEFAULT.lease_seconds) -> DataFrame:
+        """Take leases on ``ids`` (column id) for ``owner``, or lengthen its own; gives those that it has now (id). Of two that ask at once one gets each."""
+        log = self.logs["leases"]
+        now = time.time()
+
+        def taken(seen: DataFrame, _top: int) -> DataFrame:
+            held = seen.filter((F.col("until") > now) & (F.col("owner") != owner))
+            return ids.select("id").distinct().join(held, "id", "left_anti").withColumns({"owner": F.lit(owner), "until": F.lit(now + seconds)})
+
+        log.commit(taken)
+        return log.read().filter((F.col("owner") == owner) & (F.col("until") > now)).join(ids.select("id").distinct(), "id", "left_semi").select("id")
+
+    def release(self, owner: str) -> None:
+        self.logs["leases"].commit(lambda seen, _top: seen.filter(F.col("owner") == owner).withColumn(GONE, F.lit(True)))
+
+    def live(self, now: float | None = None) -> DataFrame:
+        """(id) of the documents with a lease that has not ended."""
+        return self.logs["leases"].read().filter(F.col("until") > (time.time() if now is None else now)).select("id")
+
+    def recover(self, now: float | None = None) -> None:
+        """What was pending or being indexed has failed, unless a lease on it is alive."""
+        alive = settled(self.live(now))
+        self.update(lambda docs: reset_stale(docs.join(alive, "id", "left_anti")))
 
     def insert_chunks(self, chunks: DataFrame) -> None:
         """Write chunks that have ids, in place of those that their documents had; a null kind is ``body``."""
@@ -195,10 +217,11 @@ class Store:
         """Chunks first, then kept files, then the documents; ``ids`` are those of one call, not of a table."""
         for number in ids:
             self.fs.delete(self._path(f"chunks/document_id={number}"), True)
-        for row in self.documents().filter(F.col("id").isin(ids)).select("stored_name").collect():
+        gone = self.spark.createDataFrame([(n,) for n in ids], "id bigint")
+        for row in self.documents().join(F.broadcast(gone), "id", "left_semi").select("stored_name").collect():
             if row.stored_name and "/" not in row.stored_name:
                 self.fs.delete(self._path(f"files/{row.stored_name}"), False)
-        self.update(lambda docs: docs.filter(~F.col("id").isin(ids)))
+        self.logs["documents"].commit(lambda seen, _top: seen.join(F.broadcast(gone), "id", "left_semi").withColumn(GONE, F.lit(True)))
 
     def keep_file(self, path: str, name: str) -> str:
         """Copy a file into the store under its stored name; gives the copy's path."""
@@ -210,13 +233,9 @@ class Store:
 
     def record(self, rows: DataFrame) -> None:
         """Append answers to the history with slim sources; rejected questions have none."""
-        own = self.history()
         rows = rows.filter(F.col("answer_path") != "rejected")
-        largest = own.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        new = with_new_ids(rows.withColumn("sources", slim(F.col("sources"))).withColumn("created_at", F.current_timestamp()), largest, "query_id")
-        self.replace("history", own.unionByName(new.select(*(F.col(f.name).cast(f.dataType) for f in own.schema))))
+        made = rows.withColumn("sources", slim(F.col("sources"))).withColumn("created_at", F.current_timestamp())
+        self.logs["history"].commit(lambda _seen, top: with_new_ids(made, top, "query_id"), numbered="id")
 
     def clear_history(self) -> None:
-        self.replace("history", self.spark.createDataFrame([], schema.HISTORY))
-
-
+        self.logs["history"].replace(lambda seen: seen.limit(0))

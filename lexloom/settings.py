@@ -34,6 +34,7 @@ class Settings:
     max_documents: int = 20
     history_limit: int = 50
     max_question_chars: int = 2000
+    lease_seconds: float = 3600.0
     chat_model: str = "scripted"
     embedding_model: str = "hash"
 
