@@ -3,14 +3,17 @@
 A document's set holds its distinct 2-word shingles as 64-bit hashes. One permutation of the hashes deals them into ``BINS`` bins by their top bits; the
 least of a bin is its value, and an empty bin takes the value of the first filled bin on a sequence of its own (optimal densification: a hash of the bin and
 the attempt). ``PERMUTATIONS`` such sketches, independent of each other, are cut into bands of ``ROWS`` values, each with the band's number hashed to a bucket. Sets at a similarity
-of 0.8 share at least one of the 48 buckets but for a chance of about 1e-7 (small sets: 1e-5, as one permutation shows them only in their few filled bins).
+of 0.8 share at least one of the 96 buckets but for a chance of about 2e-8 (sets of 20: 3e-4, as a permutation shows them only in their few filled bins).
 
-Equal sets are one node. Candidates are stars: the least node of each bucket is its centre. In the first round each node meets one centre only, the least of all its
-buckets, and what is confirmed forms components; from then on a bucket asks only for pairs across components. A later round takes the next centres of those
-buckets that still hold several components, four times as many each time; a centre that has met its bucket leaves it. So copies cost one pair a node, every
-pair that shares a bucket is either joined by links already or compared, and none is left out. Sizes that rule the similarity out are dropped first.
+Equal sets are one node. Candidates are stars: the least node of each bucket is its centre, and the others meet it alone. A node's most promising centre (most buckets in
+common) is checked first, and what is confirmed forms components; further centres count only where they are of another component. So copies cost about one pair a node.
 
-Checks are on full sets: pairs come together by centre, in parts of at most ``PART`` pairs, each with the centre's text once.
+Links between two nodes that are no centre may still be missing. They lie in buckets that hold several components, whose nodes are searched to the end by the prefix rule: with shingles in the order
+of their rarity among these nodes, similar sets share one of the first n - ceil(0.8 n) + 1. Those shingles are buckets again, of which the next centres are taken
+in each round, ``MORE`` times as many as before, as long as a bucket holds several components. Near misses have rare shingles of their own, which fill their
+prefixes, and sizes and places that rule the similarity out are dropped before any set is read; so the rounds are few, and no pair is left out.
+
+Checks are on full sets: pairs come together by centre, in parts of about ``PART`` pairs, each with the centre's set once.
 
 Defined cases: a null, empty or blank text has an empty set and is a component of its own; one word is a set of that word; repeated words and rows count once;
 texts of any length count whole; null ids take no part in a component's least id (all null: null, and such a row is kept); an empty table
@@ -35,9 +38,9 @@ from .mapped import returned
 from .numbering import small
 
 SHINGLE, PERCENT = 2, 80
-PERMUTATIONS, BINS, ROWS = 3, 80, 5
+PERMUTATIONS, BINS, ROWS = 3, 256, 8
 BANDS = PERMUTATIONS * BINS // ROWS
-PART, MORE = 256, 4
+PART, MORE, WAVE = 256, 16, 8
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -127,31 +130,45 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def hashed(texts: DataFrame) -> DataFrame:
+    """(key, hashes): the sets of texts (key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(each_text(batch.column(1))):
+                own = shingles(text).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))], names=["key", "hashes"])
+            del batch
+            returned()
+
+    return texts.select("key", "text").mapInArrow(run, "key long, hashes array<long>")
+
+
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (centre, part, key, text), a part's centre first: the pairs whose full sets are similar."""
+    """Rows (centre, part, key, hashes), a part's centre first: the pairs whose full sets are similar."""
     task, centre = None, np.zeros(0, np.uint64)
     for batch in batches:
         a, part, b = (batch.column(i).to_pylist() for i in range(3))
+        lists = batch.column(3)
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
         found: tuple[list[int], list[int]] = [], []
-        for i, text in enumerate(each_text(batch.column(3))):
-            own = shingles(text)
+        for i in range(batch.num_rows):
+            own = flat[at[i] : at[i + 1]]
             if b[i] is None:
-                task, centre = (a[i], part[i]), own
+                task, centre = (a[i], part[i]), own.copy()
             elif task == (a[i], part[i]) and similar(centre, own):
                 found[0].append(a[i])
                 found[1].append(b[i])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
-        del batch
-        returned()
 
 
-def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b; a stored table) whose sets are similar. A frequent centre's pairs are dealt over parts."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
-    others = dealt.join(texts.withColumnRenamed("key", "b"), "b").select("a", "part", "b", "text")
+    others = dealt.join(sets.withColumnRenamed("key", "b"), "b").select("a", "part", "b", "hashes")
     none = F.lit(None).cast("long").alias("b")
-    centres = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("key", "a"), "a").select("a", "part", none, "text")
+    centres = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("key", "a"), "a").select("a", "part", none, "hashes")
     both = centres.union(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return both.mapInArrow(confirmed, "a long, b long")
 
@@ -166,42 +183,116 @@ def links(nodes: DataFrame, texts_of, folder: str) -> DataFrame | None:
     spark = nodes.sparkSession
     rows = nodes.select(F.explode("bands").alias("bucket"), "key", "n")
     shared = rows.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("least"), F.count("*").alias("rows")).filter("rows > 1")
-    members = keep(rows.join(shared.drop("rows"), "bucket"), folder, "members_0")
-    texts = keep(texts_of(members.select("key").distinct()), folder, "texts")
-    own = members.select("key", "n", F.col("least.key").alias("a"), F.col("least.n").alias("other_n"))
-    pairs = own.filter((F.col("a") < F.col("key")) & fit()).groupBy("key").agg(F.min("a").alias("a")).select("a", F.col("key").alias("b"))
-    members, roots, strip = members.drop("least"), None, 1
+    members = keep(rows.join(shared.drop("rows"), "bucket"), folder, "members")
+    sets = keep(hashed(texts_of(members.select("key").distinct())), folder, "sets")
+    pairs = members.select("key", "n", F.col("least.key").alias("a"), F.col("least.n").alias("other_n")).filter((F.col("a") < F.col("key")) & fit())
+    pairs = pairs.groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("shared"))
+    roots, tried = waves(keep(pairs, folder, "pairs"), sets, None, folder, "stars")
+    open_ = keep(mixed_buckets(with_root(members.drop("least"), "key", roots, "root")).select("key", "n").distinct(), folder, "open")
+    discard(spark, f"{folder}/members")
+    members, strip = prefixes(open_, sets, folder), 1
     for number in count():
-        pairs = keep(pairs, folder, f"pairs_{number}")
-        found = keep(checked(pairs, texts), folder, f"links_{number}")
-        if not found.isEmpty():
-            whole = found if roots is None else found.union(roots.toDF("a", "b"))
-            new = keep(components(whole, f"{folder}/round_{number}"), folder, f"roots_{number}")
-            discard(spark, f"{folder}/round_{number}")
-            roots = new
-        rooted = members.withColumn("root", F.col("key")) if roots is None else members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        alive = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-        own = keep(rooted.join(alive, "bucket", "left_semi"), folder, f"members_{number + 1}")
-        discard(spark, f"{folder}/members_{number}")
+        own = keep(mixed_buckets(with_root(members, "key", roots, "root")), folder, f"mixed_{number}")
+        if number:
+            discard(spark, f"{folder}/mixed_{number - 1}")
         if own.isEmpty():
             return roots
-        pairs, members, strip = next_pairs(own, strip, folder, number), own.drop("root"), strip * MORE
-        bounds = spark.read.parquet(f"{folder}/bounds_{number}")
-        members = members.join(bounds, "bucket").filter(F.col("key") > F.col("bound")).drop("bound")
-        tried = [spark.read.parquet(f"{folder}/pairs_{i}") for i in range(number + 1)]
-        for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs, members = stripped(own, strip, folder, number)
+        pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
+        pairs = keep(pairs, folder, f"pairs_{number}")
+        found = keep(checked(pairs, sets), folder, f"links_{number}")
+        if not found.isEmpty():
+            roots = joined(found, roots, folder, str(number))
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        strip *= MORE
     raise AssertionError
 
 
-def next_pairs(own: DataFrame, strip: int, folder: str, number: int) -> DataFrame:
-    """The pairs across components of each bucket's next ``strip`` centres and its other members; stores the last centre of each bucket as its bound."""
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-    tops = keep(own.withColumn("place", place).filter(F.col("place") <= strip).drop("place"), folder, f"centres_{number}")
-    keep(tops.groupBy("bucket").agg(F.max("key").alias("bound")), folder, f"bounds_{number}")
-    centres = tops.select("bucket", F.col("key").alias("a"), F.col("n").alias("other_n"), F.col("root").alias("a_root"))
-    both = own.join(centres, "bucket").filter((F.col("a") < F.col("key")) & (F.col("root") != F.col("a_root")) & fit())
-    return both.select("a", F.col("key").alias("b")).distinct()
+def mixed_buckets(rooted: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    return rooted.join(several, "bucket", "left_semi")
+
+
+def waves(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None, folder: str, name: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """Check all of ``pairs`` (a, b, shared; a stored table) that components don't make needless: a node's most promising pair first, then ``WAVE`` times as many each time.
+    Gives the roots after that, and the pairs that were checked."""
+    tried = None
+    for wave in count():
+        turn = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
+        chosen = keep(pairs.withColumn("turn", turn).filter(F.col("turn") <= WAVE**wave).select("a", "b"), folder, f"{name}_chosen_{wave}")
+        if chosen.isEmpty():
+            return roots, tried
+        tried = chosen if tried is None else tried.union(chosen)
+        found = keep(checked(chosen, sets), folder, f"{name}_links_{wave}")
+        if not found.isEmpty():
+            roots = joined(found, roots, folder, f"{name}_{wave}")
+        pairs = keep(across(pairs.join(chosen, ["a", "b"], "left_anti"), roots), folder, f"{name}_left_{wave}")
+    raise AssertionError
+
+
+def least_prefix(n: Column, percent: int = PERCENT) -> Column:
+    """So many of a set's rarest shingles hold one that any similar set has among its own."""
+    return n - F.ceil(n * percent / 100) + 1
+
+
+def prefixes(open_: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """(bucket, key, n, at) of open nodes (key, n): their rarest shingles, as many as ``least_prefix``, with their place in the order of rarity.
+
+    Of two similar sets the rarest common shingle is in both prefixes. Shingles that only one open node has find nobody; they just take the first places.
+    """
+
+    each = sets.join(open_, "key", "left_semi").select(F.explode("hashes").alias("bucket"), "key")
+    often = each.groupBy("bucket").agg(F.count("*").alias("often")).filter("often > 1")
+    found = keep(each.join(often, "bucket"), folder, "common")
+    totals = found.groupBy("key").agg(F.count("*").alias("many")).join(open_, "key")
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("often", "bucket"))
+    placed = found.withColumn("turn", turn).join(totals, "key").withColumn("at", F.col("n") - F.col("many") + F.col("turn"))
+    return keep(placed.filter(F.col("at") <= least_prefix(F.col("n"))).select("bucket", "key", "n", "at"), folder, "prefixes")
+
+
+def reach(percent: int = PERCENT) -> Column:
+    """Whether two sets whose prefixes share the shingle at ``at`` and ``other_at`` can be similar: what precedes and what follows bounds their common part."""
+    both = F.least("at", "other_at") + F.least(F.col("n") - F.col("at"), F.col("other_n") - F.col("other_at"))
+    return both * (100 + percent) >= percent * (F.col("n") + F.col("other_n"))
+
+
+def with_root(rows: DataFrame, node: str, roots: DataFrame | None, into: str) -> DataFrame:
+    """``rows`` with the root of their node, itself where no link reaches it."""
+    if roots is None:
+        return rows.withColumn(into, F.col(node))
+    return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias(into)), node, "left").withColumn(into, F.coalesce(into, node))
+
+
+def across(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Those of ``pairs`` (a, b, shared) whose ends are in different components."""
+    both = with_root(with_root(pairs, "a", roots, "a_root"), "b", roots, "b_root")
+    return both.filter("a_root <> b_root").select("a", "b", "shared")
+
+
+def joined(found: DataFrame, roots: DataFrame | None, folder: str, name: str) -> DataFrame:
+    """(node, root) after the links ``found`` (a, b), of which only those across components count."""
+    spark = found.sparkSession
+    if roots is None:
+        new = components(found, f"{folder}/round_{name}")
+        return keep(new, folder, f"roots_{name}")
+    both = with_root(with_root(found, "a", roots, "a_root"), "b", roots, "b_root").filter("a_root <> b_root")
+    merged = keep(components(both.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), f"{folder}/round_{name}"), folder, f"merged_{name}")
+    discard(spark, f"{folder}/round_{name}")
+    moved = with_root(roots, "root", merged, "new").select("node", F.col("new").alias("root"))
+    fresh = merged.join(roots.select("node"), "node", "left_anti")
+    return keep(moved.union(fresh), folder, f"roots_{name}")
+
+
+def stripped(own: DataFrame, strip: int, folder: str, number: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs across components of each bucket's next ``strip`` centres and its other members, and the members that are left without those centres."""
+    turn = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
+    tops = keep(own.withColumn("turn", turn).filter(F.col("turn") <= strip).drop("turn"), folder, f"centres_{number}")
+    bounds = tops.groupBy("bucket").agg(F.max("key").alias("bound"))
+    centres = tops.select("bucket", F.col("key").alias("a"), F.col("n").alias("other_n"), F.col("at").alias("other_at"), F.col("root").alias("a_root"))
+    both = own.join(centres, "bucket").filter((F.col("a") < F.col("key")) & (F.col("root") != F.col("a_root")) & fit() & reach())
+    left = own.join(bounds, "bucket").filter(F.col("key") > F.col("bound")).select("bucket", "key", "n", "at")
+    return both.groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("shared")), left
 
 
 def named(doc_id: Column) -> Column:
