@@ -7,10 +7,9 @@ version 1 deals slots round robin and version 2 is its edit. Every version stays
 
 Rows meet the map through a broadcast join whose small side has ``n_slots`` x ``PARTS`` rows by construction. A place in a shard is the number
 of rows in lower (slot, part) cells of the shard plus the row's number in its cell; parts split a slot's rows by their number in the stored
-table, so that an id that a third of all rows share doesn't end up in one task. DataFrame operations only.
+table. A slot follows from id, checksum and the number of equal records, so that no id and no text that a third of all rows share is heavy. DataFrame operations only.
 
-Defined cases: a null text counts no bytes (size 1, crc32 of nothing, 0); a null id is slotted by the text's checksum, so many null ids
-do not share a slot; texts of any length count whole; repeated rows and equal ids are kept, each with a place of its own, in the order of their
+Defined cases: a null text counts no bytes (size 1, crc32 of nothing, 0); a null id is an id of its own; texts of any length count whole; repeated rows and equal ids are kept, each with a place of its own, in the order of their
 numbers; an empty table gives an empty result and a map of empty slots; other columns of the input are not read.
 """
 
@@ -23,17 +22,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, keep, shared_dir
+from .numbering import small
 
 N_SLOTS, PARTS = 4096, 16
 MAP_SCHEMA = "version int, vslot int, shard int, bytes long"
 
 
-def sized(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of each record; the text goes no further than this projection."""
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, size and text_crc32 of each record, and its ``row`` in the input; the text goes no further than this projection."""
     crc = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
-    out = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)).cast("long").alias("size"), crc.alias("text_crc32"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.col("text_crc32"))
-    return out.withColumn("vslot", F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int"))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)).cast("long")
+    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.monotonically_increasing_id().alias("row"))
+
+
+def slotted(records: DataFrame, folder: str, n_slots: int = N_SLOTS) -> DataFrame:
+    """``records`` (a stored table) with their virtual slot: a hash of the id, the checksum and the number of the record among those equal in both.
+
+    So an id, or a text, that a third of all rows share lies in all slots. Equal records are numbered within the partitions of the input, and the
+    partitions' counts are added up; of most records there is one, and its number is 0.
+    """
+    equal = ["id", "text_crc32"]
+    own = records.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("from", F.shiftright("row", 33))
+    counts = own.groupBy(*equal, "from").agg(F.count("*").alias("rows"))
+    whole, before = Window.partitionBy(*equal), Window.partitionBy(*equal).orderBy("from").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*equal, "from", F.sum("rows").over(whole).alias("all"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    starts = keep(starts.filter("all > 1").drop("all"), folder, "starts")
+    one = own.join(small(starts.select(*equal).distinct()), equal, "left_anti").withColumn("number", F.lit(0).cast("long"))
+    turn = F.row_number().over(Window.partitionBy(*equal, "from").orderBy("row"))
+    more = own.join(small(starts), [*equal, "from"]).withColumn("number", F.col("start") + turn - 1).drop("start")
+    slot = F.pmod(F.xxhash64("id", "text_crc32", "number"), F.lit(n_slots)).cast("int")
+    return one.unionByName(more).withColumn("vslot", slot).select("doc_id", "size", "text_crc32", "vslot", "row")
 
 
 def rebalanced(sizes: list[int], shard_of: list[int], n_shards: int, tolerance: float = 1e-4) -> list[int]:
@@ -112,8 +130,8 @@ def assign(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_folde
     """The records with ``shard`` and their gapless place in it, and all versions of the stored map. ``map_folder``: where earlier versions are."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    numbered = sized(docs, n_slots).withColumn("row", F.monotonically_increasing_id())
-    records = keep(numbered.withColumn("part", F.pmod("row", F.lit(PARTS)).cast("int")), folder, "records")
+    stored = keep(sized(docs), folder, "sizes")
+    records = keep(slotted(stored, folder, n_slots).withColumn("part", F.pmod("row", F.lit(PARTS)).cast("int")), folder, "records")
     usage = records.groupBy("vslot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).orderBy("vslot", "part").toArrow()  # at most n_slots x PARTS rows
     slot, part, size, count = (usage[c].to_pylist() for c in ("vslot", "part", "bytes", "rows"))
     sizes = [0] * n_slots

@@ -74,25 +74,28 @@ def test_context_decides_every_added_kind(spark):
         f'token = "{key}"', f"commit {key}", key, f"{key} is my password", f"token {'a' * 40}", f"token {'aB3-' * 200}", f"api_key: {'aB3_' * 10}",
     ]
     assert spans(spark, texts) == [
-        "ssn:0:11", "", "", "", "iban:0:22", "", "", "secret:9:49", "", "", "secret:0:40", "", "", "secret:9:49",
+        "ssn:0:11", "", "", "", "iban:0:22", "", "", "secret:9:49", "", "", "secret:0:40", "", "secret:6:806", "secret:9:49",
     ]
 
 
 def test_very_many_matches(spark):
-    """Ten megabytes with half a million addresses: every span is in its place, in seconds."""
+    """Five megabytes with a quarter of a million addresses: every span is in its place, and four times as many matches cost no square of it."""
     import time
 
     one = "a.b@c.de 10.0.0.1 ok "
-    frame = spark.createDataFrame([(1, one * 250_000), (2, one * 700)], "doc_id bigint, text string")
-    began = time.time()
-    found = pii.detect(frame).select("doc_id", F.size(pii.RESERVED).alias("n"), F.slice(pii.RESERVED, -2, 2).alias("last"))
-    out = {r.doc_id: r for r in found.collect()}
-    assert out[1].n == 500_000 and out[2].n == 1400 and time.time() - began < 60
-    at = len(one) * 249_999
-    assert [(s.kind, s.start, s.end) for s in out[1].last] == [("email", at, at + 8), ("ip", at + 9, at + 17)]
-    began = time.time()
+    took = []
+    for many in (30_000, 120_000):
+        frame = spark.createDataFrame([(1, one * many), (2, one * 700)], "doc_id bigint, text string")
+        found = pii.detect(frame).select("doc_id", F.size(pii.RESERVED).alias("n"), F.slice(pii.RESERVED, -2, 2).alias("last"))
+        began = time.time()
+        out = {r.doc_id: r for r in found.collect()}
+        took.append(time.time() - began)
+        assert out[1].n == 2 * many and out[2].n == 1400
+        at = len(one) * (many - 1)
+        assert [(s.kind, s.start, s.end) for s in out[1].last] == [("email", at, at + 8), ("ip", at + 9, at + 17)]
+    assert took[1] < 12 * took[0]
     text = {r.doc_id: r for r in pii.masked(frame).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("h")).collect()}
-    assert text[1].h == hashlib.md5(("<EMAIL> <IP> ok " * 250_000).encode()).hexdigest() and time.time() - began < 60
+    assert text[1].h == hashlib.md5(("<EMAIL> <IP> ok " * many).encode()).hexdigest()
 
 
 def test_masks_are_not_context(spark):
