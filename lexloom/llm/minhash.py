@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import discard, documents, each_text, keep, shared_dir
+from .common import discard, documents, each_text, keep, shared_dir, slices
 from .graph import components
 from .mapped import returned
 from .numbering import small
@@ -135,9 +135,10 @@ def hashed(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(each_text(batch.column(1))):
-                own = shingles(text).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))], names=["key", "hashes"])
+            for part in slices(batch, "text"):
+                own = [shingles(text).view(np.int64) for text in each_text(part.column(1))]
+                ends = np.append(0, np.cumsum([len(x) for x in own])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], names=["key", "hashes"])
             del batch
             returned()
 
