@@ -11,7 +11,7 @@ from ..operators import answer, context, hybrid
 from ..operators.lineage import settled
 from . import fixtures
 from .registry import ORACLES, query, quoted, table
-from .structure_queries import DEFINED_SQL, REDIRECT_SQL, STRIP
+from .structure_queries import BLOCKS, DEFINED_SQL, REDIRECT_SQL, STRIP, all_blocks
 from .text_queries import COSINE, tok
 
 
@@ -37,38 +37,46 @@ PLAN = (
 )
 
 
+TURN_PLAN = PLAN.replace(fixtures.QUESTION_SQL, fixtures.TURN_QUESTION_SQL.replace("{turns}", "conversations"))
+
+
 def plans(spark: SparkSession) -> DataFrame:
     return planner.planned(fixtures.questions(spark))
 
 
-@query(PLAN + " SELECT query_id, question_type, array_to_string(preferred, ',') AS preferred, question_type IN ('definition', 'list') AND NOT is_comparison AS allows_direct_answer FROM plan")
+def turn_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of every turn of the conversations."""
+    return planner.planned(fixtures.turn_questions(spark, sf_dir))
+
+
+@query(TURN_PLAN + " SELECT query_id, question_type, array_to_string(preferred, ',') AS preferred, question_type IN ('definition', 'list') AND NOT is_comparison AS allows_direct_answer FROM plan")
 def plan_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans(spark).select("query_id", "question_type", F.array_join("preferred_chunk_kinds", ",").alias("preferred"), "allows_direct_answer")
+    return turn_plans(spark, sf_dir).select("query_id", "question_type", F.array_join("preferred_chunk_kinds", ",").alias("preferred"), "allows_direct_answer")
 
 
-@query(PLAN + " SELECT query_id, array_to_string(doc_kinds, ',') AS doc_kinds, is_comparison FROM plan")
+@query(TURN_PLAN + " SELECT query_id, array_to_string(doc_kinds, ',') AS doc_kinds, is_comparison FROM plan")
 def plan_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans(spark).select("query_id", F.array_join("doc_kinds", ",").alias("doc_kinds"), "is_comparison")
+    return turn_plans(spark, sf_dir).select("query_id", F.array_join("doc_kinds", ",").alias("doc_kinds"), "is_comparison")
 
 
-@query(PLAN + " SELECT query_id, array_to_string(article_refs, ',') AS articles, array_to_string(annex_refs, ',') AS annexes FROM plan")
+@query(TURN_PLAN + " SELECT query_id, array_to_string(article_refs, ',') AS articles, array_to_string(annex_refs, ',') AS annexes FROM plan")
 def plan_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans(spark).select("query_id", F.array_join(F.col("article_refs").cast("array<string>"), ",").alias("articles"), F.array_join("annex_refs", ",").alias("annexes"))
+    return turn_plans(spark, sf_dir).select("query_id", F.array_join(F.col("article_refs").cast("array<string>"), ",").alias("articles"), F.array_join("annex_refs", ",").alias("annexes"))
 
 
-@query(PLAN + " SELECT query_id, array_to_string(quoted_terms, '|') AS quoted FROM plan")
+@query(TURN_PLAN + " SELECT query_id, array_to_string(quoted_terms, '|') AS quoted FROM plan")
 def plan_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans(spark).select("query_id", F.array_join("quoted_terms", "|").alias("quoted"))
+    return turn_plans(spark, sf_dir).select("query_id", F.array_join("quoted_terms", "|").alias("quoted"))
 
 
-@query(PLAN + " SELECT query_id, subject_term FROM plan")
+@query(TURN_PLAN + " SELECT query_id, subject_term FROM plan")
 def plan_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans(spark).select("query_id", "subject_term")
+    return turn_plans(spark, sf_dir).select("query_id", "subject_term")
 
 
-@query(PLAN + " SELECT query_id, CASE WHEN question_type IN ('list', 'procedure') THEN 'list' WHEN question_type IN ('obligation', 'condition') THEN 'obligation' ELSE 'answer' END AS prompt FROM plan")
+@query(TURN_PLAN + " SELECT query_id, CASE WHEN question_type IN ('list', 'procedure') THEN 'list' WHEN question_type IN ('obligation', 'condition') THEN 'obligation' ELSE 'answer' END AS prompt FROM plan")
 def plan_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans(spark).select("query_id", planner.prompt_name(F.col("question_type")).alias("prompt"))
+    return turn_plans(spark, sf_dir).select("query_id", planner.prompt_name(F.col("question_type")).alias("prompt"))
 
 
 # Retrieval
@@ -235,26 +243,20 @@ def context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.rendered(context.expanded(hits(spark, sf_dir), fixtures.all_chunks(spark, sf_dir)), "query_id")
 
 
-DEFINITIONS = (
-    (1, 1, "(1) 'medical device' means 'medical device' as defined in point (1) of Article 2 of Regulation (EU) 2017/745;"),
-    (1, 2, "(2) 'accessory' means an article that is used together with one or more devices;"),
-    (1, 3, "(1) 'medical device' means any instrument that its maker intends for people;"),
-    (3, 1, "(8) 'importer' means any person that places a device from a third country on the market;"),
-    (19, 1, "(42) “performance study” means a study to confirm the performance of a device;"),
-    (18, 1, "(1) 'article' means as defined in the Directive;"),
-    (18, 2, "(2) 'rticles' means things;"),
-)
-DEFINITION_SQL = fixtures.values(list(DEFINITIONS), "query_id, rank, content")
+#: The term that a question on a document asks for: one it defines, one that it only refers to, one it lacks, or none.
+SUBJECT_SQL = "CASE document_id % 4 WHEN 0 THEN 'device ' || CAST(document_id % 9 AS STRING) WHEN 1 THEN 'unit' WHEN 2 THEN 'nothing' END"
 
 
 @query(
-    PLAN + f", d AS ({DEFINITION_SQL}), f AS (SELECT d.*, subject_term FROM d JOIN plan USING (query_id) WHERE NOT ({REDIRECT_SQL.replace('(text', '(content')}) AND (subject_term IS NULL OR {DEFINED_SQL.replace('(text', '(content')} = subject_term)) "
+    BLOCKS + f", d AS (SELECT document_id AS query_id, block_no AS rank, text AS content, {SUBJECT_SQL} AS subject_term FROM blocks WHERE kind = 'definition'), "
+    f"f AS (SELECT * FROM d WHERE NOT ({REDIRECT_SQL.replace('(text', '(content')}) AND (subject_term IS NULL OR {DEFINED_SQL.replace('(text', '(content')} = subject_term)) "
     "SELECT query_id, arg_min(content, rank) || chr(10) || chr(10) || '[MDR]' AS direct FROM f GROUP BY query_id"
 )
 def direct_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.frame(spark, DEFINITION_SQL)
-    own = rows.join(plans(spark).select("query_id", "subject_term"), "query_id").withColumns({"chunk_kind": F.lit("definition"), "citation": F.lit("MDR")})
-    return answer.picked_definition(own)
+    """The definition that answers a question on each document, out of all its definitions in order."""
+    rows = all_blocks(spark, sf_dir).filter("kind = 'definition'")
+    own = rows.select(F.col("document_id").alias("query_id"), F.col("block_no").alias("rank"), F.col("text").alias("content"), F.expr(SUBJECT_SQL).alias("subject_term"))
+    return answer.picked_definition(own.withColumns({"chunk_kind": F.lit("definition"), "citation": F.lit("MDR")}))
 
 
 @query()
@@ -272,8 +274,7 @@ UNSUPPORTED_SQL = f"len(list_filter(list_transform({CITED_SQL}, lambda c: lower(
 REFUSED_SQL = f"regexp_matches(lower(answer), {quoted('|'.join(text.REFUSALS))})"
 LONG_SQL = f"list_filter(list_transform(regexp_split_to_array(lower(answer), '[.\\n]+'), lambda s: {STRIP.format('s')}), lambda s: length(s) > 25)"
 DEGENERATE_SQL = f"(len({LONG_SQL}) >= 4 AND len(list_distinct({LONG_SQL})) / greatest(len({LONG_SQL}), 1) < 0.5)"
-ANSWERS = f"WITH a AS ({fixtures.ANSWER_SQL})"
-TURNS = "WITH a AS (SELECT conv_id * 1000 + turn AS query_id, CASE WHEN turn % 3 = 0 THEN text || ' [MDR] and [' || role || ' 12345678901]' WHEN turn % 3 = 1 THEN repeat(substr(text, 1, 40) || '. ', 5) ELSE text || ' Cannot answer.' END AS answer, 0.1 * (turn % 10) AS confidence FROM conversations)"
+TURNS = "WITH a AS (SELECT conv_id * 1000 + turn AS query_id, CASE WHEN turn % 3 = 0 THEN text || ' [MDR] and [' || role || ' 12345678901]' WHEN turn % 3 = 1 THEN repeat(text || '. ', 5) ELSE CASE WHEN conv_id % 5 = 0 THEN '  ' ELSE text || ' Cannot answer.' END END AS answer, 0.1 * (turn % 10) AS confidence FROM conversations)"
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,12 +306,12 @@ def degenerate_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{ANSWERS}, s AS (SELECT query_id, {STRIP.format('answer')} AS answer, confidence FROM a), v AS (SELECT *, answer = '' AS blank, {DEGENERATE_SQL} AS bad, {UNSUPPORTED_SQL} AS cites, "
+    f"{TURNS}, s AS (SELECT query_id, {STRIP.format('answer')} AS answer, confidence FROM a), v AS (SELECT *, answer = '' AS blank, {DEGENERATE_SQL} AS bad, {UNSUPPORTED_SQL} AS cites, "
     f"confidence < 0.35 AND NOT contains(lower(answer), {quoted(text.NO_ANSWER.lower())}) AS low FROM s) "
     f"SELECT query_id, CASE WHEN blank OR bad THEN {quoted(text.NO_ANSWER)} ELSE answer END AS answer, CASE WHEN blank THEN 'empty answer' WHEN bad THEN 'repetitive answer' ELSE concat_ws(',', CASE WHEN cites THEN 'unsupported citation' END, CASE WHEN low THEN 'low confidence' END) END AS warnings FROM v"
 )
 def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fixtures.answers(spark).select("query_id", text.validated(F.col("answer"), labels(), F.col("confidence")).alias("v"))
+    own = turns(spark, sf_dir).select("query_id", text.validated(F.col("answer"), labels(), F.col("confidence")).alias("v"))
     return own.select("query_id", "v.answer", F.array_join("v.warnings", ",").alias("warnings"))
 
 
@@ -365,13 +366,13 @@ def top3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT user_id % 50 AS id, event_id, CAST(event_id % 97 AS INTEGER) AS s, CAST(event_id % 97 + 3 + event_id % 11 AS INTEGER) AS e FROM events), "
+    "WITH s AS (SELECT CAST(floor(event_id / 40) AS BIGINT) AS id, event_id, CAST(event_id % 97 AS INTEGER) AS s, CAST(event_id % 97 + 3 + event_id % 11 AS INTEGER) AS e FROM events), "
     "m AS (SELECT *, coalesce(max(least(e, 90)) OVER (PARTITION BY id ORDER BY s, e, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS covered FROM s) "
     "SELECT CAST(id AS BIGINT) AS id, greatest(s, covered) AS start, least(e, 90) AS stop FROM m WHERE greatest(s, covered) < least(e, 90)"
 )
 def span_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Highlights cut to a text of 90 characters and to what earlier ones leave; events stand in for spans."""
-    own = table(spark, sf_dir, "events").selectExpr("user_id % 50 AS id", "CAST(event_id % 97 AS INT) AS start", "CAST(event_id % 97 + 3 + event_id % 11 AS INT) AS end")
+    """Highlights cut to a text of 90 characters and to what earlier ones leave; forty events each stand in for a text's spans."""
+    own = table(spark, sf_dir, "events").selectExpr("CAST(floor(event_id / 40) AS BIGINT) AS id", "CAST(event_id % 97 AS INT) AS start", "CAST(event_id % 97 + 3 + event_id % 11 AS INT) AS end")
     spans = own.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return spans.select("id", F.explode(text.clamped_spans(F.col("spans"), F.lit(90))).alias("s")).select("id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
 

@@ -1,4 +1,4 @@
-"""Inputs that the synthetic tables lack, derived by SQL that Spark and DuckDB share: legal lines, questions, answers, uploads."""
+"""Inputs that the synthetic tables lack, derived by SQL that Spark and DuckDB share: legal lines, questions, uploads."""
 
 from __future__ import annotations
 
@@ -29,23 +29,8 @@ QUESTIONS = (
     "   What is the definition of \"performance study\"?   ",
 )
 
-ANSWERS = (
-    ("The device is safe [MDR, Article 2] and sound [IVDR].", 0.8),
-    ("   ", 0.9),
-    ("The provided documents do not contain this information.", 0.2),
-    ("Devices shall be safe [Unknown Source, Article 99].", 0.3),
-    ("A sentence that repeats itself again. A sentence that repeats itself again. A sentence that repeats itself again. A sentence that repeats itself again. A sentence that repeats itself again.", 0.7),
-    ("I am unable to answer that question on devices.", 0.5),
-    ("Short. Short. Short. Short.", 0.6),
-    ("No brackets here, and low trust.", 0.1),
-    ("See [ mdr, article 2(1), p. 4 ] and [ivdr].", 0.34),
-)
 LABELS = ("MDR, Article 2(1), p. 4", "MDR", "IVDR", "IVDR, Annex II")
 
-UPLOADS = (
-    ("  ", 10), ("law.TXT", 10), ("law.exe", 10), ("known.pdf", 10), ("big.docx", 11 * 1024 * 1024), ("empty.md", 0), ("noext", 5), (".txt", 5), ("a.b.md", 10485760),
-)
-
 K = "(document_id + line_no) % 24"
 NUM = "CAST(1 + (document_id * 3 + line_no) % 40 AS STRING)"
 LINE_CASE = f"""CASE {K}
@@ -81,8 +66,17 @@ def values(rows: list[tuple], names: str) -> str:
 
 
 QUESTION_SQL = values([(i, q) for i, q in enumerate(QUESTIONS)], "query_id, question")
-ANSWER_SQL = values([(i, a, c) for i, (a, c) in enumerate(ANSWERS)], "query_id, answer, confidence")
-UPLOAD_SQL = values([(i, n, s) for i, (n, s) in enumerate(UPLOADS)], "upload_id, filename, size_bytes")
+#: Turns of conversations as questions: one of the questions above alone, before the turn's text, or after it.
+TURN_QUESTION_SQL = (
+    "SELECT query_id, CASE turn % 3 WHEN 0 THEN asked WHEN 1 THEN asked || ' ' || text ELSE text || ' ' || asked END AS question FROM (SELECT conv_id * 1000 + turn AS query_id, turn, text, CASE (conv_id * 7 + turn) % 20 "
+    + " ".join(f"WHEN {i} THEN {quoted(q)}" for i, q in enumerate(QUESTIONS))
+    + " END AS asked FROM {turns})"
+)
+#: Documents as files that are uploaded: names and sizes that rules reject stand in by position.
+UPLOAD_SQL = (
+    "SELECT doc_id AS upload_id, CASE doc_id % 9 WHEN 0 THEN '  ' WHEN 1 THEN source || '.TXT' WHEN 2 THEN source || '.exe' WHEN 3 THEN 'known.pdf' WHEN 4 THEN source || '.docx' WHEN 5 THEN source || '.md' "
+    "WHEN 6 THEN source WHEN 7 THEN '.txt' ELSE ' ' || source || '.b.md ' END AS filename, CASE doc_id % 9 WHEN 4 THEN 10485760 + n_chars WHEN 5 THEN n_chars % 2 ELSE n_chars END AS size_bytes FROM {docs}"
+)
 
 
 def frame(spark: SparkSession, sql: str) -> DataFrame:
@@ -93,16 +87,21 @@ def questions(spark: SparkSession) -> DataFrame:
     return frame(spark, QUESTION_SQL)
 
 
-def answers(spark: SparkSession) -> DataFrame:
-    return frame(spark, ANSWER_SQL)
+def turn_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations as a question."""
+    return spark.sql(TURN_QUESTION_SQL.replace("''", "\\'"), turns=table(spark, sf_dir, "conversations"))
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(UPLOAD_SQL, docs=table(spark, sf_dir, "documents"))
 
 
 def legal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LEGAL_SPARK.replace("split(text, '\\n')", "split(text, '\\\\n')"), docs=table(spark, sf_dir, "documents"))
 
 
-#: A document's chunk as retrieval sees it: kind, article and path stand in by position, the language for the document's kind.
-CHUNK_COLUMNS = """doc_id AS chunk_id, doc_id % 50 AS document_id, CAST(doc_id AS INT) AS chunk_index, text AS content, CASE lang WHEN 'en' THEN 'mdr' WHEN 'fr' THEN 'ivdr' ELSE 'general' END AS doc_kind,
+#: A document's chunk as retrieval sees it, twenty to a file: kind, article and path stand in by position, the language for the document's kind.
+CHUNK_COLUMNS = """doc_id AS chunk_id, CAST(floor(doc_id / 20) AS BIGINT) AS document_id, CAST(doc_id AS INT) AS chunk_index, text AS content, CASE lang WHEN 'en' THEN 'mdr' WHEN 'fr' THEN 'ivdr' ELSE 'general' END AS doc_kind,
  CAST(1 + doc_id % 9 AS INT) AS page, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'Article ' || CAST(doc_id % 12 AS STRING) END AS article,
  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id % 12 AS INT) END AS article_num, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id % 4 AS STRING) END AS paragraph,
  CASE WHEN doc_id % 5 = 0 THEN 'Annex ' || CASE WHEN doc_id % 2 = 0 THEN 'II' ELSE 'III' END ELSE 'Chapter I > Article ' || CAST(doc_id % 12 AS STRING) END AS section_path,

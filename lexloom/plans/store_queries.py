@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import text
-from ..operators import answer, store
-from ..operators.lineage import in_order, shared_root
+from ..operators import answer, changelog, store
+from ..operators.lineage import in_order, new_folder, shared_root
 from ..streaming import events as ev
 from ..streaming import landing
 from . import fixtures
@@ -71,10 +72,14 @@ def stale_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{DOCS_DUCK} SELECT id, CASE WHEN id % 5 = 0 THEN 'ready' WHEN id % 5 = 1 THEN 'failed' WHEN id % 5 = 2 THEN 'indexing' ELSE status END AS status, CASE WHEN id % 5 = 0 THEN 4 ELSE chunk_count END AS chunk_count, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN repeat('x', 1000) ELSE error END AS error FROM d")
 def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = documents(spark, sf_dir)
-    own = store.mark_ready(own, F.col("id") % 5 == 0, F.lit(4), F.lit(2), F.lit("regulation"), F.lit("X"))
-    own = store.mark_failed(own, F.col("id") % 5 == 1, "x" * 3000)
-    return store.mark_indexing(own, F.col("id") % 5 == 2).select("id", "status", "chunk_count", "error")
+    """Three changes of status through the log: each appends the documents that it changes."""
+    log = changelog.Log(spark, f"{new_folder(spark)}/documents", schema.DOCUMENTS, "id")
+    log.replace(lambda _seen: documents(spark, sf_dir))
+    every = F.lit(True)
+    log.commit(lambda docs, _top: store.mark_ready(docs.filter("id % 5 = 0"), every, F.lit(4), F.lit(2), F.lit("regulation"), F.lit("X")))
+    log.commit(lambda docs, _top: store.mark_failed(docs.filter("id % 5 = 1"), every, "x" * 3000))
+    log.commit(lambda docs, _top: store.mark_indexing(docs.filter("id % 5 = 2"), every))
+    return log.read().select("id", "status", "chunk_count", "error")
 
 
 @query(f"{DOCS_DUCK}, c AS ({fixtures.ALL_CHUNK_DUCK}) SELECT 'chunks' AS kind, count(*) AS n FROM c WHERE document_id NOT IN (1, 2, 3) UNION ALL SELECT 'documents', count(*) FROM d WHERE id NOT IN (1, 2, 3)")
@@ -88,16 +93,17 @@ NAME_SQL = "regexp_replace(filename, '^\\s+|\\s+$', '', 'g')"
 
 
 @query(
-    f"WITH u AS ({fixtures.UPLOAD_SQL}), s AS (SELECT *, {NAME_SQL} AS name FROM u) SELECT upload_id, CAST(CASE WHEN name = '' THEN 400 WHEN NOT regexp_matches(lower(name), '[^./]\\.(txt|md|pdf|docx)$') THEN 415 WHEN name = 'known.pdf' THEN 409 WHEN size_bytes > 10485760 THEN 413 WHEN size_bytes = 0 THEN 400 END AS INTEGER) AS code FROM s"
+    f"WITH u AS ({fixtures.UPLOAD_SQL.replace('{docs}', 'documents')}), s AS (SELECT *, {NAME_SQL} AS name FROM u) SELECT upload_id, CAST(CASE WHEN name = '' THEN 400 WHEN NOT regexp_matches(lower(name), '[^./]\\.(txt|md|pdf|docx)$') THEN 415 WHEN name = 'known.pdf' THEN 409 WHEN size_bytes > 10485760 THEN 413 WHEN size_bytes = 0 THEN 400 END AS INTEGER) AS code FROM s"
 )
 def upload_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fixtures.frame(spark, fixtures.UPLOAD_SQL)
+    """Every document as an upload."""
+    own = fixtures.uploads(spark, sf_dir)
     return own.select("upload_id", store.upload_error(F.col("filename"), F.col("size_bytes"), F.col("filename") == "known.pdf", F.lit(3)).alias("code"))
 
 
 # History: turns of conversations as answered questions
 
-HISTORY_COLUMNS = "conv_id * 100 + turn AS id, 'Q ' || substr(text, 1, 30) AS question, substr(text, 1, 90) AS answer, CASE turn % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'synthesis' ELSE 'refused' END AS answer_path, CAST(turn % 10 AS DOUBLE) / 10 AS confidence, conv_id * 7 + turn AS elapsed_ms, turn AS sec"
+HISTORY_COLUMNS = "conv_id * 100 + turn AS id, 'Q ' || text AS question, text AS answer, CASE turn % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'synthesis' ELSE 'refused' END AS answer_path, CAST(turn % 10 AS DOUBLE) / 10 AS confidence, conv_id * 7 + turn AS elapsed_ms, turn AS sec"
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
