@@ -10,9 +10,9 @@ from ..functions import text
 from ..operators import answer, changelog, store
 from ..operators.lineage import in_order, new_folder, shared_root
 from ..streaming import events as ev
-from ..streaming import landing
+from ..streaming import landing, live
 from . import fixtures
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 #: Documents and events as the store's rows: positions stand in for status, kind, error and times.
 DOCUMENT_COLUMNS = """doc_id AS id, source || '-' || CAST(doc_id % 40 AS STRING) || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.md' END AS filename, 'f' || CAST(doc_id AS STRING) AS stored_name,
@@ -165,10 +165,44 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{HISTORY_DUCK} SELECT id AS query_id, CAST(seq AS BIGINT) AS seq, type, CASE WHEN type = 'token' THEN answer END AS text FROM h, (VALUES (0, 'status'), (2, 'token')) AS t(seq, type)")
 def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of a status, a broken and a token event, and a last one cut short: two are read."""
+    return ev.parsed(streams(spark, sf_dir)).select("query_id", F.col("seq").cast("bigint").alias("seq"), "event.type", "event.text")
+
+
+def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = lambda **v: ev.framed(F.to_json(F.struct(*(x.alias(k) for k, x in v.items()))))
     stream = F.concat(frame(type=F.lit("status"), stage=F.lit("planning")), F.lit("data: {broken\n\n"), frame(type=F.lit("token"), text=F.col("answer")), F.lit('data: {"type":"do'))
-    own = history(spark, sf_dir).select(F.col("id").alias("query_id"), stream.alias("stream"))
-    return ev.parsed(own).select("query_id", F.col("seq").cast("bigint").alias("seq"), "event.type", "event.text")
+    return history(spark, sf_dir).select(F.col("id").alias("query_id"), stream.alias("stream"))
+
+
+def landed(rows: DataFrame, folder: str, schema: str) -> DataFrame:
+    """``rows`` as a stream of three batches, dealt without regard to their order."""
+    rows.repartition(3).write.parquet(f"{folder}/in")
+    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+@query(ORACLES["sse_parse"])
+def sse_stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``sse_parse`` from a running stream whose pieces are 61 bytes each, whatever they cut, and come in any order."""
+    folder = new_folder(spark)
+    whole = streams(spark, sf_dir).select(F.col("query_id").alias("stream"), F.encode("stream", "UTF-8").alias("data"))
+    at = F.explode(F.expr("sequence(0L, cast(octet_length(data) as bigint) - 1, 61L)"))
+    pieces = whole.select("stream", at.alias("at"), "data").select("stream", "at", F.expr("substring(data, cast(at + 1 as int), 61)").alias("data"))
+    found = live.run(spark, live.frames(landed(pieces, folder, "stream bigint, at bigint, data binary")), folder)
+    return found.select(F.col("stream").alias("query_id"), "seq", "event.type", "event.text")
+
+
+@query(
+    f"{HISTORY_DUCK}, t AS (SELECT id, answer, regexp_extract_all(answer, '\\s*\\S+\\s*') AS f FROM h WHERE answer_path = 'synthesis') "
+    "SELECT id AS query_id, CAST(unnest(range(len(f) + 1)) AS BIGINT) AS seq, unnest(list_append(list_transform(f, lambda x: 'token'), 'done')) AS type, unnest(list_append(f, array_to_string(f, ''))) AS text FROM t WHERE len(f) > 0"
+)
+def sse_stream_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that a model speaks word by word, as a running stream shows them: tokens in their order as they come, then the whole."""
+    folder = new_folder(spark)
+    words = history(spark, sf_dir).filter("answer_path = 'synthesis'").select(F.col("id").alias("query_id"), F.regexp_extract_all("answer", F.lit(r"\s*\S+\s*"), 0).alias("words"))
+    each = words.select("query_id", F.size("words").alias("many"), F.posexplode("words").alias("n", "fragment"))
+    rows = each.select("query_id", F.col("n").cast("bigint").alias("n"), "fragment", (F.col("n") + 1 == F.col("many")).alias("last"))
+    found = live.run(spark, live.spoken(landed(rows, folder, "query_id bigint, n bigint, fragment string, last boolean")), folder)
+    return found.drop("batch")
 
 
 @query(f"WITH d AS (SELECT n_chars AS size_bytes, CAST(doc_id AS DOUBLE) % 11 / 10 AS confidence, doc_id FROM documents) SELECT doc_id, CASE WHEN size_bytes < 1024 THEN CAST(size_bytes AS VARCHAR) || ' B' ELSE CAST(CAST(round(size_bytes / 1024) AS BIGINT) AS VARCHAR) || ' KB' END AS size, CASE WHEN confidence >= 0.6 THEN 'high' WHEN confidence >= 0.35 THEN 'medium' ELSE 'low' END AS trust FROM d")
