@@ -18,6 +18,7 @@ from ..functions.text import let, tokens
 from ..settings import DEFAULT, Settings
 from . import bm25
 from .lineage import settled
+from .matching import contained
 
 
 def structure_score(kind: Column, content: Column, preferred: Column, quoted: Column) -> Column:
@@ -26,6 +27,27 @@ def structure_score(kind: Column, content: Column, preferred: Column, quoted: Co
     return F.least(F.when(F.array_contains(preferred, kind), 0.5).otherwise(0.0) + F.when(named, 0.5).otherwise(0.0), F.lit(1.0))
 
 
+def structure_scores(chunks: DataFrame, plans: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(query_id, chunk_id, structure_score, bonus) of the chunks in each question's scope. ``plans``: the stated set of questions, taken in blocks; each block's quoted
+    terms are sought in one pass over each text, and pairs carry numbers only."""
+    own = plans.select("query_id", "doc_kinds", "preferred_chunk_kinds", "article_refs", "annex_refs", F.transform(F.coalesce("quoted_terms", F.array().cast("array<string>")), F.lower).alias("quoted"))
+    out = None
+    number = max(1, -(-own.count() // MOST_QUESTIONS))
+    for at in range(number):
+        block = own.filter(F.pmod(F.xxhash64("query_id"), F.lit(number)) == at)
+        terms = [r.t for r in block.select(F.explode("quoted").alias("t")).distinct().orderBy("t").collect()]  # of a block's questions
+        named = strings(tuple(terms))
+        asked = block.withColumn("quoted", F.transform("quoted", lambda t: F.array_position(named, t).cast("int") - 1)) if terms else block.withColumn("quoted", F.array().cast("array<int>"))
+        found = chunks.select("chunk_id", "doc_kind", "chunk_kind", "article_num", "section_path", contained(F.lower(F.col("content")), terms).alias("named"))
+        pairs = in_scope(found.crossJoin(F.broadcast(asked)), F.col("doc_kinds"), F.col("doc_kind"))  # MOST_QUESTIONS rows or so
+        kind = F.when(F.array_contains("preferred_chunk_kinds", F.col("chunk_kind")), 0.5).otherwise(0.0)
+        score = F.least(kind + F.when(F.arrays_overlap("quoted", "named"), 0.5).otherwise(0.0), F.lit(1.0))
+        bonus = reference_bonus(F.col("article_num"), F.col("section_path"), F.col("article_refs"), F.col("annex_refs"), settings.reference_bonus)
+        rows = pairs.select("query_id", "chunk_id", score.alias("structure_score"), bonus.alias("bonus"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def reference_bonus(article_num: Column, path: Column, articles: Column, annexes: Column, bonus: float = DEFAULT.reference_bonus) -> Column:
     """For a chunk of an article or annex that the question names. Annexes match as text, so "Annex I" is found in "Annex II" too."""
     named = F.coalesce(F.array_contains(articles, article_num), F.lit(False))
@@ -124,8 +146,9 @@ def features(chunks: DataFrame, asked: Asked) -> DataFrame:
         postings = let(hits, lambda h: F.transform(h["terms"], lambda t: F.struct(t.alias("term"), F.size(F.filter(h["all"], lambda x: x == t)).alias("tf"))))
         return F.struct(F.size(own).alias("len"), postings.alias("postings"))
 
-    quoted = let(F.lower(F.col("content")), lambda body: F.filter(named, lambda t: F.contains(body, t))) if asked.quoted else named
-    return chunks.select(
+    rows = chunks.withColumn("__hits", contained(F.lower(F.col("content")), asked.quoted)) if asked.quoted else chunks
+    quoted = F.transform("__hits", lambda n: F.element_at(named, n + 1)) if asked.quoted else named
+    return rows.select(
         "chunk_id", "doc_kind", "chunk_kind", "article_num", "section_path", let(tokens(F.col("content")), counted).alias("counts"), quoted.alias("named"),
         similarities(F.col("embedding"), asked.vectors).alias("similar"),
     ).select("chunk_id", "doc_kind", "chunk_kind", "article_num", "section_path", "counts.len", "counts.postings", "named", "similar")

@@ -172,10 +172,8 @@ def refusal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(scored_sql() + " SELECT query_id, chunk_id, round(structure, 6) AS structure_score, bonus FROM sc WHERE structure > 0 OR bonus > 0")
 def structure_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure scores and explicit-reference bonuses, without the rest of retrieval."""
-    pairs = hybrid.in_scope(fixtures.all_chunks(spark, sf_dir).crossJoin(F.broadcast(plans(spark))), F.col("doc_kinds"), F.col("doc_kind"))
-    score = hybrid.structure_score(F.col("chunk_kind"), F.col("content"), F.col("preferred_chunk_kinds"), F.col("quoted_terms"))
-    bonus = hybrid.reference_bonus(F.col("article_num"), F.col("section_path"), F.col("article_refs"), F.col("annex_refs"))
-    return pairs.select("query_id", "chunk_id", F.round(score, 6).alias("structure_score"), bonus.alias("bonus")).filter("structure_score > 0 or bonus > 0")
+    found = hybrid.structure_scores(fixtures.plain_chunks(spark, sf_dir), plans(spark))
+    return found.withColumn("structure_score", F.round("structure_score", 6)).filter("structure_score > 0 or bonus > 0")
 
 
 def scope_sql(strict: bool) -> str:
