@@ -65,12 +65,51 @@ def test_lines_of_any_script_end_alike(spark):
     assert [r.line for r in structure.lines(rows).orderBy("line_no").collect()] == ["a", "b", "c", "d", "e", "", "f"]
 
 
-def test_pieces_overlap_and_move_on():
-    text = " ".join(f"Sentence number {i} says a little." for i in range(400))
-    out = chunking.pieces_of(text, 1600, 200)
-    assert all(len(p) <= 1600 for p in out) and len(out) > 8
-    assert all(b[:60] in a + b for a, b in zip(out, out[1:], strict=False)) and out[-1].endswith("399 says a little.")
-    assert chunking.pieces_of("x" * 5000, 1600, 1599)[1] == "x" * 1600 and chunking.pieces_of("short", 1600, 200) == ["short"]
+def walked(text, most, overlap):
+    """The windows of a text, walked."""
+    if len(text) <= most:
+        return [text]
+    out, start = [], 0
+    while True:
+        stop = min(start + most, len(text))
+        if stop < len(text):
+            for mark in ("\n\n", "\n", ". "):
+                at = text.rfind(mark, start, stop)
+                if at - start > most // 2:
+                    stop = at + len(mark)
+                    break
+        if piece := text[start:stop].strip():
+            out.append(piece)
+        if stop >= len(text):
+            return out
+        start = max(stop - overlap, start + 1)
+
+
+def split(spark, texts, most, overlap):
+    frame = spark.createDataFrame(list(enumerate(texts)), "document_id int, text string")
+    out = {i: [] for i in range(len(texts))}
+    for r in chunking.split_blocks(frame, most, overlap).orderBy("document_id", "piece_no").collect():
+        assert r.piece_no == len(out[r.document_id])
+        out[r.document_id].append(r.text)
+    return list(out.values())
+
+
+def test_oversized_blocks_are_split_at_marks(spark):
+    import random
+
+    rnd = random.Random(3)
+    words = ["word", "é☃", "x. y", "end.\n", "\n\n", "a" * 30, "   ", "𝕏𝕐", ". "]
+    texts = ["".join(rnd.choice(words) + rnd.choice(["", " "]) for _ in range(rnd.randrange(1, 900))) for _ in range(40)]
+    texts += ["short", "", "x" * 5000, " " * 4000, "line\n" * 900, " ".join(f"Sentence number {i} of the block." for i in range(400))]
+    for most, overlap in ((1600, 200), (100, 20), (7, 2)):
+        assert split(spark, texts, most, overlap) == [walked(t, most, overlap) for t in texts]
+    assert split(spark, ["x" * 300], 50, 49) == [walked("x" * 300, 50, 49)]
+
+
+def test_a_very_long_block_is_split_in_proportion(spark):
+    text = "A sentence of a very long block. Another one\n" * 60_000
+    assert split(spark, [text], 1600, 200) == [walked(text, 1600, 200)]
+
 
 
 def test_chunks(blocks):
