@@ -9,9 +9,10 @@ Equal sets are one node. Candidates are stars: the least node of each bucket is
 common) is checked first, and what is confirmed forms components; further centres count only where they are of another component. So copies cost about one pair a node.
 
 Links between two nodes that are no centre may still be missing. They lie in buckets that hold several components, whose nodes are searched to the end by the prefix rule: with shingles in the order
-of their rarity among these nodes, similar sets share one of the first n - ceil(0.8 n) + 1. Those shingles are buckets again, of which the next centres are taken
-in each round, ``MORE`` times as many as before, as long as a bucket holds several components. Near misses have rare shingles of their own, which fill their
-prefixes, and sizes and places that rule the similarity out are dropped before any set is read; so the rounds are few, and no pair is left out.
+of their rarity among these nodes, similar sets share one of the first n - ceil(0.8 n) + 1. Shingles that at most ``RARE`` nodes have give their pairs at once. Two
+sets that share none of those in their prefixes need frequent ones there, and near misses have few, as rare shingles of their own fill their prefixes; for the others frequent
+shingles are buckets again, of which the next centres are taken in each round, ``MORE`` times as many as before, as long as a bucket holds several
+components. Sizes, places and counts that rule the similarity out are dropped before any set is read; so the rounds are few, and no pair is left out.
 
 Checks are on full sets: pairs come together by centre, in parts of about ``PART`` pairs, each with the centre's set once.
 
@@ -40,7 +41,7 @@ from .numbering import small
 SHINGLE, PERCENT = 2, 80
 PERMUTATIONS, BINS, ROWS = 3, 256, 8
 BANDS = PERMUTATIONS * BINS // ROWS
-PART, MORE, WAVE = 256, 16, 8
+PART, MORE, WAVE, RARE = 256, 16, 8, 128
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -191,7 +192,12 @@ def links(nodes: DataFrame, texts_of, folder: str) -> DataFrame | None:
     roots, tried = waves(keep(pairs, folder, "pairs"), sets, None, folder, "stars")
     open_ = keep(mixed_buckets(with_root(members.drop("least"), "key", roots, "root")).select("key", "n").distinct(), folder, "open")
     discard(spark, f"{folder}/members")
-    members, strip = prefixes(open_, sets, folder), 1
+    found = prefixes(open_, sets, folder)
+    pairs = keep(rare_pairs(with_root(found.filter(F.col("often") <= RARE), "key", roots, "root")), folder, "rare")
+    pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
+    roots, more = waves(keep(pairs, folder, "rare_pairs"), sets, roots, folder, "rare")
+    tried = more if tried is None else tried if more is None else tried.union(more)
+    members, strip = found.filter(F.col("often") > RARE), 1
     for number in count():
         own = keep(mixed_buckets(with_root(members, "key", roots, "root")), folder, f"mixed_{number}")
         if number:
@@ -238,18 +244,26 @@ def least_prefix(n: Column, percent: int = PERCENT) -> Column:
 
 
 def prefixes(open_: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
-    """(bucket, key, n, at) of open nodes (key, n): their rarest shingles, as many as ``least_prefix``, with their place in the order of rarity.
+    """(bucket, key, n, at, often, last, core) of open nodes (key, n): their rarest shingles, as many as ``least_prefix``, with their place in the order of rarity, the number of open nodes that
+    have them, the prefix's length, and how many of the prefix more than ``RARE`` open nodes have.
 
     Of two similar sets the rarest common shingle is in both prefixes. Shingles that only one open node has find nobody; they just take the first places.
     """
-
     each = sets.join(open_, "key", "left_semi").select(F.explode("hashes").alias("bucket"), "key")
     often = each.groupBy("bucket").agg(F.count("*").alias("often")).filter("often > 1")
     found = keep(each.join(often, "bucket"), folder, "common")
     totals = found.groupBy("key").agg(F.count("*").alias("many")).join(open_, "key")
     turn = F.row_number().over(Window.partitionBy("key").orderBy("often", "bucket"))
-    placed = found.withColumn("turn", turn).join(totals, "key").withColumn("at", F.col("n") - F.col("many") + F.col("turn"))
-    return keep(placed.filter(F.col("at") <= least_prefix(F.col("n"))).select("bucket", "key", "n", "at"), folder, "prefixes")
+    placed = found.withColumn("turn", turn).join(totals, "key").withColumn("at", F.col("n") - F.col("many") + F.col("turn")).withColumn("last", least_prefix(F.col("n")))
+    placed = keep(placed.filter(F.col("at") <= F.col("last")).select("bucket", "key", "n", "at", "often", "last"), folder, "placed")
+    core = placed.groupBy("key").agg(F.count_if(F.col("often") > RARE).alias("core"))
+    return keep(placed.join(core, "key"), folder, "prefixes")
+
+
+def enough(common: Column, percent: int = PERCENT) -> Column:
+    """Whether two sets can be similar with so many common shingles of their prefixes: what else they share follows the prefix that ends first."""
+    both = common + F.greatest(F.col("n") - F.col("last"), F.col("other_n") - F.col("other_last"))
+    return both * (100 + percent) >= percent * (F.col("n") + F.col("other_n"))
 
 
 def reach(percent: int = PERCENT) -> Column:
@@ -258,6 +272,19 @@ def reach(percent: int = PERCENT) -> Column:
     return both * (100 + percent) >= percent * (F.col("n") + F.col("other_n"))
 
 
+def as_centre(rows: DataFrame) -> DataFrame:
+    names = {"key": "a", "root": "a_root", "n": "other_n", "at": "other_at", "last": "other_last", "core": "other_core"}
+    return rows.select("bucket", *(F.col(own).alias(other) for own, other in names.items()))
+
+
+def rare_pairs(own: DataFrame) -> DataFrame:
+    """The pairs across components that share shingles of their prefixes which at most ``RARE`` open nodes have, if those and the frequent ones can make them similar."""
+    both = own.join(as_centre(own), "bucket").filter((F.col("a") < F.col("key")) & (F.col("root") != F.col("a_root")) & fit() & reach())
+    other = ["n", "other_n", "last", "other_last", "core", "other_core"]
+    pairs = both.groupBy("a", F.col("key").alias("b"), *other).agg(F.count("*").alias("shared"))
+    return pairs.filter(enough(F.col("shared") + F.least("core", "other_core"))).select("a", "b", "shared")
+
+
 def with_root(rows: DataFrame, node: str, roots: DataFrame | None, into: str) -> DataFrame:
     """``rows`` with the root of their node, itself where no link reaches it."""
     if roots is None:
@@ -286,13 +313,14 @@ def joined(found: DataFrame, roots: DataFrame | None, folder: str, name: str) ->
 
 
 def stripped(own: DataFrame, strip: int, folder: str, number: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs across components of each bucket's next ``strip`` centres and its other members, and the members that are left without those centres."""
+    """The pairs across components of each bucket's next ``strip`` centres and its other members, and the members that are left without those centres. Pairs that the frequent shingles of
+    their prefixes alone can't make similar share a rare one, so they were found by it."""
     turn = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
     tops = keep(own.withColumn("turn", turn).filter(F.col("turn") <= strip).drop("turn"), folder, f"centres_{number}")
     bounds = tops.groupBy("bucket").agg(F.max("key").alias("bound"))
-    centres = tops.select("bucket", F.col("key").alias("a"), F.col("n").alias("other_n"), F.col("at").alias("other_at"), F.col("root").alias("a_root"))
-    both = own.join(centres, "bucket").filter((F.col("a") < F.col("key")) & (F.col("root") != F.col("a_root")) & fit() & reach())
-    left = own.join(bounds, "bucket").filter(F.col("key") > F.col("bound")).select("bucket", "key", "n", "at")
+    possible = fit() & reach() & enough(F.least("core", "other_core"))
+    both = own.join(as_centre(tops), "bucket").filter((F.col("a") < F.col("key")) & (F.col("root") != F.col("a_root")) & possible)
+    left = own.join(bounds, "bucket").filter(F.col("key") > F.col("bound")).drop("bound", "root")
     return both.groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("shared")), left
 
 
