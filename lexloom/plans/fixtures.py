@@ -101,7 +101,7 @@ def legal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A document's chunk as retrieval sees it, twenty to a file: kind, article and path stand in by position, the language for the document's kind.
-CHUNK_COLUMNS = """doc_id AS chunk_id, CAST(floor(doc_id / 20) AS BIGINT) AS document_id, CAST(doc_id AS INT) AS chunk_index, text AS content, CASE lang WHEN 'en' THEN 'mdr' WHEN 'fr' THEN 'ivdr' ELSE 'general' END AS doc_kind,
+CHUNK_COLUMNS = """doc_id AS chunk_id, CAST(floor(doc_id / 20) + 3 AS BIGINT) AS document_id, CAST(doc_id AS INT) AS chunk_index, text AS content, CASE lang WHEN 'en' THEN 'mdr' WHEN 'fr' THEN 'ivdr' ELSE 'general' END AS doc_kind,
  CAST(1 + doc_id % 9 AS INT) AS page, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'Article ' || CAST(doc_id % 12 AS STRING) END AS article,
  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id % 12 AS INT) END AS article_num, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id % 4 AS STRING) END AS paragraph,
  CASE WHEN doc_id % 5 = 0 THEN 'Annex ' || CASE WHEN doc_id % 2 = 0 THEN 'II' ELSE 'III' END ELSE 'Chapter I > Article ' || CAST(doc_id % 12 AS STRING) END AS section_path,
