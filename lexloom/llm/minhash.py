@@ -193,7 +193,8 @@ def links(nodes: DataFrame, texts_of, folder: str) -> DataFrame | None:
     open_ = keep(mixed_buckets(with_root(members.drop("least"), "key", roots, "root")).select("key", "n").distinct(), folder, "open")
     discard(spark, f"{folder}/members")
     found = prefixes(open_, sets, folder)
-    pairs = keep(rare_pairs(with_root(found.filter(F.col("often") <= RARE), "key", roots, "root")), folder, "rare")
+    few = found.filter(F.col("often") <= RARE).withColumn("core", F.size("core"))
+    pairs = keep(rare_pairs(with_root(few, "key", roots, "root")), folder, "rare")
     pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
     roots, more = waves(keep(pairs, folder, "rare_pairs"), sets, roots, folder, "rare")
     tried = more if tried is None else tried if more is None else tried.union(more)
@@ -245,7 +246,7 @@ def least_prefix(n: Column, percent: int = PERCENT) -> Column:
 
 def prefixes(open_: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """(bucket, key, n, at, often, last, core) of open nodes (key, n): their rarest shingles, as many as ``least_prefix``, with their place in the order of rarity, the number of open nodes that
-    have them, the prefix's length, and how many of the prefix more than ``RARE`` open nodes have.
+    have them, the prefix's length, and those of the prefix that more than ``RARE`` open nodes have, shortened to 32 bits (equal ones stay equal).
 
     Of two similar sets the rarest common shingle is in both prefixes. Shingles that only one open node has find nobody; they just take the first places.
     """
@@ -256,7 +257,7 @@ def prefixes(open_: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("key").orderBy("often", "bucket"))
     placed = found.withColumn("turn", turn).join(totals, "key").withColumn("at", F.col("n") - F.col("many") + F.col("turn")).withColumn("last", least_prefix(F.col("n")))
     placed = keep(placed.filter(F.col("at") <= F.col("last")).select("bucket", "key", "n", "at", "often", "last"), folder, "placed")
-    core = placed.groupBy("key").agg(F.count_if(F.col("often") > RARE).alias("core"))
+    core = placed.groupBy("key").agg(F.collect_list(F.when(F.col("often") > RARE, F.shiftright("bucket", 32).cast("int"))).alias("core"))  # a prefix at most
     return keep(placed.join(core, "key"), folder, "prefixes")
 
 
@@ -318,10 +319,13 @@ def stripped(own: DataFrame, strip: int, folder: str, number: int) -> tuple[Data
     turn = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
     tops = keep(own.withColumn("turn", turn).filter(F.col("turn") <= strip).drop("turn"), folder, f"centres_{number}")
     bounds = tops.groupBy("bucket").agg(F.max("key").alias("bound"))
-    possible = fit() & reach() & enough(F.least("core", "other_core"))
+    common = F.array_intersect("core", "other_core")
+    meets = F.get(common, F.lit(0)) == F.shiftright("bucket", 32).cast("int")  # in one of its buckets, that of the first common shingle
+    twice = [F.size(c) - F.size(F.array_distinct(c)) for c in ("core", "other_core")]  # shortened ones that fell together
+    possible = fit() & reach() & meets & enough(F.size(common) + twice[0] + twice[1])
     both = own.join(as_centre(tops), "bucket").filter((F.col("a") < F.col("key")) & (F.col("root") != F.col("a_root")) & possible)
     left = own.join(bounds, "bucket").filter(F.col("key") > F.col("bound")).drop("bound", "root")
-    return both.groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("shared")), left
+    return both.select("a", F.col("key").alias("b"), F.size(common).alias("shared")).distinct(), left
 
 
 def named(doc_id: Column) -> Column:
