@@ -63,8 +63,10 @@ def changed(rnd, words, many):
     return words
 
 
-def test_links_about_the_threshold(spark, tmp_path):
-    """Families whose members lie at similarities of 0.6 to 0.95 of each other, chains of them, texts of few words, copies, and large groups."""
+@pytest.mark.parametrize("rare", [minhash.RARE, 3])
+def test_links_about_the_threshold(spark, tmp_path, monkeypatch, rare):
+    """Families whose members lie at similarities of 0.6 to 0.95 of each other, chains of them, texts of few words, copies, and large groups; with most shingles rare, or frequent."""
+    monkeypatch.setattr(minhash, "RARE", rare)
     rnd = random.Random(3)
     rows = [(None, None), (None, "only"), (0, "  "), (1, ""), (2, "Word"), (3, "word"), (4, "two words"), (5, "Two  words")]
     for family in range(60):
