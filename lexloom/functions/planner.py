@@ -22,6 +22,7 @@ SCOPES: dict[str, str] = {
     "mdr": r"\b(mdr|2017/745|medical\s+device\s+regulation)\b",
     "ivdr": r"\b(ivdr|2017/746|in\s*-?\s*vitro\s+diagnostic)\b",
 }
+#: Fixed values.
 PREFERRED: dict[str, tuple[str, ...]] = {
     "definition": ("definition",),
     "obligation": ("obligation",),
@@ -32,6 +33,7 @@ PREFERRED: dict[str, tuple[str, ...]] = {
 #: Characters that quote a term, and (below) the form of a question for a definition.
 QUOTES = "'\"‘’“”"
 DIRECT = ("definition", "list")
+#: Fixed values.
 PROMPT_OF = {"list": "list", "procedure": "list", "obligation": "obligation", "condition": "obligation"}
 
 
