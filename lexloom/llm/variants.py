@@ -30,6 +30,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RUN = "[a-zÀ-ÿ]+"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of the vocabulary as a join's side, to be shuffled: kept tables are compressed, so by their files' size Spark takes a million words for
+    few bytes, and would build them whole on the driver to broadcast them."""
+    return rows.hint("merge")
+
+
 def observed(docs: DataFrame, one_in: int = ONE_IN) -> DataFrame:
     """(word): each run of each text, lower-cased, with one letter gone from about one in ``one_in``, as a document's id and the run decide."""
     low = F.translate("text", UPPER, UPPER.lower())
@@ -72,7 +78,7 @@ def shortened(words: DataFrame) -> DataFrame:
     prefix, suffix = pieces()
     first_of_run = (F.col("at") == 1) | (F.substring(F.col("word"), F.col("at"), F.lit(1)) != F.substring(F.col("word"), F.col("at") - 1, F.lit(1)))
     deleted = lettered(words).filter(first_of_run).select(F.col("place").alias("longer"), *hashes(F.concat(prefix, suffix)))
-    return deleted.join(words.select(F.col("place").alias("shorter"), *hashes(F.col("word"))), ["one", "two"]).select("longer", "shorter")
+    return deleted.join(spread(words.select(F.col("place").alias("shorter"), *hashes(F.col("word")))), ["one", "two"]).select("longer", "shorter")
 
 
 def nearest(words: DataFrame) -> DataFrame:
@@ -89,7 +95,7 @@ def rooted(forms: DataFrame, folder: str) -> DataFrame:
     now, number = keep(forms, folder, "roots_0"), 0
     while True:
         further = now.select(F.col("place").alias("root"), F.col("root").alias("next"))
-        both = keep(now.join(further, "root", "left"), folder, f"roots_{number + 1}")
+        both = keep(now.join(spread(further), "root", "left"), folder, f"roots_{number + 1}")
         discard(spark, f"{folder}/roots_{number}")
         if both.filter("next is not null").isEmpty():
             return both.select("place", "root")
@@ -101,13 +107,13 @@ def grouped(counts: DataFrame, folder: str, ratio: int = RATIO) -> DataFrame:
     stored = keep(counts, folder, "counts")
     words = numbered(stored, [], [F.col("n").desc(), F.col("word")], folder, "words", total="n_words").select("place", "word", "n")
     named = words.withColumnsRenamed({"place": "best", "word": "form", "n": "form_n"})
-    near = keep(nearest(words).join(named, "best"), folder, "near")
-    own = words.join(near, "place", "left")
+    near = keep(nearest(words).join(spread(named), "best"), folder, "near")
+    own = words.join(spread(near), "place", "left")
     fits = F.col("form_n") >= ratio * F.col("n")
     own = keep(own.withColumn("fits", F.coalesce(fits, F.lit(False))), folder, "forms")
     roots = rooted(own.filter("fits").select("place", F.col("best").alias("root")), folder)
-    last = roots.join(words.select(F.col("place").alias("root"), F.col("word").alias("root_word")), "root").select("place", "root_word")
-    return own.join(last, "place", "left").select(
+    last = roots.join(spread(words.select(F.col("place").alias("root"), F.col("word").alias("root_word"))), "root").select("place", "root_word")
+    return own.join(spread(last), "place", "left").select(
         "word",
         F.when(F.col("fits"), F.col("form")).alias("form"),
         F.coalesce("root_word", "word").alias("root"),

@@ -87,3 +87,13 @@ def test_a_chain_ends_at_its_last_form(spark, tmp_path):
     counts = spark.createDataFrame([(w, 3 * 2**i) for i, w in enumerate(names)], "word string, n bigint")
     out = {r.word: r for r in variants.grouped(counts, folder).collect()}
     assert {r.root for r in out.values()} == {names[-1]} and out[names[0]].form == names[1] and out[names[-1]].form is None
+
+
+def test_the_vocabulary_is_not_broadcast(spark, folder, tmp_path):
+    """However few bytes its files have."""
+    words = spark.createDataFrame([(i, f"word{i}", 3) for i in range(9)], "place bigint, word string, n bigint")
+    words.write.parquet(f"{tmp_path}/words")
+    stored = spark.read.parquet(f"{tmp_path}/words")
+    for own in (variants.shortened(stored), variants.grouped(stored.select("word", "n"), f"file://{tmp_path}/run"), variants.op13_variants(spark, folder)):
+        plan = own._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
