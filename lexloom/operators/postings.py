@@ -24,6 +24,9 @@ from .bm25 import K1, B, idf, ranked
 from .lineage import discarded, kept, new_folder, small
 
 SEGMENT, SPAN, SEEDS = 128, 64, 4
+#: Characters of text that a task of a build has, and pairs of a question and a document that a task of a search may have: the number of tasks follows the
+#: input, a task's memory does not.
+PART_CHARS, PART_PAIRS = 8 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -60,24 +63,37 @@ class Index:
         discarded(self.spark, self.folder)
 
 
+def parts_of(spark: SparkSession, size: int, most: int) -> int:
+    """Partitions of ``most`` at most, and no fewer than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // most))
+
+
+def pair_parts(index: Index, terms: DataFrame) -> int:
+    """Partitions for pairs of the questions of ``terms`` (query_id) and the index's documents, were all of them to meet."""
+    asked = terms.select("query_id").distinct().count()
+    return parts_of(index.spark, asked * (index.scopes.agg(F.sum("n_docs")).first()[0] or 0), PART_PAIRS)
+
+
 def build(docs: DataFrame, id_column: str, text: str, scope: str | None = None, folder: str | None = None) -> Index:
     """Index ``docs``: one shuffle of texts (sorted by scope and id), within whose parts terms are counted, and one of postings, to their terms."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark)
     scoped = F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")
-    dealt = docs.select(scoped.alias("scope"), F.col(id_column).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("scope", "doc_id").sortWithinPartitions("scope", "doc_id")
+    chars = docs.agg(F.sum(F.length(F.col(text)))).first()[0] or 0
+    parts = parts_of(spark, chars, PART_CHARS)
+    dealt = docs.select(scoped.alias("scope"), F.col(id_column).alias("doc_id"), F.col(text).alias("text")).repartitionByRange(parts, "scope", "doc_id").sortWithinPartitions("scope", "doc_id")
     at = F.monotonically_increasing_id()
     own = dealt.select("scope", "doc_id", F.shiftright(at, SEGMENT.bit_length() - 1).alias("segment"), tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     each = own.select("scope", "doc_id", "segment", F.size("tokens").alias("len"), F.explode(F.array_append("tokens", F.lit(None))).alias("term"))
     counted = each.groupBy("scope", "doc_id", "segment", "len", "term").agg(F.count("*").cast("int").alias("tf"))
     postings = F.array_sort(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("postings")  # at most SEGMENT, or one id's rows
-    blocks = counted.groupBy("term", "scope", "segment").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), postings)
+    blocks = counted.repartition(parts, "term", "scope", "segment").groupBy("term", "scope", "segment").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), postings)
     span = F.shiftright("segment", SPAN.bit_length() - 1).alias("span")
     blocks.select("term", "scope", "segment", span, "n", "max_tf", "min_len", "postings").sortWithinPartitions("term", "scope", "segment").write.parquet(f"{folder}/blocks")
     index = Index(spark, folder)
     terms = index.blocks.filter("term is not null")
-    terms.groupBy("term", "scope", "span").agg(F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len")).write.parquet(f"{folder}/spans")
-    terms.groupBy("term", "scope").agg(F.sum("n").alias("df")).write.parquet(f"{folder}/frequencies")
+    terms.select("term", "scope", "span", "max_tf", "min_len").repartition(parts, "term", "scope", "span").groupBy("term", "scope", "span").agg(F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len")).write.parquet(f"{folder}/spans")
+    terms.select("term", "scope", "n").repartition(parts, "term", "scope").groupBy("term", "scope").agg(F.sum("n").alias("df")).write.parquet(f"{folder}/frequencies")
     sizes = F.aggregate("postings", F.lit(0).cast("bigint"), lambda s, p: s + p["len"])
     index.blocks.filter("term is null").groupBy("scope").agg(F.sum("n").alias("n_docs"), F.sum(sizes).alias("n_tokens")).write.parquet(f"{folder}/scopes")
     return index
@@ -120,6 +136,7 @@ def search(index: Index, terms: DataFrame, k: int, per_scope: bool = False, digi
     on = ["scope", "term"] if per_scope else ["term"]
     slack = 10.0**-digits if digits is not None else 1e-9
     held = small(weights)
+    parts = pair_parts(index, terms)
 
     def bounded(level: DataFrame, at: list[str]) -> DataFrame:
         own = level.join(held, on).groupBy("query_id", *at).agg(F.sum(F.col("weight") * impact(F.col("max_tf"), F.col("min_len"), F.col("avg_len"))).alias("bound"), F.count("*").alias("n_blocks"))
@@ -131,6 +148,7 @@ def search(index: Index, terms: DataFrame, k: int, per_scope: bool = False, digi
     def scored(chosen: DataFrame) -> DataFrame:
         rows = index.blocks.filter("term is not null").select("term", "scope", "segment", "postings").join(held, on)
         rows = rows.join(small(chosen.select("query_id", "scope", "segment")), ["query_id", "scope", "segment"])
+        rows = rows.repartition(parts, "query_id", "scope", "segment")  # whole blocks; their documents meet in these partitions
         each = rows.select("query_id", "scope", "segment", "weight", "avg_len", F.explode("postings").alias("p"))
         part = F.col("weight") * impact(F.col("p.tf"), F.col("p.len"), F.col("avg_len"))
         total = F.sum(part) if digits is None else F.round(F.sum(part), digits)

@@ -132,7 +132,7 @@ def bm25_index_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = batch_terms(spark, sf_dir)
     report = postings.search(index, terms, 5, digits=6).report
     docs = index.blocks.join(terms.select("query_id", "term"), "term").select("query_id", F.explode("postings.doc_id").alias("doc_id"))
-    counted = docs.distinct().groupBy("query_id").agg(F.count("*").alias("n_docs"))
+    counted = docs.repartition(postings.pair_parts(index, terms), "query_id", "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("n_docs"))
     return counted.join(report, "query_id").select("query_id", "n_docs", ((F.col("blocks_read") <= F.col("blocks")) & (F.col("segments_read") <= F.col("segments"))).alias("within"))
 
 

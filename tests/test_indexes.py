@@ -47,6 +47,20 @@ def test_index_statistics_and_an_empty_corpus(spark):
     assert postings.search(none, asked(spark), 3).hits.count() == 0
 
 
+def test_a_larger_corpus_has_more_tasks_not_larger_ones(spark, monkeypatch):
+    monkeypatch.setattr(postings, "PART_CHARS", 5000)
+    monkeypatch.setattr(postings, "PART_PAIRS", 1000)
+    docs, terms = corpus(spark), asked(spark)
+    index = postings.build(docs, "doc_id", "text", "lang")
+    files = {t: index.table(t).select(F.input_file_name().alias("f")).distinct().count() for t in ("blocks", "spans", "frequencies")}
+    assert all(n > 12 for n in files.values()), files  # the session has four shuffle partitions
+    assert postings.pair_parts(index, terms) == -(-5 * docs.count() // 1000)
+    found = postings.search(index, terms, 5, digits=6)
+    known = bm25.scores(bm25.tokenised(docs, "doc_id", "text"), terms).withColumn("score", F.round("score", 6))
+    rows = lambda own: sorted((r.query_id, r["rank"], r.doc_id) for r in own.collect())
+    assert rows(found.hits) == rows(bm25.ranked(known, 5, ["query_id"], "doc_id"))
+
+
 def vectors(spark, seed=1, many=3000, wide=12):
     rnd = np.random.default_rng(seed)
     middle = rnd.normal(size=(20, wide))
