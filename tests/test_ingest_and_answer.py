@@ -5,7 +5,9 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from lexloom import schema
 from lexloom.functions import models
 from lexloom.functions.text import NO_ANSWER
 from lexloom.operators import answer, chunking, hybrid, ingest, structure
@@ -265,6 +267,27 @@ def test_delete_and_recovery(spark, pages, tmp_path):
     assert own.documents().count() == 1 and own.chunks().count() == 0
 
 
+def test_a_batch_of_chunks_is_one_folder_whatever_its_documents(spark, pages, tmp_path):
+    own = Store(spark, f"file://{tmp_path}/s")
+    kinds = StructType.fromDDL(schema.CHUNKS)
+    some = lambda ids, text: spark.createDataFrame([(n << 20, n, 0, text, None, 1, None, None, None, None, None, None) for n in ids], kinds)
+    seen = lambda: sorted((r.document_id, r.content, r.chunk_kind) for r in own.chunks().collect())
+    own.insert_chunks(some(range(40), "first"))
+    assert len([p for p in (tmp_path / "s/chunks").iterdir() if p.is_dir()]) == 1
+    own.insert_chunks(some([3, 4], "again"))
+    assert seen() == sorted([(n, "again" if n in (3, 4) else "first", "body") for n in range(40)])
+    own.delete([4, 5])
+    assert seen() == sorted([(n, "again" if n == 3 else "first", "body") for n in range(40) if n not in (4, 5)])
+    kept = spark.read.parquet(f"file://{tmp_path}/s/chunks")
+    assert kept.filter("document_id in (4, 5)").count() == 0  # nor in the files
+
+
+def test_small_files_are_packed(spark):
+    own = landing.many_small_files(spark)
+    assert own.conf.get("spark.sql.files.openCostInBytes") == "65536" and spark.conf.get("spark.sql.files.openCostInBytes") != "65536"
+    assert own.conf.get("spark.sql.session.timeZone") == "UTC" and own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+
+
 def docx(path, paragraphs, cells):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
