@@ -175,9 +175,10 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed(rows: DataFrame, folder: str, schema: str) -> DataFrame:
-    """``rows`` as a stream of three batches, dealt without regard to their order."""
-    rows.repartition(3).write.parquet(f"{folder}/in")
-    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    """``rows`` as a stream of three batches, each of a file for every core, dealt without regard to their order."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    rows.repartition(3 * tasks).write.parquet(f"{folder}/in")
+    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", tasks).parquet(f"{folder}/in")
 
 
 @query(ORACLES["sse_parse"])

@@ -71,3 +71,15 @@ def test_a_table_of_pieces(spark):
     with live.stateful(spark):
         out = live.frames(spark.createDataFrame(rows, "stream bigint, at bigint, data binary")).select("stream", "seq", F.col("event.type")).collect()
     assert [tuple(r) for r in out] == [(1, 0, "a")]
+
+
+def test_a_block_of_streams_is_one_key(spark, tmp_path):
+    """Two hundred neighbours, others far away, and null; pieces come backwards over two batches."""
+    streams = [*range(200), 5_000_000_000, -7, None]
+    words = {q: [f"a{q} ", "b ", "c"] for q in streams}
+    rows = [(q, n, w, n == 2) for q, own in words.items() for n, w in enumerate(own)]
+    folder = f"file://{tmp_path}"
+    stream = files(spark, f"{folder}/in", [[r for r in rows if r[1] > 0], [r for r in rows if r[1] == 0]], "query_id bigint, n bigint, fragment string, last boolean")
+    out = live.run(spark, live.spoken(stream), f"{folder}/run")
+    assert sorted((str(r.query_id), r.seq, r.text) for r in out.collect()) == sorted((str(q), n, t) for q, own in words.items() for n, t in enumerate([*own, "".join(own)]))
+    assert live.by_block(spark.range(200), "id").count().count() == 1
