@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.structure import sibling_citation
 from ..settings import DEFAULT
-from .lineage import settled
+from .lineage import settled, small
 
 ENTRY = ("query_id", "chunk_id", "citation", "content", "expanded", "ord", "used")
 
@@ -36,7 +36,7 @@ def expanded(hits: DataFrame, chunks: DataFrame, budget: int = DEFAULT.max_conte
     )
     for rank in range(1, top_n + 1):
         near = hits.filter((F.col("rank") == rank) & F.col("article_num").isNotNull()).select("query_id", "document_id", "article_num")
-        found = near.join(side, ["document_id", "article_num"])
+        found = small(near).join(side, ["document_id", "article_num"])  # a row a question at most
         found = found.join(entries.select("query_id", F.col("chunk_id").alias("sibling_id")), ["query_id", "sibling_id"], "left_anti").join(spent, "query_id")
         order = Window.partitionBy("query_id").orderBy("chunk_index", "sibling_id").rowsBetween(Window.unboundedPreceding, 0)
         found = found.withColumn("used", F.col("spent") + F.sum(F.length("sibling_content")).over(order)).filter(F.col("used") <= budget)

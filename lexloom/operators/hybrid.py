@@ -17,7 +17,7 @@ from ..functions.planner import strings
 from ..functions.text import let, tokens
 from ..settings import DEFAULT, Settings
 from . import bm25
-from .lineage import settled
+from .lineage import settled, small
 from .matching import contained
 
 
@@ -207,8 +207,8 @@ def scored(questions: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``hits`` with their chunks' columns; a few rows for each question meet the corpus."""
-    return hits.join(chunks.drop("embedding", "doc_kind", "chunk_kind"), "chunk_id")
+    """``hits`` with their chunks' columns; a few rows for each question meet the corpus, whose texts stay where they are."""
+    return small(settled(hits)).join(chunks.drop("embedding", "doc_kind", "chunk_kind"), "chunk_id")
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT, k: int | None = None) -> DataFrame:

@@ -223,7 +223,7 @@ EXPANDED = f"{CUT_SQL}, e0 AS (SELECT query_id, chunk_id, citation, content, fal
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(answer.cited(hybrid.with_chunks(ranked(rounded(spark, sf_dir), 6, "query_id"), fixtures.all_chunks(spark, sf_dir))))
+    return settled(answer.cited(hybrid.with_chunks(ranked(rounded(spark, sf_dir), 6, "query_id"), fixtures.plain_chunks(spark, sf_dir))))
 
 
 @query(scored_sql() + f", {CUT_SQL} SELECT query_id, rank, chunk_id, citation, CAST(used AS BIGINT) AS used FROM prim")
@@ -233,12 +233,12 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(scored_sql() + f", {EXPANDED} SELECT query_id, chunk_id, citation, expanded, CAST(ord AS BIGINT) AS ord, CAST(used AS BIGINT) AS used FROM e2")
 def sibling_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.expanded(hits(spark, sf_dir), fixtures.all_chunks(spark, sf_dir)).select("query_id", "chunk_id", "citation", "expanded", "ord", "used")
+    return context.expanded(hits(spark, sf_dir), fixtures.plain_chunks(spark, sf_dir)).select("query_id", "chunk_id", "citation", "expanded", "ord", "used")
 
 
 @query(scored_sql() + f", {EXPANDED} SELECT query_id, string_agg('[' || citation || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS context FROM e2 GROUP BY query_id")
 def context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.rendered(context.expanded(hits(spark, sf_dir), fixtures.all_chunks(spark, sf_dir)), "query_id")
+    return context.rendered(context.expanded(hits(spark, sf_dir), fixtures.plain_chunks(spark, sf_dir)), "query_id")
 
 
 #: The term that a question on a document asks for: one it defines, one that it only refers to, one it lacks, or none.

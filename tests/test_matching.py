@@ -20,3 +20,18 @@ def test_structure_scores_equal_one_contains_a_term(spark):
     score = hybrid.structure_score(F.col("chunk_kind"), F.col("content"), F.col("preferred_chunk_kinds"), F.col("quoted_terms"))
     bonus = hybrid.reference_bonus(F.col("article_num"), F.col("section_path"), F.col("article_refs"), F.col("annex_refs"))
     assert own == sorted(tuple(r) for r in pairs.select("query_id", "chunk_id", score, bonus).collect()) and len(own) == 75
+
+
+def test_hits_meet_texts_that_stay_where_they_are(spark, tmp_path):
+    from lexloom.operators import hybrid
+
+    spark.range(300).selectExpr("id AS chunk_id", "repeat('text ', 2000) AS content").repartition(3).write.parquet(f"{tmp_path}/chunks")
+    chunks = spark.read.parquet(f"{tmp_path}/chunks")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = hybrid.with_chunks(spark.range(5).selectExpr("1 AS query_id", "id AS chunk_id"), chunks)
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and both.count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
