@@ -8,8 +8,8 @@ of 0.8 share at least one of the 96 buckets but for a chance of about 2e-8 (sets
 Equal sets are one node. Candidates are stars: the least node of each bucket is its centre, and the others meet it alone. A node's most promising centre (most buckets in
 common) is checked first, and what is confirmed forms components; further centres count only where they are of another component. So copies cost about one pair a node.
 
-Links between two nodes that are no centre may still be missing. They lie in buckets that hold several components, whose nodes are searched to the end by the prefix rule: with shingles in the order
-of their rarity among these nodes, similar sets share one of the first n - ceil(0.8 n) + 1. Shingles that at most ``RARE`` nodes have give their pairs at once. Two
+Links between two nodes that are no centre may still be missing. They lie in buckets that hold several components beside the centre, which has met all the others; their nodes but for the centre are searched
+to the end by the prefix rule: with shingles in the order of their rarity among these nodes, similar sets share one of the first n - ceil(0.8 n) + 1. Shingles that at most ``RARE`` nodes have give their pairs at once. Two
 sets that share none of those in their prefixes need frequent ones there, and near misses have few, as rare shingles of their own fill their prefixes; for the others frequent
 shingles are buckets again, of which the next centres are taken in each round, ``MORE`` times as many as before, as long as a bucket holds several
 components. Sizes, places and counts that rule the similarity out are dropped before any set is read; so the rounds are few, and no pair is left out.
@@ -36,7 +36,7 @@ from pyspark.sql.types import ArrayType, LongType
 from .common import discard, documents, each_text, keep, shared_dir, slices
 from .graph import components
 from .mapped import returned
-from .numbering import small
+from .numbering import sieved
 
 SHINGLE, PERCENT = 2, 80
 PERMUTATIONS, BINS, ROWS = 3, 256, 8
@@ -183,15 +183,18 @@ def fit(a: str = "n", b: str = "other_n", percent: int = PERCENT) -> Column:
 def links(nodes: DataFrame, texts_of, folder: str) -> DataFrame | None:
     """(node, root) of the nodes that links reach; None without any. ``nodes``: a stored table of key, n and bands; ``texts_of``: the texts of keys."""
     spark = nodes.sparkSession
-    rows = nodes.select(F.explode("bands").alias("bucket"), "key", "n")
+    rows = nodes.select(F.explode("bands").alias("bucket"), "key", "n").repartition("bucket")  # once, for the counts and for the members
     shared = rows.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("least"), F.count("*").alias("rows")).filter("rows > 1")
     members = keep(rows.join(shared.drop("rows"), "bucket"), folder, "members")
     sets = keep(hashed(texts_of(members.select("key").distinct())), folder, "sets")
     pairs = members.select("key", "n", F.col("least.key").alias("a"), F.col("least.n").alias("other_n")).filter((F.col("a") < F.col("key")) & fit())
     pairs = pairs.groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("shared"))
     roots, tried = waves(keep(pairs, folder, "pairs"), sets, None, folder, "stars")
-    open_ = keep(mixed_buckets(with_root(members.drop("least"), "key", roots, "root")).select("key", "n").distinct(), folder, "open")
+    others = members.filter(F.col("key") != F.col("least.key")).drop("least")  # a centre has met all of its bucket
+    open_ = keep(mixed_buckets(with_root(others, "key", roots, "root")).select("key", "n").distinct(), folder, "open")
     discard(spark, f"{folder}/members")
+    if open_.isEmpty():
+        return roots
     found = prefixes(open_, sets, folder)
     few = found.filter(F.col("often") <= RARE).withColumn("core", F.size("core"))
     pairs = keep(rare_pairs(with_root(few, "key", roots, "root")), folder, "rare")
@@ -347,9 +350,9 @@ def grouped(docs: DataFrame, folder: str) -> DataFrame:
 
     def texts_of(keys: DataFrame) -> DataFrame:
         """The text of each key, that of its least row; copies of that row are one."""
-        wanted = nodes.join(keys, "key", "left_semi").select("key", named(F.col("row.doc_id")).alias("id"), F.col("row.hash").alias("hash"))
+        wanted = keep(nodes.join(keys, "key", "left_semi").select("key", named(F.col("row.doc_id")).alias("id"), F.col("row.hash").alias("hash")), folder, "wanted")
         own = docs.select(named(F.col("doc_id")).alias("id"), text_hash().alias("hash"), "text")
-        both = own.join(small(wanted), ["id", "hash"]).groupBy("id", "hash").agg(F.first("key").alias("key"), F.first("text").alias("text"))
+        both = sieved(own, wanted, ["id", "hash"]).join(wanted, ["id", "hash"]).groupBy("id", "hash").agg(F.first("key").alias("key"), F.first("text").alias("text"))
         return both.select("key", "text")
 
     roots = links(nodes.select("key", "n", "bands"), texts_of, folder)

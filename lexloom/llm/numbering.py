@@ -20,6 +20,25 @@ def small(rows: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+#: Bits of a sieve for each row that it has to let pass, of a block of it (what Spark's bitmaps hold), and at most.
+SIEVE_EACH, SIEVE_BLOCK, SIEVE_MOST = 16, 1 << 15, 1 << 28
+
+
+def sieved(rows: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` without most of those that have no equal in ``wanted`` (a stored table) in the columns ``by``, so that few of them are shuffled for a join with it.
+
+    Every task gets a bitmap of ``SIEVE_EACH`` bits a wanted row, at most ``SIEVE_MOST`` (32 MB; beyond it more others pass). No row that has an equal is left out, and about one in
+    seventeen of the others passes, so the join has to follow.
+    """
+    blocks = min(SIEVE_MOST, max(1, wanted.count()) * SIEVE_EACH) // SIEVE_BLOCK + 1
+    bit = F.pmod(F.xxhash64(*by), F.lit(blocks * SIEVE_BLOCK))
+    block, spot = F.floor(bit / SIEVE_BLOCK).alias("__block"), F.pmod(bit, F.lit(SIEVE_BLOCK)).alias("__spot")
+    sieve = wanted.select(block, spot).repartition("__block").groupBy("__block").agg(F.bitmap_construct_agg("__spot").alias("__bits"))
+    byte = F.conv(F.hex(F.substr("__bits", (F.shiftright("__spot", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    both = rows.select("*", block, spot).join(F.broadcast(sieve), "__block")
+    return both.filter(F.getbit(byte, F.pmod("__spot", F.lit(8)).cast("int")) == 1).select(*rows.columns)
+
+
 def numbered(rows: DataFrame, by: list[str], order: list[Column], folder: str, name: str, into: str = "place", total: str = "n") -> DataFrame:
     """``rows`` (a stored table) with their place from 0 in ``order`` among those equal in the columns ``by`` (without nulls), and the number of those.
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lexloom.llm import common, minhash
+from lexloom.llm.numbering import sieved
 
 from .conftest import body
 
@@ -119,6 +120,27 @@ def test_a_bucket_of_several_components_is_searched_to_the_end(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, known.values()))
 
 
+def test_what_the_centres_have_settled_is_not_searched_again(spark):
+    """Pairs of near misses, each in buckets that nobody else is in: their centre has met the other, so no node is open."""
+    rnd = random.Random(7)
+    rows = []
+    for pair in range(30):
+        words = body(700 + pair, 100).split()
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(changed(rnd, words, 7)))]
+    folder = common.shared_dir(spark)
+    out = minhash.grouped(spark.createDataFrame(rows, "doc_id bigint, text string"), folder)
+    assert sorted((r.doc_id, r.component_id) for r in out.collect()) == sorted((n, c) for n, _, c, _ in brute(rows))
+    assert spark.read.parquet(f"{folder}/pairs").count() > 20 and spark.read.parquet(f"{folder}/open").count() == 0
+
+
+def test_only_texts_that_may_have_a_link_are_moved(spark):
+    docs = spark.range(20_000).selectExpr("CAST(id AS STRING) AS id", "xxhash64(id) AS hash", "'t' AS text")
+    wanted = docs.filter("CAST(id AS INT) % 20 = 0").select("id", "hash")
+    out = {r.id for r in sieved(docs, wanted, ["id", "hash"]).select("id").collect()}
+    assert out >= {str(i) for i in range(0, 20_000, 20)} and len(out) < 3000
+    assert sieved(docs, wanted.limit(0), ["id", "hash"]).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 79, 2000])
 def test_sketch_values_agree_as_often_as_sets_do(n):
     rnd = np.random.default_rng(n)
