@@ -1,7 +1,6 @@
 """BM25 over a corpus, for whole batches of questions.
 
-Postings are pruned to the questions' terms before the shuffle, lengths and the number of documents come from the token arrays
-without one. Statistics belong to a scope (null for the whole corpus), so that a filtered corpus has its own.
+Postings are pruned to the questions' terms before the shuffle and kept; lengths and the number of documents go with them. Statistics belong to a scope (null for the whole corpus), so that a filtered corpus has its own.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .lineage import small
+from .lineage import kept, new_folder, small
 
 K1, B = 1.5, 0.75
 
@@ -45,20 +44,23 @@ def query_terms(questions: DataFrame, id_column: str, text: str, *keep: str) ->
 def scores(tokenised_docs: DataFrame, terms: DataFrame, *scope: str, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, scope, score) of documents that have a term of the question. Statistics are the scope's own.
 
-    The questions' terms meet the tokens before any shuffle; the one shuffle of postings is by document and term, and weights, one row
-    for each wanted term and scope, come to them.
+    Texts are read once: tokens meet the questions' terms before any shuffle, each document's length goes with them under the null term, and the postings are kept. Weights and statistics come from
+    these. Postings are then dealt by document and meet the questions' weighted terms there, so a document's scores are summed where its postings are, and pairs of question and document are not shuffled.
     """
-    wanted = small(terms.select("term").distinct())
     lengths = tokenised_docs.withColumn("len", F.size("tokens"))
-    exploded = lengths.select("doc_id", *scope, "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    postings = exploded.groupBy("doc_id", *scope, "len", "term").agg(F.count("*").alias("tf"))
-    stats = length_stats(tokenised_docs, *scope)
+    none = F.lit(None).cast("string").alias("term")
+    exploded = lengths.select("doc_id", *scope, "len", F.explode(F.concat("tokens", F.array(none))).alias("term"))
+    wanted = small(terms.select("term").distinct().union(terms.sparkSession.range(1).select(none)).withColumnRenamed("term", "wanted"))
+    found = exploded.join(wanted, F.col("term").eqNullSafe(F.col("wanted")), "left_semi")
+    counts = kept(found.groupBy("doc_id", *scope, "len", "term").agg(F.count("*").alias("tf")), new_folder(terms.sparkSession))
+    postings = counts.filter("term is not null")
+    stats = counts.filter("term is null").groupBy(*scope).agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("len")) / F.sum("tf")).alias("avg_len"))
     weights = document_frequencies(postings, *scope)
     weights = weights.join(stats, list(scope)) if scope else weights.crossJoin(F.broadcast(stats))  # one row
-    weights = weights.select(*scope, "term", "avg_len", idf().alias("idf"))
-    matched = postings.join(weights, [*scope, "term"]).join(small(terms), "term")
+    asked = terms.join(weights, "term").select("query_id", *scope, "term", "avg_len", (F.col("times") * idf()).alias("weight"))
+    matched = postings.repartition("doc_id").join(small(asked), [*scope, "term"])
     tf, size = F.col("tf"), F.col("len") / F.col("avg_len")
-    part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size))
+    part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size))
     return matched.groupBy("query_id", "doc_id", *scope).agg(F.sum(part).alias("score"))
 
 

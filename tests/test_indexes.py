@@ -1,6 +1,7 @@
 """The inverted index and the vector clusters give what scoring everything gives, and read less."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -95,3 +96,11 @@ def test_no_vectors_and_no_questions(spark):
     assert clusters.search(index, spark.createDataFrame([], "query_id bigint, query_vector array<double>"), 3).hits.count() == 0
     none = clusters.build(frame.limit(0), "vec_id", "embedding")
     assert clusters.search(none, spark.createDataFrame([(1, rows[0][1])], "query_id bigint, query_vector array<double>"), 3).hits.count() == 0
+
+
+def test_scoring_reads_texts_once_and_sums_where_postings_are(spark):
+    """No tokens are left in the scores' plan, and pairs of question and document are not shuffled."""
+    docs = corpus(spark)
+    for scope in ([], ["lang"]):
+        plan = bm25.scores(bm25.tokenised(docs, "doc_id", "text", *scope), asked(spark), *scope)._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_extract_all" not in plan and "hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", plan)
