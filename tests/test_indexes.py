@@ -100,7 +100,7 @@ def test_no_vectors_and_no_questions(spark):
 
 def test_scoring_reads_texts_once_and_sums_where_postings_are(spark):
     """No tokens are left in the scores' plan, and pairs of question and document are not shuffled."""
-    docs = corpus(spark)
+    docs, terms = corpus(spark), spark.createDataFrame(asked(spark).collect(), "query_id bigint, term string, times bigint")
     for scope in ([], ["lang"]):
-        plan = bm25.scores(bm25.tokenised(docs, "doc_id", "text", *scope), asked(spark), *scope)._jdf.queryExecution().executedPlan().toString()
+        plan = bm25.scores(bm25.tokenised(docs, "doc_id", "text", *scope), terms, *scope)._jdf.queryExecution().executedPlan().toString()
         assert "regexp_extract_all" not in plan and "hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", plan)
