@@ -99,3 +99,12 @@ def test_a_run_of_a_million_pieces(spark):
         chunks += held == size
     assert got.n == chunks and got.longest <= 1600
     assert got.chars + got.n == sum(16 + i % 7 for i in range(1_000_000))
+
+
+def test_short_and_long_blocks_are_computed_once(spark):
+    frame = spark.range(4).selectExpr("id AS document_id", "CAST(id AS INT) AS block_no", "CASE id WHEN 0 THEN NULL WHEN 1 THEN 'short ' WHEN 2 THEN repeat('x', 60) ELSE concat(repeat('y', 70), repeat(' ', 400)) END AS text")
+    out = chunking.split_blocks(frame, 60, 10)
+    assert "Union" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["document_id", "block_no", "text", "piece_no"]
+    got = sorted((r.document_id, r.piece_no, r.text) for r in out.collect())
+    assert got == [(1, 0, "short "), (2, 0, "x" * 60), (3, 0, "y" * 60), (3, 1, "y" * 20)]
