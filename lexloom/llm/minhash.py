@@ -36,7 +36,7 @@ from pyspark.sql.types import ArrayType, LongType
 from .common import discard, documents, each_text, keep, shared_dir, slices
 from .graph import components
 from .mapped import returned
-from .numbering import sieved
+from .numbering import numbered, sieved
 
 SHINGLE, PERCENT = 2, 80
 PERMUTATIONS, BINS, ROWS = 3, 256, 8
@@ -180,18 +180,23 @@ def fit(a: str = "n", b: str = "other_n", percent: int = PERCENT) -> Column:
     return (F.col(a) * percent <= F.col(b) * 100) & (F.col(b) * percent <= F.col(a) * 100)
 
 
-def links(nodes: DataFrame, texts_of, folder: str) -> DataFrame | None:
-    """(node, root) of the nodes that links reach; None without any. ``nodes``: a stored table of key, n and bands; ``texts_of``: the texts of keys."""
+def links(nodes: DataFrame, texts_of, folder: str, spent: str | None = None) -> DataFrame | None:
+    """(node, root) of the nodes that links reach; None without any. ``nodes``: a stored table of key, n and bands; ``texts_of``: the texts of keys; ``spent``: the table's
+    name, if it may go once its buckets have been read."""
     spark = nodes.sparkSession
-    rows = nodes.select(F.explode("bands").alias("bucket"), "key", "n").repartition("bucket")  # once, for the counts and for the members
-    shared = rows.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("least"), F.count("*").alias("rows")).filter("rows > 1")
-    members = keep(rows.join(shared.drop("rows"), "bucket"), folder, "members")
+    sizes = keep(nodes.select("key", "n"), folder, "sizes")
+    rows = nodes.select(F.explode("bands").alias("bucket"), "key").repartition("bucket")  # once, for the counts and for the members
+    shared = rows.groupBy("bucket").agg(F.min("key").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
+    members = keep(rows.join(shared, "bucket"), folder, "members")
+    if spent:
+        discard(spark, f"{folder}/{spent}")
     sets = keep(hashed(texts_of(members.select("key").distinct())), folder, "sets")
-    pairs = members.select("key", "n", F.col("least.key").alias("a"), F.col("least.n").alias("other_n")).filter((F.col("a") < F.col("key")) & fit())
-    pairs = pairs.groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("shared"))
+    pairs = members.filter(F.col("least") < F.col("key")).groupBy(F.col("least").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("shared"))
+    other = sizes.select(F.col("key").alias("a"), F.col("n").alias("other_n"))
+    pairs = pairs.join(sizes.withColumnRenamed("key", "b"), "b").join(other, "a").filter(fit()).select("a", "b", "shared")
     roots, tried = waves(keep(pairs, folder, "pairs"), sets, None, folder, "stars")
-    others = members.filter(F.col("key") != F.col("least.key")).drop("least")  # a centre has met all of its bucket
-    open_ = keep(mixed_buckets(with_root(others, "key", roots, "root")).select("key", "n").distinct(), folder, "open")
+    others = members.filter((F.col("key") != F.col("least")) & (F.col("rows") > 2)).select("bucket", "key")  # a centre has met all of its bucket; one other is no two components
+    open_ = keep(mixed_buckets(with_root(others, "key", roots, "root")).select("key").distinct().join(sizes, "key"), folder, "open")
     discard(spark, f"{folder}/members")
     if open_.isEmpty():
         return roots
@@ -201,28 +206,31 @@ def links(nodes: DataFrame, texts_of, folder: str) -> DataFrame | None:
     pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
     roots, more = waves(keep(pairs, folder, "rare_pairs"), sets, roots, folder, "rare")
     tried = more if tried is None else tried if more is None else tried.union(more)
-    members, strip = found.filter(F.col("often") > RARE), 1
+    members = numbered(found.filter(F.col("often") > RARE), ["bucket"], [F.col("key")], folder, "frequent", total="rows")
+    first, strip = 0, 1
     for number in count():
-        own = keep(mixed_buckets(with_root(members, "key", roots, "root")), folder, f"mixed_{number}")
+        left = members.filter((F.col("place") >= first) & (F.col("rows") > first + 1))  # without the centres that have had their turn
+        own = keep(with_root(left, "key", roots, "root"), folder, f"rooted_{number}")
         if number:
-            discard(spark, f"{folder}/mixed_{number - 1}")
-        if own.isEmpty():
+            discard(spark, f"{folder}/rooted_{number - 1}")
+        centres = keep(mixed_buckets(own, F.col("place") < first + strip), folder, f"centres_{number}")
+        if centres.isEmpty():
             return roots
-        pairs, members = stripped(own, strip, folder, number)
+        pairs = met(own, centres)
         pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
         pairs = keep(pairs, folder, f"pairs_{number}")
         found = keep(checked(pairs, sets), folder, f"links_{number}")
         if not found.isEmpty():
             roots = joined(found, roots, folder, str(number))
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        strip *= MORE
+        first, strip = first + strip, strip * MORE
     raise AssertionError
 
 
-def mixed_buckets(rooted: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components."""
+def mixed_buckets(rooted: DataFrame, which: Column | None = None) -> DataFrame:
+    """The rows, or those of ``which``, of buckets that hold several components."""
     several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    return rooted.join(several, "bucket", "left_semi")
+    return (rooted if which is None else rooted.filter(which)).join(several, "bucket", "left_semi")
 
 
 def waves(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None, folder: str, name: str) -> tuple[DataFrame | None, DataFrame | None]:
@@ -316,19 +324,15 @@ def joined(found: DataFrame, roots: DataFrame | None, folder: str, name: str) ->
     return keep(moved.union(fresh), folder, f"roots_{name}")
 
 
-def stripped(own: DataFrame, strip: int, folder: str, number: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs across components of each bucket's next ``strip`` centres and its other members, and the members that are left without those centres. Pairs that the frequent shingles of
-    their prefixes alone can't make similar share a rare one, so they were found by it."""
-    turn = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-    tops = keep(own.withColumn("turn", turn).filter(F.col("turn") <= strip).drop("turn"), folder, f"centres_{number}")
-    bounds = tops.groupBy("bucket").agg(F.max("key").alias("bound"))
+def met(own: DataFrame, centres: DataFrame) -> DataFrame:
+    """The pairs across components of ``centres`` and the members of their buckets that follow them. Pairs that the frequent shingles of their prefixes alone can't make similar share a
+    rare one, so they were found by it."""
     common = F.array_intersect("core", "other_core")
     meets = F.get(common, F.lit(0)) == F.shiftright("bucket", 32).cast("int")  # in one of its buckets, that of the first common shingle
     twice = [F.size(c) - F.size(F.array_distinct(c)) for c in ("core", "other_core")]  # shortened ones that fell together
     possible = fit() & reach() & meets & enough(F.size(common) + twice[0] + twice[1])
-    both = own.join(as_centre(tops), "bucket").filter((F.col("a") < F.col("key")) & (F.col("root") != F.col("a_root")) & possible)
-    left = own.join(bounds, "bucket").filter(F.col("key") > F.col("bound")).drop("bound", "root")
-    return both.select("a", F.col("key").alias("b"), F.size(common).alias("shared")).distinct(), left
+    both = own.join(as_centre(centres), "bucket").filter((F.col("a") < F.col("key")) & (F.col("root") != F.col("a_root")) & possible)
+    return both.select("a", F.col("key").alias("b"), F.size(common).alias("shared")).distinct()
 
 
 def named(doc_id: Column) -> Column:
@@ -341,23 +345,26 @@ def text_hash() -> Column:
 
 
 def grouped(docs: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of all rows."""
+    """(doc_id, n_shingles, component_id) of all rows. Buckets are the bulk of what is kept, so the tables that hold them go when they have been read."""
     spark = docs.sparkSession
-    rows = keep(sketched(docs, F.col("doc_id"), text_hash().alias("hash")), folder, "sketches")
+    sketches = keep(sketched(docs, F.col("doc_id"), text_hash().alias("hash")), folder, "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("row")
-    each = rows.filter("key is not null").groupBy("key").agg(least, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = keep(each, folder, "nodes")
+    each = sketches.filter("key is not null").groupBy("key").agg(least, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    banded = keep(each.withColumn("node", F.monotonically_increasing_id()), folder, "banded")  # neighbours' numbers differ in few bytes, so shuffles are smaller than with keys
+    nodes = keep(banded.drop("bands"), folder, "nodes")
+    rows = keep(sketches.select("doc_id", "n_shingles", "key"), folder, "rows")
+    discard(spark, f"{folder}/sketches")
 
     def texts_of(keys: DataFrame) -> DataFrame:
-        """The text of each key, that of its least row; copies of that row are one."""
-        wanted = keep(nodes.join(keys, "key", "left_semi").select("key", named(F.col("row.doc_id")).alias("id"), F.col("row.hash").alias("hash")), folder, "wanted")
+        """The text of each node, that of its least row; copies of that row are one."""
+        wanted = keep(nodes.join(keys.withColumnRenamed("key", "node"), "node", "left_semi").select("node", named(F.col("row.doc_id")).alias("id"), F.col("row.hash").alias("hash")), folder, "wanted")
         own = docs.select(named(F.col("doc_id")).alias("id"), text_hash().alias("hash"), "text")
-        both = sieved(own, wanted, ["id", "hash"]).join(wanted, ["id", "hash"]).groupBy("id", "hash").agg(F.first("key").alias("key"), F.first("text").alias("text"))
+        both = sieved(own, wanted, ["id", "hash"]).join(wanted, ["id", "hash"]).groupBy("id", "hash").agg(F.first("node").alias("key"), F.first("text").alias("text"))
         return both.select("key", "text")
 
-    roots = links(nodes.select("key", "n", "bands"), texts_of, folder)
-    ids = nodes.select("key", F.col("row.doc_id").alias("id"))
-    whole = ids.withColumn("root", F.col("key")) if roots is None else ids.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    roots = links(banded.select(F.col("node").alias("key"), "n", "bands"), texts_of, folder, "banded")
+    ids = nodes.select("key", "node", F.col("row.doc_id").alias("id"))
+    whole = ids.withColumn("root", F.col("node")) if roots is None else ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = keep(whole, folder, "rooted")
     least_ids = keep(whole.groupBy("root").agg(F.min("id").alias("component_id")), folder, "least_ids")
     of_key = keep(whole.join(least_ids, "root").select("key", "component_id"), folder, "of_key")

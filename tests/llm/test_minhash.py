@@ -2,6 +2,7 @@ import os
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -133,6 +134,40 @@ def test_what_the_centres_have_settled_is_not_searched_again(spark):
     assert spark.read.parquet(f"{folder}/pairs").count() > 20 and spark.read.parquet(f"{folder}/open").count() == 0
 
 
+def test_a_round_takes_up_its_centres_only(spark, monkeypatch):
+    """Sets with frequent shingles in common that are not similar: each round reads on in their buckets, but asks only its centres whether their bucket is still mixed."""
+    monkeypatch.setattr(minhash, "RARE", 3)
+    monkeypatch.setattr(minhash, "MORE", 2)
+    real, made = minhash.mixed_buckets, []
+
+    def mixed(*given):
+        out = real(*given)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "mixed_buckets", mixed)
+    rnd = random.Random(8)
+    rows = [(n, " ".join(rnd.choice("abcdef") for _ in range(14))) for n in range(60)]
+    sketch = spark.createDataFrame([(len(minhash.shingles(t.encode())), n, [1, 2]) for n, t in rows], "n bigint, key bigint, bands array<bigint>")
+    texts = spark.createDataFrame(rows, "key bigint, text string")
+    folder = common.shared_dir(spark)
+    nodes = common.keep(sketch, folder, "nodes")
+    minhash.links(nodes, lambda keys: texts.join(keys, "key", "left_semi"), folder)
+    rounds = made[1:]
+    frequent = spark.read.parquet(f"{folder}/prefixes").filter("often > 3").count()
+    assert len(rounds) > 3 and rounds[-1] == 0 and 0 < sum(rounds) <= frequent
+
+
+def test_buckets_are_not_kept_beyond_their_use(spark):
+    """What is left in the shared folder when the groups are known holds no bands, neither of rows nor of nodes."""
+    folder = common.shared_dir(spark)
+    docs = spark.createDataFrame([(n, body(900 + n // 3, 40) + f" end{n % 3}") for n in range(60)], "doc_id bigint, text string")
+    assert minhash.grouped(docs, folder).count() == 60
+    kept = {p.parent.name for p in Path(folder.removeprefix("file://")).glob("*/*.parquet")}
+    assert {"rows", "nodes"} <= kept
+    assert not [n for n in kept if "bands" in spark.read.parquet(f"{folder}/{n}").columns]
+
+
 def test_only_texts_that_may_have_a_link_are_moved(spark):
     docs = spark.range(20_000).selectExpr("CAST(id AS STRING) AS id", "xxhash64(id) AS hash", "'t' AS text")
     wanted = docs.filter("CAST(id AS INT) % 20 = 0").select("id", "hash")
