@@ -288,6 +288,30 @@ def test_small_files_are_packed(spark):
     assert own.conf.get("spark.sql.session.timeZone") == "UTC" and own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
 
 
+def test_landed_files_lie_in_few_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(f"f-{n}.txt", f"é {n}\nx" * (n % 3)) for n in range(300)], "name string, value string").repartition(3)
+    pattern = landing.land(rows, f"file://{tmp_path}/in here")
+    files = {p.name: p.read_text() for p in (tmp_path / "in here").rglob("*") if p.is_file()}
+    assert files == {f"f-{n}.txt": f"é {n}\nx" * (n % 3) + "\n" for n in range(300)}  # no checksum files beside them either
+    assert len([p for p in (tmp_path / "in here").rglob("*") if p.is_dir()]) == landing.FOLDERS
+    assert spark.read.format("binaryFile").load(pattern).count() == 300
+    assert landing.land(rows.limit(0), f"file://{tmp_path}/none") and not [p for p in (tmp_path / "none").rglob("*") if p.is_file()]
+
+
+def test_a_batch_reads_its_files_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.txt").write_text(law.ONE)
+    own, whole = Store(spark, f"file://{tmp_path}/store"), landing.ingest
+
+    def after_they_went(*args, **kwargs):
+        (tmp_path / "in" / "one.txt").unlink()
+        whole(*args, **kwargs)
+
+    monkeypatch.setattr(landing, "ingest", after_they_went)
+    landing.watch(spark, f"{tmp_path}/in", own, f"{tmp_path}/check").awaitTermination()
+    assert [(r.filename, r.status) for r in own.documents().collect()] == [("one.txt", "ready")] and own.chunks().count() > 0
+
+
 def docx(path, paragraphs, cells):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
