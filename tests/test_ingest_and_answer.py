@@ -298,6 +298,12 @@ def test_landed_files_lie_in_few_folders(spark, tmp_path):
     assert landing.land(rows.limit(0), f"file://{tmp_path}/none") and not [p for p in (tmp_path / "none").rglob("*") if p.is_file()]
 
 
+def test_files_land_on_a_store_that_is_not_mounted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(landing, "mounted", lambda *_: None)
+    pattern = landing.land(spark.createDataFrame([(f"f-{n}.txt", f"{n}") for n in range(9)], "name string, value string"), f"file://{tmp_path}/in")
+    assert sorted(bytes(r.content) for r in spark.read.format("binaryFile").load(pattern).collect()) == [b"%d\n" % n for n in range(9)]
+
+
 def test_a_batch_reads_its_files_once(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "one.txt").write_text(law.ONE)
